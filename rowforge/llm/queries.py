@@ -5,14 +5,50 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import word_count
 from .exact_dedup import exact_groups
 from .hilbert_shards import curve_shards, quantise, quantise_name
+from .katz import katz_scores
+from .mixing import plan_mix
+from .quality import COLUMNS, quality
+from .secrets import BASE, scan_secrets
+from .url_filter import filter_urls
+
+#: Verdict and rule, host and path.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of each document: certain spans and linked weak candidates."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = scan_secrets(docs, carry=["doc_id"])
+    base = F.filter("spans", lambda x: x["kind"].isin(*BASE))
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+    return found.select("doc_id", *map(count, BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def op3_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repetition measures of each document, and whether it is kept."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality(docs, carry=["doc_id"]).select("doc_id", *COLUMNS)
+
+
+def op4_url_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's URL, by the rules or else by the models of what they allow and block."""
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url")
+    return filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight shards along a Hilbert curve over identifier, size, source and language."""
     docs = _read(spark, sf_dir, "documents")
@@ -32,15 +68,33 @@ def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document that the mix of sources by weights 1, 2, 3, repeating, takes."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("words"))
+    out = plan_mix(docs, "source", F.col("words"), [F.col("doc_id")])
+    return out.select("doc_id", "size", "source_size", "target", "taken", "copies", "shards")
+
+
 def op9_lsm_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts; the largest doc_id stays."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_groups(docs).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op10_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document under the Katz model learnt from four fifths of them."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return katz_scores(docs, F.crc32(F.col("doc_id").cast("string")) % 5 == 1)
+
+
 QUERIES = {
+    "op1_secret_links": op1_secret_links,
+    "op3_repetition": op3_repetition,
+    "op4_url_ratio": op4_url_ratio,
     "op5_hilbert_shards": op5_hilbert_shards,
+    "op8_source_mix": op8_source_mix,
     "op9_lsm_exact_dedup": op9_lsm_exact_dedup,
+    "op10_katz_scores": op10_katz_scores,
 }
 
 ORACLE = {
