@@ -131,16 +131,13 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int
         return mix64(out + _U(seed) * _U(0x9E3779B97F4A7C15) + (end - start).astype(_U))
 
 
-def ngram_hashes(word: np.ndarray, n: int) -> np.ndarray:
-    """A rolling hash of each run of ``n`` words; the caller drops runs that cross texts."""
-    m = len(word) - n + 1
-    if m <= 0:
-        return np.zeros(0, dtype=_U)
-    out = np.zeros(m, dtype=_U)
+def runs(word: np.ndarray, where: np.ndarray, n: int) -> np.ndarray:
+    """A rolling hash of the ``n`` words from each place on; the caller drops runs that cross texts."""
+    out = np.zeros(len(where), dtype=_U)
     with np.errstate(over="ignore"):
         for i in range(n):
             out *= _U(0xD6E8FEB86659FD93)
-            out += word[i : i + m]
+            out += word[where + i]
     return mix64(out)
 
 

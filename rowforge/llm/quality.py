@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .arrays import Texts, chunks, code_points, mix64, ngram_hashes, per_doc, repeated, span_hashes, words
+from .arrays import Texts, chunks, code_points, mix64, per_doc, repeated, runs, span_hashes, words
 from .common import fresh
 
 #: Share of the words' characters inside repeated n-grams, by n, above which a text is rejected; the window of 5 is the base rule's.
@@ -72,12 +72,9 @@ def measure(t: Texts, limits: dict[int, float] = NGRAM_LIMITS, line_limit: float
             break
         hit = np.zeros(m, bool)
         where = np.flatnonzero(w.doc[:m] == w.doc[size - 1 :]) if alive is None else np.flatnonzero(alive[:m])
-        if alive is None:
-            grams = ngram_hashes(hashed, size)
-            keys = grams[where] ^ ((salt[where] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
-        else:
+        if alive is not None:
             where = where[w.doc[where] == w.doc[where + size - 1]]
-            keys = _runs(hashed, where, size) ^ ((salt[where] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+        keys = runs(hashed, where, size) ^ ((salt[where] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
         hit[where[repeated(keys)]] = True
         cover = np.zeros(len(hashed) + 1, np.int64)
         cover[:m] += hit
@@ -99,16 +96,6 @@ def measure(t: Texts, limits: dict[int, float] = NGRAM_LIMITS, line_limit: float
     )
 
 
-def _runs(word: np.ndarray, where: np.ndarray, n: int) -> np.ndarray:
-    """The hashes of ``ngram_hashes`` at some places."""
-    out = np.zeros(len(where), np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(n):
-            out *= np.uint64(0xD6E8FEB86659FD93)
-            out += word[where + i]
-    return mix64(out)
-
-
 def quality(
     docs: DataFrame, text: str = "text", names=COLUMNS, limits=None, line_limit: float = LINE_LIMIT, carry: list[str] | None = None
 ) -> DataFrame:

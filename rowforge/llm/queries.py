@@ -10,6 +10,7 @@ from .exact_dedup import exact_groups
 from .hilbert_shards import curve_shards, quantise, quantise_name
 from .katz import katz_scores
 from .mixing import plan_mix
+from .near_dedup import near_classes
 from .quality import COLUMNS, quality
 from .secrets import BASE, scan_secrets
 from .url_filter import filter_urls
@@ -37,6 +38,11 @@ def op1_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op2_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of each document: five-word shingles, similarity 0.8."""
+    return near_classes(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repetition measures of each document, and whether it is kept."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -89,6 +95,7 @@ def op10_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_secret_links": op1_secret_links,
+    "op2_weighted_minhash": op2_weighted_minhash,
     "op3_repetition": op3_repetition,
     "op4_url_ratio": op4_url_ratio,
     "op5_hilbert_shards": op5_hilbert_shards,
