@@ -13,6 +13,8 @@ from .mixing import plan_mix
 from .near_dedup import near_classes
 from .quality import COLUMNS, quality
 from .secrets import BASE, scan_secrets
+from .sentencepiece_match import encode
+from .token_rollup import TokenRollup
 from .url_filter import filter_urls
 
 #: Verdict and rule, host and path.
@@ -74,6 +76,24 @@ def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and tokens by source, language and tokenizer, after a batch that inserts all documents.
+
+    The batch is committed twice; the second time changes nothing.
+    """
+    docs = _read(spark, sf_dir, "documents").select(F.lit("insert").alias("op"), "doc_id", "source", "lang", "text")
+    rollup = TokenRollup(spark)
+    rollup.commit("documents", docs)
+    rollup.commit("documents", docs)
+    return rollup.totals()
+
+
+def op7_piece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SentencePiece ids of each document, and whether decoding gives the text back."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode(docs, carry=["doc_id"])
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document that the mix of sources by weights 1, 2, 3, repeating, takes."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("words"))
@@ -93,15 +113,25 @@ def op10_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz_scores(docs, F.crc32(F.col("doc_id").cast("string")) % 5 == 1)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_secret_links": op1_secret_links,
     "op2_weighted_minhash": op2_weighted_minhash,
     "op3_repetition": op3_repetition,
     "op4_url_ratio": op4_url_ratio,
     "op5_hilbert_shards": op5_hilbert_shards,
+    "op6_token_rollup": op6_token_rollup,
+    "op7_piece_ids": op7_piece_ids,
     "op8_source_mix": op8_source_mix,
     "op9_lsm_exact_dedup": op9_lsm_exact_dedup,
     "op10_katz_scores": op10_katz_scores,
+    "pipeline": pipeline,
 }
 
 ORACLE = {
