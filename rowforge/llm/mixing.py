@@ -99,6 +99,16 @@ def split_tree(quotas: list[int], shards: int, seed: int) -> list[list[int]]:
     return out
 
 
+#: Sources up to which their figures are broadcast, a row each; beyond, joins on the source are left to Spark.
+FEW_SOURCES = 20_000
+
+
+def _figures(spark, rows: list[tuple], schema: str) -> DataFrame:
+    """A table with a row for each source."""
+    frame = spark.createDataFrame(rows, schema)
+    return F.broadcast(frame) if len(rows) <= FEW_SOURCES else frame
+
+
 def _digit(hashed: str, level: int) -> Column:
     return F.shiftrightunsigned(F.col(hashed), 12 * level).bitwiseAND(F.lit(FAN - 1))
 
@@ -147,7 +157,7 @@ def plan_mix(
     deep = {k: 0 for k in order}
     open_ = {k for k in order if rest[k] > 0 and stats[k][0] > BLOCK_ROWS}
     while open_:
-        ways = spark.createDataFrame([(k, path[k], rest[k]) for k in sorted(open_)], "k string, path array<long>, rest long")
+        ways = _figures(spark, [(k, path[k], rest[k]) for k in sorted(open_)], "k string, path array<long>, rest long")
         inside = small.join(ways, F.col("key") == F.col("k"))
         for i in range(level):
             inside = inside.where(_digit("h", i) == F.get("path", F.lit(i)))
@@ -167,7 +177,8 @@ def plan_mix(
             deep[k] = level + 1
         level += 1
         open_ = {r["key"] for r in found if r["b"]["rows"] > BLOCK_ROWS and level < 5}
-    plan = spark.createDataFrame(
+    plan = _figures(
+        spark,
         [(k, stats[k][1], float(t), whole[k], rest[k], path[k], _blocks(stats[k][0])) for k, t in zip(order, goal, strict=True)],
         "k string, source_words long, goal double, whole int, rest long, path array<long>, blocks int",
     )
@@ -210,7 +221,7 @@ def plan_mix(
             at += c
             ends.append(at)
         cuts.append((k, ends))
-    cut = spark.createDataFrame(cuts, "k string, ends array<long>")
+    cut = _figures(spark, cuts, "k string, ends array<long>")
     # a source has FAN blocks at most for each of its few copies
     place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64(F.lit(seed), "block", "epoch"), "block", "epoch")) - 1
     dealt = (
