@@ -8,15 +8,18 @@ that share a bucket are compared by the similarity itself.
 Only a text whose shingles with a document frequency over one hold the threshold's share of its weight can be
 that similar to any other, as nothing else is shared: the others are alone, exactly, and need no signature.
 
-No pairs within a bucket are made. In each round a bucket's members are compared with one pivot of it; members that
-are linked to the pivot leave, unless one that is not linked is so near to the pivot that, by the triangle inequality
-of the weighted Jaccard distance, it might be linked to them. Rounds go on until no bucket has members that are
-neither compared nor linked, so no link that the buckets hold is lost. Copies with equal shingles are one node.
+No pairs within a bucket are made. First each node is compared with the least pivot of its buckets, which settles all
+buckets whose members are then linked. In an unsettled bucket all members are compared with one pivot; those that
+are linked to it leave, unless one that is not is so near to the pivot that, by the triangle inequality of the
+weighted Jaccard distance, it might be linked to them. This goes on, in one task where a bucket's sets fit and else in
+rounds over all large buckets, until no bucket has members that are neither compared nor linked: no link that the
+buckets hold is lost. Copies with equal shingles are one node.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +38,10 @@ _REQUEST = "part int, block long, keys binary, counts binary"
 _ANSWER = "block long, part int, counts binary"
 _SIGNED = "doc_id long, node binary, buckets array<long>, keys binary, weights binary"
 _TABLE_BITS = 16
+#: Bytes of the sets of a bucket up to which one task finishes it; larger buckets are taken apart by pivots first.
+IN_A_TASK = 16 << 20
+#: UTF-8 bytes of text in a block.
+BLOCK_BYTES = 3 << 20
 
 
 class Shingles:
@@ -220,33 +227,81 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(roots)
 
 
+def _first_links(members: DataFrame, sets: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Links of each node to the least pivot of its buckets, where they are similar; and the members' roots by these.
+
+    A bucket's pivot is its least node, so the least node of a group of copies is the pivot of nearly all of them,
+    and one comparison for each node settles most buckets.
+    """
+    pivots = members.groupBy("bucket").agg(F.min("node").alias("pivot"))
+    least = members.join(pivots, "bucket").groupBy("node").agg(F.min("pivot").alias("pivot")).where("pivot != node")
+    compared = materialise(_compare(least, sets), "compared")
+    links = compared.where(F.col("similarity") >= similarity).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    up = links.select(F.col("b").alias("node"), F.col("a").alias("r1"))
+    over = links.select(F.col("b").alias("r1"), F.col("a").alias("r2"))
+    roots = materialise(up.join(over, "r1", "left").select("node", F.coalesce("r2", "r1").alias("root")), "roots")
+    return links, members.join(roots, "node", "left").select("bucket", "node", "size", F.coalesce("root", "node").alias("root"))
+
+
+def _unsettled(members: DataFrame) -> DataFrame:
+    """Members of buckets with several roots, with the bytes of all sets of the bucket."""
+    open_ = members.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.sum("size").alias("bytes")).where("r0 != r1")
+    return members.join(open_.select("bucket", "bytes"), "bucket")
+
+
+def _finish(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links that join what is similar in buckets whose sets fit in a task, each bucket worked off at once."""
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["node"])
+        held = [(B.unpack_sorted(r["keys"]), np.frombuffer(r["weights"], np.float32)) for r in rows]
+        up = {r["root"]: r["root"] for r in rows}
+
+        def root(x: bytes) -> bytes:
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        out, far = [], 1 - similarity
+        todo = list(range(len(rows)))
+        while len({root(rows[i]["root"]) for i in todo}) > 1:
+            pivot, *rest = todo
+            away = {i: 1 - similarity_of(*held[pivot], *held[i]) for i in rest}
+            for i in rest:
+                mine, other = root(rows[pivot]["root"]), root(rows[i]["root"])
+                if away[i] <= far and mine != other:
+                    up[max(mine, other)] = min(mine, other)
+                    out.append({"a": rows[pivot]["node"], "b": rows[i]["node"]})
+            following = min((d for d in away.values() if d > far), default=None)
+            todo = [i for i in rest if following is not None and (away[i] > far or away[i] >= following - far)]
+        return pa.Table.from_pylist(out, schema=schema)
+
+    return members.join(sets, "node").groupBy("bucket").applyInArrow(run, "a binary, b binary")
+
+
 def _links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b, similarity) that join all members of a bucket that are similar, directly or through others."""
-    far, open_ = 1 - similarity, members.withColumn("root", F.col("node"))
-    found = []
+    """Links (a, b) that join all members of a bucket that are similar, directly or through others."""
+    far = 1 - similarity
+    first, open_ = _first_links(members, sets, similarity)
+    found = [first]
+    open_ = materialise(_unsettled(open_), "members")
     while True:
-        pivots = open_.groupBy("bucket").agg(
-            F.min(F.struct((F.col("root") != F.col("node")).alias("old"), F.col("node").alias("node"))).alias("p"), F.min("root").alias("r0"), F.max("root").alias("r1")
-        )
-        pivots = pivots.where("r0 != r1").select("bucket", F.col("p.node").alias("pivot"))  # else all are linked, or one is left
-        held = materialise(open_.join(pivots, "bucket").where("node != pivot"), "members")
-        pairs = held.select("pivot", "node").distinct()
-        compared = materialise(_compare(pairs, sets), "compared")
-        if compared.isEmpty():
+        found.append(materialise(_finish(open_.where(F.col("bytes") <= IN_A_TASK).drop("bytes", "size"), sets, similarity), "links"))
+        large = open_.where(F.col("bytes") > IN_A_TASK).drop("bytes")
+        if large.isEmpty():
             break
-        found.append(compared.where(F.col("similarity") >= similarity).select(F.col("pivot").alias("a"), F.col("node").alias("b"), "similarity"))
+        pivots = large.groupBy("bucket").agg(F.min(F.struct((F.col("root") != F.col("node")).alias("old"), "node")).alias("p")).select("bucket", F.col("p.node").alias("pivot"))
+        held = materialise(large.join(pivots, "bucket").where("node != pivot"), "members")
+        compared = materialise(_compare(held.select("pivot", "node").distinct(), sets), "compared")
+        found.append(compared.where(F.col("similarity") >= similarity).select(F.col("pivot").alias("a"), F.col("node").alias("b")))
         judged = held.join(compared, ["pivot", "node"]).withColumn("d", 1 - F.col("similarity"))
         nearest = judged.where(F.col("d") > far).groupBy("bucket").agg(F.min("d").alias("next"))
-        rest = judged.join(nearest, "bucket")  # where all are linked to the pivot, nothing is left
-        stay = (F.col("d") > far) | (F.col("d") >= F.col("next") - far)
-        open_ = rest.where(stay).select("bucket", "node", F.when(F.col("d") <= far, F.col("pivot")).otherwise(F.col("root")).alias("root"))
-        open_ = materialise(open_, "members")
-    if not found:
-        return members.sparkSession.createDataFrame([], "a binary, b binary, similarity double")
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionAll(more)
-    return out
+        # where all are linked to the pivot, nothing is left
+        stay = judged.join(nearest, "bucket").where((F.col("d") > far) | (F.col("d") >= F.col("next") - far))
+        root = F.when(F.col("d") <= far, F.col("pivot")).otherwise(F.col("root"))
+        open_ = materialise(_unsettled(stay.select("bucket", "node", "size", root.alias("root"))), "members")
+    return reduce(DataFrame.unionAll, found)
 
 
 def near_classes(
@@ -258,7 +313,7 @@ def near_classes(
     bands: int = BANDS,
     rows: int = ROWS,
     idf: float = IDF,
-    block_bytes: int = B.BLOCK_BYTES,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """doc_id, class_id, class_size for each row: rows that are linked, directly or through others, share a class.
 
@@ -280,7 +335,8 @@ def near_classes(
     nodes = members.select("node").distinct()
     sets = may.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("keys").alias("keys"), F.min("weights").alias("weights"))
     sets = materialise(sets, "sets")
-    roots = components(_links(members, sets, similarity).select("a", "b"))
+    sizes = sets.select("node", (F.length("keys") + F.length("weights")).cast("long").alias("size"))
+    roots = components(_links(members.join(sizes, "node"), sets, similarity))
     rows_of = may.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
     classes = rows_of.groupBy(F.col("root").alias("r")).agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     linked = rows_of.join(classes, F.col("root") == F.col("r")).select("doc_id", "class_id", "class_size")

@@ -69,7 +69,7 @@ def family(base, n, edits, seed):
     return out
 
 
-def test_near_classes_of_large_groups(spark):
+def test_near_classes_of_large_groups(spark, monkeypatch):
     """Many near copies, chains of copies, families that share half of their text, short and empty texts."""
     rng = np.random.default_rng(1)
     half = [f"s{i}" for i in range(100)]
@@ -85,6 +85,10 @@ def test_near_classes_of_large_groups(spark):
     want = plain_classes({int(i): texts[j] for i, j in enumerate(order)})
     got = {r["doc_id"]: r["class_id"] for r in N.near_classes(docs).collect()}
     assert got == want
+    # every bucket by rounds of pivots, none at once
+    monkeypatch.setattr(N, "IN_A_TASK", -1)
+    assert {r["doc_id"]: r["class_id"] for r in N.near_classes(docs, bands=8, rows=2).collect()} == want
+    monkeypatch.undo()
     # few bands of one sample: buckets with members that are far apart, several pivots each
     many = {r["doc_id"]: r["class_id"] for r in N.near_classes(docs, bands=40, rows=1).collect()}
     assert many == want
