@@ -1 +1 @@
-
+"""Functions over values and columns."""

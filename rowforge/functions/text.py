@@ -85,7 +85,8 @@ def typed_json(value: Column, kind: T.DataType) -> Column:
             for i, f in enumerate(kind.fields)
         ]
         return F.when(items.isNotNull(), F.struct(*fields))
-    return F.from_json(value, kind)
+    # a struct of what is no JSON would be one of nulls
+    return F.when(F.try_parse_json(value).isNotNull(), F.from_json(value, kind))
 
 
 def normalize_columns(df: DataFrame, kinds: dict[str, T.DataType], keep_raw: bool = False) -> DataFrame:

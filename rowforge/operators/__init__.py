@@ -1 +1 @@
-
+"""Operators: the calls, their state, and the verb."""

@@ -257,7 +257,7 @@ def search_rate_columns(fields: Column, parallel: Column, per_field: Column, del
 
 def warn_search_rate(rows: int, fields: int, options: Options) -> None:
     s = options.search
-    if s is None or not (options.parallel_requests > 1 or (s.per_field and fields * rows > 100)):
+    if s is None or s.provider == "corpus" or not (options.parallel_requests > 1 or (s.per_field and fields * rows > 100)):
         return
     r = search_rate(rows, fields, options.parallel_requests, s.per_field, options.rate_limit_delay, s.provider)
     if r.risky:

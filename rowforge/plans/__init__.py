@@ -1 +1 @@
-
+"""Planning of calls."""

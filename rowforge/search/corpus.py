@@ -23,12 +23,10 @@ class CorpusSearch(SearchProvider):
         return search_count
 
 
-def find_terms(terms: DataFrame, corpus: DataFrame, term: str, text: str) -> DataFrame:
-    """Pairs of a term and a row of ``corpus`` whose text contains it, without regard to case.
+def find_terms(terms: list[str], corpus: DataFrame, text: str, name: str = "term") -> DataFrame:
+    """Pairs of a term and a row of ``corpus`` whose text contains it, without regard to case; the term under ``name``.
 
-    The terms become one array that goes to every task, so the corpus is read once and not shuffled; meant for a list
-    of terms that a person would write.
+    The terms are a list that a person wrote; they are part of the plan, so the corpus is read once and not shuffled.
     """
-    held = terms.select(F.lower(F.col(term)).alias("t"), F.col(term).alias("as_given")).distinct().agg(F.collect_list(F.struct("t", "as_given")).alias("l")).scalar()
-    hits = F.filter(held, lambda x: F.contains(F.lower(F.col(text)), x["t"]))
-    return corpus.withColumn("_hit", F.explode(hits)).withColumn(term, F.col("_hit.as_given")).drop("_hit")
+    hits = F.array_compact(F.array(*[F.when(F.contains(F.lower(F.col(text)), F.lit(t.lower())), F.lit(t)) for t in dict.fromkeys(terms)]))
+    return corpus.withColumn(name, F.explode(hits))
