@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tests.conftest import MEDIUM, SMALL
+from tests.conftest import SMALL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -38,4 +38,4 @@ def test_every_query_has_sql_or_a_reason():
 
 def test_entry(spark):
     assert {r["label"] for r in entry.entry(spark).collect()} <= {"pos", "neg", "neu"}
-    assert MEDIUM
+
