@@ -4,7 +4,7 @@
    size and the excess goes to the others by weight, until none is above.
 2. Draw. A source is taken whole as often as its target holds it, and once more in part: its rows are dealt to
    blocks by a hash, blocks are taken in permuted order until the next one would pass the target, that block is
-   split the same way, and of the last small block documents are taken in permuted order where they still fit.
+   split the same way, and of the last small block documents are taken where they still fit, in the best of some orders.
 3. Split. The number of blocks each source gives is an exact quota. A binary tree over the output shards splits
    the quotas: at each node a multivariate hypergeometric draw says how many blocks of each source go left. Then
    the permuted blocks of a source are cut by its quotas, so the shards' blocks are disjoint.
@@ -99,6 +99,8 @@ def split_tree(quotas: list[int], shards: int, seed: int) -> list[list[int]]:
     return out
 
 
+#: Orders in which the documents of the last block are tried.
+PERMUTATIONS = 24
 #: Sources up to which their figures are broadcast, a row each; beyond, joins on the source are left to Spark.
 FEW_SOURCES = 20_000
 
@@ -193,7 +195,7 @@ def plan_mix(
         sized.where((F.col("rest") > 0) & inside)
         .groupBy("key", "rest")
         .agg(F.array_sort(F.collect_list(F.struct("h", "n"))).alias("rows"))  # about BLOCK_ROWS rows
-        .select("key", F.explode(_fitting(F.col("rows"), F.col("rest"))).alias("h"))
+        .select("key", F.explode(_best_fit(F.col("rows"), F.col("rest"))).alias("h"))
         .distinct()
         .select(F.col("key").alias("k2"), F.col("h").alias("h2"))
     )
@@ -256,8 +258,17 @@ def _blocks(rows: int) -> int:
     return max(1, min(FAN, rows // 32))
 
 
+def _best_fit(rows: Column, room: Column) -> Column:
+    """Of (h, n), the h that are taken: of some permutations the one whose documents leave the least room."""
+
+    def tried(k: Column) -> Column:
+        return _fitting(F.array_sort(F.transform(rows, lambda r: F.struct(F.xxhash64(r["h"], k).alias("o"), r["h"].alias("h"), r["n"].alias("n")))), room)
+
+    return F.array_min(F.transform(F.sequence(F.lit(1), F.lit(PERMUTATIONS)), tried))["taken"]
+
+
 def _fitting(rows: Column, room: Column) -> Column:
-    """Of (h, n) in order, the h of those that still fit in the room; always with those of size 0 left out."""
+    """Of (h, n) in order, those that still fit in the room: what is left of it, and their h. Those of size 0 are left out."""
     start = F.struct(room.alias("room"), F.array().cast("array<long>").alias("taken"))
     return F.aggregate(
         rows,
@@ -266,7 +277,6 @@ def _fitting(rows: Column, room: Column) -> Column:
             (r["n"] > 0) & (r["n"] <= acc["room"]),
             F.struct((acc["room"] - r["n"]).alias("room"), F.concat(acc["taken"], F.array(r["h"])).alias("taken")),
         ).otherwise(acc),
-        lambda acc: acc["taken"],
     )
 
 
