@@ -41,24 +41,36 @@ def hilbert_index(cells: list[Column], bits: int) -> Column:
         return F.transform(x, lambda v, k: F.when(k == 0, new_first).when(k == at, new_mine).otherwise(v))
 
     turned = F.aggregate(steps, axes, step) if bits > 1 else axes
-    coded = F.transform(turned, lambda v, k: F.aggregate(F.slice(turned, 1, k + 1), F.lit(0).cast("long"), lambda a, b: a.bitwiseXOR(b)))
+    return _let(turned, lambda x: _let(_gray(x), lambda g: _interleaved(g, n, bits)))
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _gray(axes: Column) -> Column:
+    """Each axis is the exclusive or of itself and all before it."""
+    return F.transform(axes, lambda v, k: F.aggregate(F.slice(axes, 1, k + 1), F.lit(0).cast("long"), lambda a, b: a.bitwiseXOR(b)))
+
+
+def _interleaved(coded: Column, n: int, bits: int) -> Column:
+    """The bits of all axes, highest first, after the last axis has inverted the low bits of all."""
     last = F.get(coded, F.lit(n - 1))
     mask = reduce(
         lambda a, b: a.bitwiseXOR(F.when(last.bitwiseAND(F.lit(1 << b).cast("long")) != 0, F.lit((1 << b) - 1)).otherwise(F.lit(0)).cast("long")),
         range(bits - 1, 0, -1),
         F.lit(0).cast("long"),
     )
-    pairs = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(i).alias("i")) for b in range(bits - 1, -1, -1) for i in range(n)])
-    both = F.struct(coded.alias("x"), mask.alias("m"))
-    return F.aggregate(
-        pairs,
-        F.struct(F.lit(0).cast("long").alias("out"), both.alias("v")),
-        lambda acc, p: F.struct(
-            (acc["out"] * 2 + F.call_function("getbit", F.get(acc["v"]["x"], p["i"]).bitwiseXOR(acc["v"]["m"]), p["b"])).alias("out"),
-            acc["v"].alias("v"),
-        ),
-        lambda acc: acc["out"],
-    )
+
+    def spread(flipped: Column) -> Column:
+        out = F.lit(0).cast("long")
+        for b in range(bits - 1, -1, -1):
+            for i in range(n):
+                out = out * 2 + F.shiftright(F.get(flipped, F.lit(i)), b).bitwiseAND(F.lit(1).cast("long"))
+        return out
+
+    return _let(_let(mask, lambda m: F.transform(coded, lambda v: v.bitwiseXOR(m))), spread)
 
 
 def quantise(value: Column, low, high, bits: int) -> Column:
