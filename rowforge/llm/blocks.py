@@ -197,9 +197,3 @@ def answer(requests: DataFrame, run: Callable[[pa.Table], pa.Table], schema: str
 
 def size_of(docs: DataFrame, text: str) -> int:
     return text_bytes(docs, text)
-
-
-def nothing(schema: pa.Schema) -> pa.Table:
-    return schema.empty_table()
-
-

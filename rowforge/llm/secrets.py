@@ -15,7 +15,6 @@ part that needs a role asks whether the window holds any interval of it, and no
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -157,8 +156,3 @@ def scan_secrets(docs: DataFrame, text: str = "text", name: str = "spans", carry
                 yield pa.RecordBatch.from_arrays([*rows.columns[:held], pa.array(found, type=kind)], schema=schema)
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields[:held], T.StructField(name, SPANS)]))
-
-
-def digest_of(spans: list[tuple[int, int, str]]) -> str:
-    """SHA-256 of kind:start:end, comma-joined: what the query's native expression gives, for tests."""
-    return hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, e, k in spans).encode()).hexdigest()
