@@ -123,7 +123,7 @@ def provider_info(provider: str | None) -> ProviderInfo:
 def check_dependency(package: str, install: str) -> None:
     """``ImportError`` with what to install if a package is not there."""
     if importlib.util.find_spec(package) is None:
-        raise ImportError(f"'{package}' is not installed; run: pip install {install}")
+        raise ImportError(missing_package(package, install))
 
 
 def check_provider(provider: str) -> None:

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SLOT = "{texto}"
-_SLOTS = (SLOT, "{text}")
 
 
 def template(prompt: str) -> str:
@@ -72,10 +71,6 @@ def normalize_value(value):
     return value
 
 
-def looks_like_json(value: Column) -> Column:
-    return F.regexp_replace(value, r"^\s+", "").rlike(r"^[\[{]")
-
-
 def typed_json(value: Column, kind: T.DataType) -> Column:
     """A JSON string as a column type; a JSON array becomes a struct of its places where the type is one of a tuple."""
     if isinstance(kind, T.StructType) and kind.fieldNames() and all(n == f"_{i}" for i, n in enumerate(kind.fieldNames(), 1)):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import os
 import tempfile
 import uuid
@@ -144,7 +143,3 @@ def save_table(df: DataFrame, path: str) -> None:
     fs.delete(target, True)
     fs.rename(made, target)
     fs.delete(jvm.org.apache.hadoop.fs.Path(tmp), True)
-
-
-def parse_trace(text: str | None):
-    return json.loads(text) if text else None
