@@ -39,7 +39,7 @@ _ANSWER = "block long, part int, counts binary"
 _SIGNED = "doc_id long, node binary, buckets array<long>, keys binary, weights binary"
 _TABLE_BITS = 16
 #: Bytes of the sets of a bucket up to which one task finishes it; larger buckets are taken apart by pivots first.
-IN_A_TASK = 16 << 20
+IN_A_TASK = 24 << 20
 #: UTF-8 bytes of text in a block.
 BLOCK_BYTES = 3 << 20
 
@@ -249,33 +249,61 @@ def _unsettled(members: DataFrame) -> DataFrame:
     return members.join(open_.select("bucket", "bytes"), "bucket")
 
 
+def join_similar(keys: list[np.ndarray], weights: list[np.ndarray], roots: list, similarity: float) -> list[tuple[int, int]]:
+    """Links that join all similar sets, directly or through others, beyond what equal ``roots`` say.
+
+    A set whose shingles that no other set has hold too much of its weight can have no link here and is left out, as
+    often as this leaves out more. Then one set after the other is compared with all that are left, in one go.
+    """
+    sizes = np.array([len(k) for k in keys])
+    _, token = np.unique(np.concatenate(keys), return_inverse=True)
+    weight, owner = np.concatenate(weights).astype(np.float64), np.repeat(np.arange(len(keys)), sizes)
+    whole = np.bincount(owner, weights=weight, minlength=len(keys))
+    while True:
+        held = np.bincount(token)
+        shared = np.bincount(owner, weights=np.where(held[token] > 1, weight, 0), minlength=len(keys))
+        stay = (shared >= (similarity - 1e-6) * whole)[owner]
+        if stay.all():
+            break
+        token, weight, owner = token[stay], weight[stay], owner[stay]
+    up = {r: r for r in roots}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    out, far, mine = [], 1 - similarity, np.zeros(int(token.max(initial=0)) + 1)
+    todo = np.unique(owner)
+    while len(todo) > 1 and len({root(roots[i]) for i in todo}) > 1:
+        pivot, rest = todo[0], todo[1:]
+        own = owner == pivot
+        mine[token[own]] = weight[own]
+        both = np.bincount(owner, weights=np.minimum(mine[token], weight), minlength=len(keys))[rest]
+        mine[token[own]] = 0
+        away = 1 - both / (whole[pivot] + whole[rest] - both)
+        for i in rest[away <= far + 1e-9]:
+            a, b = root(roots[pivot]), root(roots[i])
+            if a != b:
+                up[max(a, b)] = min(a, b)
+                out.append((int(pivot), int(i)))
+        beyond = away[away > far]
+        todo = rest[(away > far) | (away >= beyond.min() - far)] if len(beyond) else rest[:0]
+        left = np.zeros(len(keys), bool)
+        left[todo] = True
+        left = left[owner]
+        token, weight, owner = token[left], weight[left], owner[left]
+    return out
+
+
 def _finish(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Links that join what is similar in buckets whose sets fit in a task, each bucket worked off at once."""
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["node"])
-        held = [(B.unpack_sorted(r["keys"]), np.frombuffer(r["weights"], np.float32)) for r in rows]
-        up = {r["root"]: r["root"] for r in rows}
-
-        def root(x: bytes) -> bytes:
-            while up[x] != x:
-                x = up[x]
-            return x
-
-        out, far = [], 1 - similarity
-        todo = list(range(len(rows)))
-        while len({root(rows[i]["root"]) for i in todo}) > 1:
-            pivot, *rest = todo
-            away = {i: 1 - similarity_of(*held[pivot], *held[i]) for i in rest}
-            for i in rest:
-                mine, other = root(rows[pivot]["root"]), root(rows[i]["root"])
-                if away[i] <= far and mine != other:
-                    up[max(mine, other)] = min(mine, other)
-                    out.append({"a": rows[pivot]["node"], "b": rows[i]["node"]})
-            following = min((d for d in away.values() if d > far), default=None)
-            todo = [i for i in rest if following is not None and (away[i] > far or away[i] >= following - far)]
-        return pa.Table.from_pylist(out, schema=schema)
+        links = join_similar([B.unpack_sorted(r["keys"]) for r in rows], [np.frombuffer(r["weights"], np.float32) for r in rows], [r["root"] for r in rows], similarity)
+        return pa.Table.from_pylist([{"a": rows[i]["node"], "b": rows[j]["node"]} for i, j in links], schema=schema)
 
     return members.join(sets, "node").groupBy("bucket").applyInArrow(run, "a binary, b binary")
 
