@@ -27,8 +27,10 @@ from .arrays import Texts, chunks, span_hashes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text that share a suffix array, and units that a worker remembers between batches.
-BATCH, REMEMBERED = 4 << 20, 400_000
-_SPACE, _MARK = b" ", "▁"
+BATCH, REMEMBERED = 2 << 20, 250_000
+#: Pairs of pieces of which a worker remembers whether they are compatible.
+REMEMBERED_PAIRS = 1_500_000
+_MARK = "▁"
 _FAR = np.int64(1) << 40
 
 
@@ -202,7 +204,7 @@ class Matcher:
         if len(new):
             fresh = self._undo(new // self.n, new % self.n)
             out[~have] = fresh
-            if len(self.known) > 4_000_000:
+            if len(self.known) > REMEMBERED_PAIRS:
                 self.known, self.valid = self.known[:0], self.valid[:0]
             keys = np.concatenate([self.known, new])
             order = np.argsort(keys, kind="stable")
