@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 import warnings
+from functools import reduce
 
 from pydantic import BaseModel
 from pyspark.sql import DataFrame, SparkSession
@@ -75,18 +76,31 @@ def _once_for_each_text(df: DataFrame, text: str, plan: CallPlan, o: Options) ->
     return df.join(held, F.col(f"`{text}`").eqNullSafe(F.col("_t")), "left").drop("_t"), held
 
 
-def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
-    """``df``, written, with the rows' places in the order of ``key`` under ``name``. No task sees all rows."""
+def numbered(df: DataFrame, key: str, name: str) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """``df``, written in the order of ``key``, with numbers under ``name`` that ascend with it; the numbers' ranges.
+
+    A range is the first number of a partition and how many rows it has. No task sees all rows.
+    """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     held = df.repartitionByRange(parts, key).sortWithinPartitions(key).withColumn(name, F.monotonically_increasing_id())
     held = state.write_once(held, "numbered")
     sizes = held.groupBy(F.shiftright(name, 33).alias("p")).count().orderBy("p").collect()  # a row for each partition
-    starts, at = {}, 0
-    for r in sizes:
-        starts[r["p"]] = at
-        at += r["count"]
-    start = F.create_map(*[F.lit(x) for pair in starts.items() for x in pair]) if starts else F.create_map().cast("map<long,int>")
-    return held.withColumn(name, F.element_at(start, F.shiftright(name, 33)) + F.col(name).bitwiseAND(F.lit((1 << 33) - 1)))
+    return held, [(r["p"] << 33, r["count"]) for r in sizes]
+
+
+def slices(ranges: list[tuple[int, int]], size: int) -> list[list[tuple[int, int]]]:
+    """Consecutive slices of ``size`` rows (the last may have fewer), each as ranges (first, last) of numbers."""
+    out, room = [], 0
+    for first, n in ranges:
+        at = 0
+        while at < n:
+            if not room:
+                out.append([])
+                room = size
+            take = min(room, n - at)
+            out[-1].append((first + at, first + at + take - 1))
+            at, room = at + take, room - take
+    return out
 
 
 def _by_batch(df: DataFrame, text: str, plan: CallPlan, o: Options, key: str | None) -> DataFrame:
@@ -102,11 +116,11 @@ def _by_batch(df: DataFrame, text: str, plan: CallPlan, o: Options, key: str | N
     if before is not None:
         before = before.where(F.col(RESULT)["status"] == "processed")
         df = df.join(before.select(key), key, "left_anti")
-    held = numbered(df, key, "_place")
-    n = held.count()
-    for lo in range(0, n, o.batch_size):
-        batch = held.where(F.col("_place").between(lo, lo + o.batch_size - 1)).drop("_place")
-        point.save(execute(batch, text, plan, o))
+    held, ranges = numbered(df, key, "_place")
+    for part in slices(ranges, o.batch_size):
+        # ranges of a sorted column: the scan skips all other row groups
+        here = reduce(lambda a, b: a | b, [F.col("_place").between(lo, hi) for lo, hi in part])
+        point.save(execute(held.where(here).drop("_place"), text, plan, o))
     done = point.done(kind)
     if done is None:
         return execute(df.limit(0), text, plan, o)

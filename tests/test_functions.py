@@ -16,6 +16,7 @@ from rowforge.functions import conditions as C
 from rowforge.functions import schema as S
 from rowforge.functions import text as X
 from rowforge.functions import usage as U
+from rowforge.operators.enrich import slices
 from rowforge.operators.executor import concurrency
 from rowforge.operators.state import ordered
 from rowforge.plans import planner as P
@@ -367,5 +368,6 @@ def test_rates(case, risky):
 
 
 def test_small_parts():
+    assert slices([(0, 3), (100, 1), (200, 4)], 3) == [[(0, 2)], [(100, 100), (200, 201)], [(202, 203)]] and slices([], 2) == []
     assert concurrency(1, 8) == (1, 1) and concurrency(12, 8) == (6, 2) and concurrency(7, 4) == (1, 7)
     assert ordered(["_status", "a", "_trace", "_trace_b", "_search_credits", "_input_tokens", "z", "_error_details"]) == ["a", "_trace", "z", "_trace_b", "_search_credits", "_input_tokens", "_status", "_error_details"]
