@@ -54,7 +54,7 @@ def op3_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_url_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page's URL, by the rules or else by the models of what they allow and block."""
     pages = _read(spark, sf_dir, "pages").select("page_id", "url")
-    return filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "score")
+    return filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", F.round("score", 6).alias("score"))
 
 
 def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +134,87 @@ QUERIES = {
     "pipeline": pipeline,
 }
 
+def _url_sql() -> str:
+    """The rules, the models of three characters' context, their calibration and the verdicts, in SQL."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    fold = f"translate(translate(url, '{upper}', '{upper.lower()}'), '123456789', '000000000')"
+    fits = []
+    for verdict, rule in sorted(URL_RULES, key=lambda r: -len(r[1])):
+        on, _, under = rule.partition("/")
+        fits.append((f"(host = '{on}' OR ends_with(host, '.{on}')) AND starts_with(path, '/{under}')", rule, verdict))
+    named = " ".join(f"WHEN {f} THEN '{r}'" for f, r, _ in fits)
+    judged = " ".join(f"WHEN {f} THEN '{v}'" for f, _, v in fits)
+    levels, smaller = [], "1.0 / 40"
+    for k in range(4):
+        levels.append(f"c{k} AS (SELECT substr(g, {4 - k}, {k + 1}) AS g, sum(a) AS a, sum(b) AS b FROM counted GROUP BY 1)")
+        levels.append(f"x{k} AS (SELECT substr(g, 1, {k}) AS x, sum(a) AS a, sum(b) AS b FROM c{k} GROUP BY 1)")
+        lower = f" JOIN p{k - 1} q ON q.g = substr(c.g, 2, {k})" if k else ""
+        qa, qb = ("q.a", "q.b") if k else (smaller, smaller)
+        levels.append(f"p{k} AS (SELECT c.g, (c.a + 2.0::DOUBLE * {qa}) / (x.a + 2.0) AS a, (c.b + 2.0::DOUBLE * {qb}) / (x.b + 2.0) AS b FROM c{k} c JOIN x{k} x ON x.x = substr(c.g, 1, {k}){lower})")
+    return rf"""
+        WITH page AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
+        part AS (SELECT page_id, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{upper}', '{upper.lower()}') AS host,
+                        regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path,
+                        '^^^' || regexp_replace({fold}, '[^abcdefghijklmnopqrstuvwxyz0/.:?=&_%#-]', '~', 'g') || '$' AS text FROM page),
+        ruled AS (SELECT *, CASE {named} END AS rule, CASE {judged} END AS ruling FROM part),
+        seen AS (SELECT text, ruling, count(*) AS n, ('0x' || substr(md5(text), 1, 4))::INT % 5 = 0 AS held FROM ruled GROUP BY ALL),
+        gram AS (SELECT text, ruling, n, held, substr(text, i, 4) AS g FROM seen, unnest(range(1, length(text) - 2)) u(i)),
+        counted AS (SELECT g, sum(CASE WHEN ruling = 'allow' AND NOT held THEN n ELSE 0 END)::DOUBLE AS a, sum(CASE WHEN ruling = 'block' AND NOT held THEN n ELSE 0 END)::DOUBLE AS b FROM gram GROUP BY g),
+        {", ".join(levels)},
+        scored AS (SELECT text, sum(ln(a) - ln(b)) / count(*) AS score FROM (SELECT DISTINCT text FROM seen) s, unnest(range(1, length(text) - 2)) u(i) JOIN p3 ON p3.g = substr(text, i, 4) GROUP BY text),
+        fold AS (SELECT ruling, n, score FROM seen JOIN scored USING (text) WHERE held AND ruling IS NOT NULL),
+        ends AS (SELECT min(score) AS low, max(score) AS high, sum(n) FILTER (ruling = 'allow') AS good, sum(n) FILTER (ruling = 'block') AS bad FROM fold),
+        bin AS (SELECT b, coalesce(sum(n) FILTER (ruling = 'allow'), 0) AS good, coalesce(sum(n) FILTER (ruling = 'block'), 0) AS bad
+                FROM range(513) r(b) LEFT JOIN (SELECT *, floor((score - low) / ((high - low) / 512)) AS k FROM fold, ends WHERE high > low) ON k = b GROUP BY b),
+        rate AS (SELECT b, round(1 - coalesce(sum(bin.good) OVER below, 0) / ends.good + coalesce(sum(bin.bad) OVER below, 0) / ends.bad, 9) AS sep FROM bin, ends
+                 WINDOW below AS (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        cut AS (SELECT CASE WHEN NOT (SELECT coalesce(bool_or(ruling = 'allow'), false) AND coalesce(bool_or(ruling = 'block'), false) FROM seen WHERE NOT held) THEN '-inf'::DOUBLE
+                            WHEN coalesce(good, 0) = 0 OR coalesce(bad, 0) = 0 OR high <= low THEN 0
+                            ELSE low + (high - low) / 512 * (SELECT (min(b) + max(b)) / 2 FROM rate WHERE sep = (SELECT max(sep) FROM rate)) END AS least FROM ends)
+        SELECT page_id, host, path, rule, coalesce(ruling, CASE WHEN score >= (SELECT least FROM cut) THEN 'allow' ELSE 'block' END) AS verdict, round(score, 6) AS score
+        FROM ruled JOIN scored USING (text)
+    """
+
+
 ORACLE = {
+    "op4_url_ratio": _url_sql(),
+    # brute force over all pairs that share a shingle; what the buckets miss (4 of 10,000 pairs) would show here
+    "op2_weighted_minhash": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        shingle AS (SELECT doc_id, array_to_string(ws[i:i + 4], ' ') AS g FROM w, unnest(range(1, greatest(len(ws) - 4, least(len(ws), 1)) + 1)) u(i)),
+        tf AS (SELECT doc_id, g, count(*) AS c FROM shingle GROUP BY ALL),
+        df AS (SELECT g, count(*) AS f FROM tf GROUP BY g),
+        weight AS (SELECT doc_id, g, f, c * (1 + 0.25 * (1 - ln(f) / ln(greatest((SELECT count(*) FROM documents), 2)))) AS w FROM tf JOIN df USING (g)),
+        whole AS (SELECT doc_id, sum(w) AS s FROM weight GROUP BY doc_id),
+        pair AS (SELECT a.doc_id AS x, b.doc_id AS y, sum(least(a.w, b.w)) AS m FROM weight a JOIN weight b ON a.g = b.g AND a.doc_id < b.doc_id WHERE a.f > 1 GROUP BY ALL),
+        link AS (SELECT x, y FROM pair JOIN whole p ON p.doc_id = x JOIN whole q ON q.doc_id = y WHERE m / (p.s + q.s - m) >= 0.8),
+        way AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+        reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT a, y FROM reach JOIN way ON b = x),
+        class AS (SELECT a AS doc_id, min(b) AS class_id FROM reach GROUP BY a)
+        SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size FROM class
+    """,
+    "op3_repetition": r"""
+        WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        word AS (SELECT doc_id, i, length(ws[i]) AS chars FROM w, unnest(range(1, len(ws) + 1)) u(i)),
+        size AS (SELECT doc_id, count(*) AS n_words, CAST(sum(chars) AS BIGINT) AS word_chars FROM word GROUP BY doc_id),
+        gram AS (SELECT doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') AS g
+                 FROM w, (VALUES (5, 0.30), (6, 0.29), (7, 0.28), (8, 0.27), (9, 0.26), (10, 0.25)) k(n, most), unnest(range(1, len(ws) - n + 2)) u(i)),
+        twice AS (SELECT doc_id, n, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, n, g) AS c FROM gram) WHERE c > 1),
+        inside AS (SELECT DISTINCT doc_id, n, i + j AS i FROM twice, unnest(range(0, n)) v(j)),
+        cover AS (SELECT doc_id, n, count(*) AS words, CAST(sum(chars) AS BIGINT) AS chars FROM inside JOIN word USING (doc_id, i) GROUP BY doc_id, n),
+        share AS (SELECT doc_id, max(CASE WHEN n = 5 THEN words END) AS n_repeat_words, max(chars / word_chars) AS dup_ngram_share, bool_or(chars / word_chars > 0.35 - n * 0.01) AS bad
+                  FROM cover JOIN size USING (doc_id) GROUP BY doc_id),
+        line AS (SELECT doc_id, pos, string_split(text, chr(10))[pos] AS l FROM w, unnest(range(1, len(string_split(text, chr(10))) + 1)) u(pos)),
+        again AS (SELECT doc_id, count(*) AS n_dup_lines, CAST(sum(length(regexp_replace(l, '[\x20\x09-\x0D]', '', 'g'))) AS BIGINT) AS chars
+                  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, l ORDER BY pos) AS k FROM line WHERE regexp_matches(l, '[^\x20\x09-\x0D]')) WHERE k > 1 GROUP BY doc_id),
+        every AS (SELECT w.doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+                         coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(again.chars / word_chars, 0) AS dup_line_share,
+                         coalesce(dup_ngram_share, 0) AS dup_ngram_share, coalesce(bad, false) OR coalesce(again.chars / word_chars, 0) > 0.25 AS bad
+                  FROM w LEFT JOIN size USING (doc_id) LEFT JOIN share USING (doc_id) LEFT JOIN again USING (doc_id))
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+               NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR bad) AS kept, dup_line_share, dup_ngram_share
+        FROM every
+    """,
     "op9_lsm_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,

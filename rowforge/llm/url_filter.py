@@ -95,7 +95,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url"
     text = normal(F.col(url))
     seen = pages.groupBy(text.alias("text"), rule_of(host, path, rules)["verdict"].alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
     seen = materialise(seen, "urls")  # one row for each text of a URL and what the rules say
-    held = F.pmod(F.xxhash64("text"), F.lit(HELD_OUT)) == 0
+    held = F.conv(F.substring(F.md5("text"), 1, 4), 16, 10).cast("int") % HELD_OUT == 0
 
     def of(verdict: str) -> Column:
         return F.when((F.col("verdict") == verdict) & ~held, F.col("n")).otherwise(0)
