@@ -28,13 +28,25 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/rowforge/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+#: Rows of a small table that make a file worth writing.
+FILE_ROWS = 200_000
+
+
+def sized(df: DataFrame, rows: int | None, file_rows: int = FILE_ROWS) -> DataFrame:
+    """``df`` in no more partitions than about ``rows`` rows need, but enough to keep all cores busy."""
+    if rows is None:
+        return df
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // file_rows)))
+
+
+def materialise(df: DataFrame, name: str, rows: int | None = None, file_rows: int = FILE_ROWS) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
-    This cuts the lineage in a way that survives lost executors: every later reader sees the same rows.
+    This cuts the lineage in a way that survives lost executors: every later reader sees the same rows. ``rows``, where
+    it is known, sizes the files: a table of few rows should not be as many files as an exchange has partitions.
     """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    sized(df, rows, file_rows).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -203,7 +203,8 @@ def plan_mix(
         "key", "h", "n", "source_words", "goal", "whole", "blocks",
         (F.col("whole") + (((F.col("rest") > 0) & before) | F.col("h2").isNotNull()).cast("int")).alias("copies"),
     )
-    drawn = materialise(drawn, "mix-drawn")
+    rows_in_all = sum(r for r, _ in stats.values())
+    drawn = materialise(drawn, "mix-drawn", rows_in_all)
 
     # blocks: of each whole copy all, of the partial copy those that give a document
     block = F.pmod(F.shiftrightunsigned("h", 20), F.col("blocks"))
@@ -213,7 +214,7 @@ def plan_mix(
         .agg(F.max("copies").alias("copies"))
         .select("key", "block", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("epoch"))
     )
-    units = materialise(units, "mix-blocks")
+    units = materialise(units, "mix-blocks", rows_in_all)
     quotas = {r["key"]: r["count"] for r in units.groupBy("key").count().collect()}
     given = [k for k in order if k in quotas]
     cuts = []

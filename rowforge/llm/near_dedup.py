@@ -205,12 +205,12 @@ def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "pivot binary, node binary, similarity double")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """(node, root) of the nodes of ``edges`` (a, b): the least node of each connected component.
 
     Alternating large-star and small-star; each step is a minimum by node and a join, both of which spread a hot node.
     """
-    now = materialise(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    now = materialise(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", rows)
     mark = None
     while True:
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -218,7 +218,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         least = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
         small = large.join(least, F.col("a") == F.col("u")).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
-        now = materialise(small.select("e.a", "e.b").where("a != b").distinct(), "edges")
+        now = materialise(small.select("e.a", "e.b").where("a != b").distinct(), "edges", rows)
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(seen) == mark:
             break
@@ -227,7 +227,7 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(roots)
 
 
-def _first_links(members: DataFrame, sets: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+def _first_links(members: DataFrame, sets: DataFrame, similarity: float, rows: int) -> tuple[DataFrame, DataFrame]:
     """Links of each node to the least pivot of its buckets, where they are similar; and the members' roots by these.
 
     A bucket's pivot is its least node, so the least node of a group of copies is the pivot of nearly all of them,
@@ -235,11 +235,11 @@ def _first_links(members: DataFrame, sets: DataFrame, similarity: float) -> tupl
     """
     pivots = members.groupBy("bucket").agg(F.min("node").alias("pivot"))
     least = members.join(pivots, "bucket").groupBy("node").agg(F.min("pivot").alias("pivot")).where("pivot != node")
-    compared = materialise(_compare(least, sets), "compared")
+    compared = materialise(_compare(least, sets), "compared", rows, 20_000)
     links = compared.where(F.col("similarity") >= similarity).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     up = links.select(F.col("b").alias("node"), F.col("a").alias("r1"))
     over = links.select(F.col("b").alias("r1"), F.col("a").alias("r2"))
-    roots = materialise(up.join(over, "r1", "left").select("node", F.coalesce("r2", "r1").alias("root")), "roots")
+    roots = materialise(up.join(over, "r1", "left").select("node", F.coalesce("r2", "r1").alias("root")), "roots", rows)
     return links, members.join(roots, "node", "left").select("bucket", "node", "size", F.coalesce("root", "node").alias("root"))
 
 
@@ -308,27 +308,27 @@ def _finish(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return members.join(sets, "node").groupBy("bucket").applyInArrow(run, "a binary, b binary")
 
 
-def _links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _links(members: DataFrame, sets: DataFrame, similarity: float, rows: int) -> DataFrame:
     """Links (a, b) that join all members of a bucket that are similar, directly or through others."""
     far = 1 - similarity
-    first, open_ = _first_links(members, sets, similarity)
+    first, open_ = _first_links(members, sets, similarity, rows)
     found = [first]
-    open_ = materialise(_unsettled(open_), "members")
+    open_ = materialise(_unsettled(open_), "members", rows)
     while True:
-        found.append(materialise(_finish(open_.where(F.col("bytes") <= IN_A_TASK).drop("bytes", "size"), sets, similarity), "links"))
+        found.append(materialise(_finish(open_.where(F.col("bytes") <= IN_A_TASK).drop("bytes", "size"), sets, similarity), "links", rows, 20_000))
         large = open_.where(F.col("bytes") > IN_A_TASK).drop("bytes")
         if large.isEmpty():
             break
         pivots = large.groupBy("bucket").agg(F.min(F.struct((F.col("root") != F.col("node")).alias("old"), "node")).alias("p")).select("bucket", F.col("p.node").alias("pivot"))
-        held = materialise(large.join(pivots, "bucket").where("node != pivot"), "members")
-        compared = materialise(_compare(held.select("pivot", "node").distinct(), sets), "compared")
+        held = materialise(large.join(pivots, "bucket").where("node != pivot"), "members", rows)
+        compared = materialise(_compare(held.select("pivot", "node").distinct(), sets), "compared", rows, 20_000)
         found.append(compared.where(F.col("similarity") >= similarity).select(F.col("pivot").alias("a"), F.col("node").alias("b")))
         judged = held.join(compared, ["pivot", "node"]).withColumn("d", 1 - F.col("similarity"))
         nearest = judged.where(F.col("d") > far).groupBy("bucket").agg(F.min("d").alias("next"))
         # where all are linked to the pivot, nothing is left
         stay = judged.join(nearest, "bucket").where((F.col("d") > far) | (F.col("d") >= F.col("next") - far))
         root = F.when(F.col("d") <= far, F.col("pivot")).otherwise(F.col("root"))
-        open_ = materialise(_unsettled(stay.select("bucket", "node", "size", root.alias("root"))), "members")
+        open_ = materialise(_unsettled(stay.select("bucket", "node", "size", root.alias("root"))), "members", rows)
     return reduce(DataFrame.unionAll, found)
 
 
@@ -355,16 +355,16 @@ def near_classes(
     packed = B.pack_blocks(plain, block_bytes=block_bytes)
     asked = B.each_block(packed, _requests(parts, shingle), _REQUEST)
     told = B.answer(asked, _frequencies, _ANSWER)
-    signed = materialise(B.with_answers(packed, told, _sign(n, shingle, similarity, bands, rows, idf), _SIGNED), "signed")
+    signed = materialise(B.with_answers(packed, told, _sign(n, shingle, similarity, bands, rows, idf), _SIGNED), "signed", n, 5_000)
     may = signed.where("node is not null")
     members = may.select("node", F.explode("buckets").alias("bucket")).distinct()
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    members = materialise(members.join(shared, "bucket"), "members")
+    members = materialise(members.join(shared, "bucket"), "members", n)
     nodes = members.select("node").distinct()
     sets = may.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("keys").alias("keys"), F.min("weights").alias("weights"))
-    sets = materialise(sets, "sets")
+    sets = materialise(sets, "sets", n, 20_000)
     sizes = sets.select("node", (F.length("keys") + F.length("weights")).cast("long").alias("size"))
-    roots = components(_links(members.join(sizes, "node"), sets, similarity))
+    roots = components(_links(members.join(sizes, "node"), sets, similarity, n), n)
     rows_of = may.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
     classes = rows_of.groupBy(F.col("root").alias("r")).agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     linked = rows_of.join(classes, F.col("root") == F.col("r")).select("doc_id", "class_id", "class_size")
