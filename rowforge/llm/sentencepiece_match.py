@@ -28,6 +28,8 @@ from .arrays import Texts, chunks, span_hashes
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text that share a suffix array, and units that a worker remembers between batches.
 BATCH, REMEMBERED = 2 << 20, 250_000
+#: Bytes of different units that share a suffix array: an index has about five edges a byte.
+INDEXED = 128 << 10
 #: Pairs of pieces of which a worker remembers whether they are compatible.
 REMEMBERED_PAIRS = 1_500_000
 _MARK = "▁"
@@ -354,8 +356,10 @@ class Codec:
         odd = np.array([u.startswith(b"  ") or (not self.p.breaks and b"  " in u) for u in units])
         counts = np.zeros(len(units), np.int64)
         plain = np.flatnonzero(~odd)
-        flat, n = self.match.encode([units[i] for i in plain]) if len(plain) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        counts[plain] = n
+        group = np.cumsum([len(units[i]) for i in plain]) // INDEXED  # so that an index and its edges stay small
+        parts = [self.match.encode([units[i] for i in plain[group == g]]) for g in np.unique(group)]
+        flat = np.concatenate([np.zeros(0, np.int64), *[f for f, _ in parts]])
+        counts[plain] = np.concatenate([np.zeros(0, np.int64), *[n for _, n in parts]])
         extra = []
         for i in np.flatnonzero(odd):
             got = [x if x >= 0 else int(self.p.byte_ids[-1 - x]) for x in merge(units[i], self.p.ids, self.p.score)[0]]
