@@ -2,31 +2,33 @@
 
 1. Targets. Each source's share of all words follows its weight; a target stops at ``most`` times the source's
    size and the excess goes to the others by weight, until none is above.
-2. Draw. A source is taken whole as often as its target holds it, and once more in part: its rows are dealt to
-   blocks by a hash, blocks are taken in permuted order until the next one would pass the target, that block is
-   split the same way, and of the last small block documents are taken where they still fit, in the best of some orders.
+2. Draw. A source is taken whole as often as its target holds it, and once more in part: its rows are ordered by a
+   hash and cut into blocks, blocks are taken in order until the next one would pass the target, that block is split
+   the same way, and of the last small block documents are taken where they still fit, in the best of some orders.
+   With the room that is left the same goes on behind that block, over the documents that still fit, until none does.
 3. Split. The number of blocks each source gives is an exact quota. A binary tree over the output shards splits
    the quotas: at each node a multivariate hypergeometric draw says how many blocks of each source go left. Then
    the permuted blocks of a source are cut by its quotas, so the shards' blocks are disjoint.
 4. Shuffle. Each copy of a document has a random key, by which its shard is sorted when it is written.
 
 Rows move only to be counted by block and to learn their block's shard. The driver sees one row for each source
-and shard. A hot source is dealt to blocks like any other; no window holds more than ``FAN`` blocks of a source.
+and shard, and for each step of the draw. A hot source is dealt to blocks like any other; no window holds more than ``FAN`` blocks of a source.
 """
 
 from __future__ import annotations
 
 import random
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import fresh, materialise
 
-#: Blocks of a level; a power of two.
+#: Blocks of a level at most; a power of two.
 FAN = 4096
-#: A source of fewer rows is one block; larger ones are split until a block has about this many.
+#: Documents in order of their hash are split until a block has about this many, and no more than twice as many.
 BLOCK_ROWS = 128
 
 
@@ -111,8 +113,81 @@ def _figures(spark, rows: list[tuple], schema: str) -> DataFrame:
     return F.broadcast(frame) if len(rows) <= FEW_SOURCES else frame
 
 
-def _digit(hashed: str, level: int) -> Column:
-    return F.shiftrightunsigned(F.col(hashed), 12 * level).bitwiseAND(F.lit(FAN - 1))
+#: Bits of a document's place in the draw: its hash without the lowest bit, so that it is never negative.
+PLACE_BITS = 63
+
+
+def _place() -> Column:
+    return F.shiftrightunsigned("h", 1)
+
+
+def _finer(rows: int) -> int:
+    """Bits that split ``rows`` rows into blocks of about BLOCK_ROWS, FAN blocks at most."""
+    return max(1, min(FAN.bit_length() - 1, (-(-rows // BLOCK_ROWS) - 1).bit_length()))
+
+
+def _partial(spark: SparkSession, small: DataFrame, rest: dict[str, int]) -> tuple[dict[str, list[tuple]], DataFrame]:
+    """The partial copies, of about ``rest`` words for each source of ``small`` (key, n, h).
+
+    Ranges (from, to, most) of each source, in which documents of 1 to ``most`` words are all taken, and the
+    documents (k2, h2, n2) that are taken besides. A round narrows down to the small block where the room ends, level by
+    level, and fills it from that block. The next one goes on behind the block with the documents that fit in what is
+    left: less than the smallest document that was passed over, so rounds are few. Nothing that fits is left out.
+    """
+    ranges: dict[str, list[tuple]] = {k: [] for k in rest}
+    picked = []
+    end = (1 << PLACE_BITS) - 1
+    open_ = {k: (0, room) for k, room in rest.items() if room > 0}
+
+    def inside(ways: list[tuple]) -> DataFrame:
+        """The documents of 1 to ``most`` words in each source's way (from, to, most, room, bits of a block's width)."""
+        figures = _figures(spark, ways, "k string, lo long, hi long, most long, room long, width int")
+        found = small.join(figures, F.col("key") == F.col("k")).withColumn("at", _place())
+        return found.where(F.col("at").between(F.col("lo"), F.col("hi")) & F.col("n").between(F.lit(1), F.col("most")))
+
+    while open_:
+        ways = [(k, lo, end, room, room, PLACE_BITS) for k, (lo, room) in sorted(open_.items())]
+        left = inside(ways).groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n")).collect()
+        blocks, wide = {}, {}
+        for r in left:
+            lo, room = open_[r["key"]]
+            if r["n"] <= room:  # everything fits
+                ranges[r["key"]].append((lo, end, room))
+            elif r["rows"] <= 2 * BLOCK_ROWS:
+                blocks[r["key"]] = (lo, end, room)
+            else:
+                wide[r["key"]] = (lo, end, room, PLACE_BITS - _finer(r["rows"]))
+        while wide:
+            ways = [(k, lo, hi, open_[k][1], room, width) for k, (lo, hi, room, width) in sorted(wide.items())]
+            sums = inside(ways).groupBy("key", "room", F.expr("shiftrightunsigned(at, width)").alias("d")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"))
+            upto = F.sum("n").over(Window.partitionBy("key").orderBy("d"))  # FAN rows for each source at most
+            stop = sums.withColumn("upto", upto).where(F.col("upto") > F.col("room"))
+            narrowed = {}
+            for r in stop.groupBy("key").agg(F.min(F.struct("d", "upto", "n", "rows")).alias("b")).collect():
+                b, (lo, hi, room, width) = r["b"], wide[r["key"]]
+                begin, room = max(lo, b["d"] << width), room - (b["upto"] - b["n"])
+                if begin > lo:
+                    ranges[r["key"]].append((lo, begin - 1, open_[r["key"]][1]))
+                hi = min(hi, ((b["d"] + 1) << width) - 1)
+                if b["rows"] > 2 * BLOCK_ROWS and width > 0:
+                    narrowed[r["key"]] = (begin, hi, room, max(0, width - _finer(b["rows"])))
+                else:
+                    blocks[r["key"]] = (begin, hi, room)
+            wide = narrowed
+        open_ = {}
+        if blocks:
+            # about BLOCK_ROWS rows; those that agree in hash and size are one, of their common size
+            docs = inside([(k, lo, hi, room, room, PLACE_BITS) for k, (lo, hi, room) in sorted(blocks.items())])
+            docs = docs.groupBy("key", "room", "h", "n").agg(F.sum("n").alias("words"))
+            filled = docs.groupBy("key", "room").agg(F.array_sort(F.collect_list(F.struct("h", "n", "words"))).alias("rows"))
+            filled = materialise(filled.select("key", _best_fit(F.col("rows"), F.col("room")).alias("fit")), "mix-fit", len(blocks))
+            picked.append(filled.select("key", F.explode("fit.taken").alias("x")))
+            after = {k: room for k, (_, _, room) in blocks.items()}  # a block of which nothing fits has no row
+            after |= {r["key"]: r["room"] for r in filled.select("key", "fit.room").collect()}
+            open_ = {k: (blocks[k][1] + 1, room) for k, room in after.items() if room > 0 and blocks[k][1] < end}
+    none = spark.createDataFrame([], "key string, x struct<h: long, n: long>")
+    chosen = reduce(DataFrame.unionAll, picked) if picked else none
+    return ranges, chosen.select(F.col("key").alias("k2"), F.col("x.h").alias("h2"), F.col("x.n").alias("n2"))
 
 
 def plan_mix(
@@ -154,54 +229,18 @@ def plan_mix(
         whole[k] = min(int(most), int(t // words)) if words else 0
         rest[k] = max(0, round(t - whole[k] * words)) if words and whole[k] < most else 0
 
-    # the last, partial copy: narrow down to one small block for each source, level by level
-    fits, path, level = {k: [] for k in order}, {k: [] for k in order}, 0
-    deep = {k: 0 for k in order}
-    open_ = {k for k in order if rest[k] > 0 and stats[k][0] > BLOCK_ROWS}
-    while open_:
-        ways = _figures(spark, [(k, path[k], rest[k]) for k in sorted(open_)], "k string, path array<long>, rest long")
-        inside = small.join(ways, F.col("key") == F.col("k"))
-        for i in range(level):
-            inside = inside.where(_digit("h", i) == F.get("path", F.lit(i)))
-        sums = inside.groupBy("key", "rest", _digit("h", level).alias("d")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"))
-        upto = F.sum("n").over(Window.partitionBy("key").orderBy("d"))  # FAN rows for each source at most
-        stop = sums.withColumn("upto", upto).where(F.col("upto") > F.col("rest"))
-        found = stop.groupBy("key").agg(F.min(F.struct("d", "upto", "n", "rows")).alias("b")).collect()
-        for r in found:
-            b = r["b"]
-            path[r["key"]].append(b["d"])
-            rest[r["key"]] -= b["upto"] - b["n"]
-            deep[r["key"]] = level + 1
-            fits[r["key"]] = b["rows"]
-        missing = open_ - {r["key"] for r in found}
-        for k in missing:  # everything fits
-            path[k].append(FAN)
-            deep[k] = level + 1
-        level += 1
-        open_ = {r["key"] for r in found if r["b"]["rows"] > BLOCK_ROWS and level < 5}
+    ranges, last = _partial(spark, small, rest)
     plan = _figures(
         spark,
-        [(k, stats[k][1], float(t), whole[k], rest[k], path[k], _blocks(stats[k][0])) for k, t in zip(order, goal, strict=True)],
-        "k string, source_words long, goal double, whole int, rest long, path array<long>, blocks int",
+        [(k, stats[k][1], float(t), whole[k], ranges[k], _blocks(stats[k][0])) for k, t in zip(order, goal, strict=True)],
+        "k string, source_words long, goal double, whole int, ranges array<struct<lo: long, hi: long, most: long>>, blocks int",
     )
     sized = small.join(plan, F.col("key") == F.col("k"))
-    levels = max([len(p) for p in path.values()], default=0)
-    before, inside = F.lit(False), F.lit(True)
-    for i in range(levels):
-        here = F.coalesce(F.get("path", F.lit(i)), F.lit(-1))
-        before = before | (inside & (_digit("h", i) < here))
-        inside = inside & ((here == -1) | (_digit("h", i) == here))
-    last = (
-        sized.where((F.col("rest") > 0) & inside)
-        .groupBy("key", "rest")
-        .agg(F.array_sort(F.collect_list(F.struct("h", "n"))).alias("rows"))  # about BLOCK_ROWS rows
-        .select("key", F.explode(_best_fit(F.col("rows"), F.col("rest"))).alias("h"))
-        .distinct()
-        .select(F.col("key").alias("k2"), F.col("h").alias("h2"))
-    )
-    drawn = sized.join(last, (F.col("key") == F.col("k2")) & (F.col("h") == F.col("h2")), "left").select(
+    ranged = F.exists("ranges", lambda x: _place().between(x["lo"], x["hi"]) & F.col("n").between(F.lit(1), x["most"]))
+    same = (F.col("key") == F.col("k2")) & (F.col("h") == F.col("h2")) & (F.col("n") == F.col("n2"))
+    drawn = sized.join(last, same, "left").select(
         "key", "h", "n", "source_words", "goal", "whole", "blocks",
-        (F.col("whole") + (((F.col("rest") > 0) & before) | F.col("h2").isNotNull()).cast("int")).alias("copies"),
+        (F.col("whole") + (ranged | F.col("h2").isNotNull()).cast("int")).alias("copies"),
     )
     rows_in_all = sum(r for r, _ in stats.values())
     drawn = materialise(drawn, "mix-drawn", rows_in_all)
@@ -260,23 +299,23 @@ def _blocks(rows: int) -> int:
 
 
 def _best_fit(rows: Column, room: Column) -> Column:
-    """Of (h, n), the h that are taken: of some permutations the one whose documents leave the least room."""
+    """Of (h, n, words) those that are taken, and the room left: of some permutations the one that leaves the least."""
 
     def tried(k: Column) -> Column:
-        return _fitting(F.array_sort(F.transform(rows, lambda r: F.struct(F.xxhash64(r["h"], k).alias("o"), r["h"].alias("h"), r["n"].alias("n")))), room)
+        return _fitting(F.array_sort(F.transform(rows, lambda r: F.struct(F.xxhash64(r["h"], k).alias("o"), r["h"].alias("h"), r["n"].alias("n"), r["words"].alias("words")))), room)
 
-    return F.array_min(F.transform(F.sequence(F.lit(1), F.lit(PERMUTATIONS)), tried))["taken"]
+    return F.array_min(F.transform(F.sequence(F.lit(1), F.lit(PERMUTATIONS)), tried))
 
 
 def _fitting(rows: Column, room: Column) -> Column:
-    """Of (h, n) in order, those that still fit in the room: what is left of it, and their h. Those of size 0 are left out."""
-    start = F.struct(room.alias("room"), F.array().cast("array<long>").alias("taken"))
+    """Of (h, n, words) in order, those that still fit in the room: what is left of it, and their h and n."""
+    start = F.struct(room.alias("room"), F.array().cast("array<struct<h: long, n: long>>").alias("taken"))
     return F.aggregate(
         rows,
         start,
         lambda acc, r: F.when(
-            (r["n"] > 0) & (r["n"] <= acc["room"]),
-            F.struct((acc["room"] - r["n"]).alias("room"), F.concat(acc["taken"], F.array(r["h"])).alias("taken")),
+            r["words"] <= acc["room"],
+            F.struct((acc["room"] - r["words"]).alias("room"), F.concat(acc["taken"], F.array(F.struct(r["h"].alias("h"), r["n"].alias("n")))).alias("taken")),
         ).otherwise(acc),
     )
 

@@ -134,6 +134,22 @@ def test_mix(spark, sf_dir, odd_docs, no_docs):
     assert Counter(r["doc_id"] for r in mixed.collect()) == Counter({k: v for k, v in plan.items() if v})
 
 
+def test_mix_fills_the_room_past_a_long_document(spark):
+    """Sources of 1,000 rows in which one document holds a third of the words still meet their targets."""
+    rows = [(f"s{s:02}", i, 1 + (7 * i + s) % 9) for s in range(12) for i in range(999)]
+    total = {s: sum(r[2] for r in rows if r[0] == s) for s in {r[0] for r in rows}}
+    rows += [(s, 999, t // 2) for s, t in total.items()]
+    docs = spark.createDataFrame(rows, "source string, doc_id long, words long")
+    by = check_mix(M.plan_mix(docs, "source", F.col("words"), [F.col("source"), F.col("doc_id")]).collect())
+    assert len(by) == 12
+    for of in by.values():
+        assert abs(sum(r["taken"] for r in of) - of[0]["target"]) <= 1
+    # rows that agree in identifier and size are taken together or not at all, and count in full
+    twice = docs.unionAll(docs)
+    for of in check_mix(M.plan_mix(twice, "source", F.col("words"), [F.col("source"), F.col("doc_id")]).collect()).values():
+        assert abs(sum(r["taken"] for r in of) - of[0]["target"]) <= 2
+
+
 def brute_katz(rows):
     low = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
     import re
