@@ -1,13 +1,22 @@
-"""Packed blocks of documents, and counting keys across blocks without a row for each key.
+"""Packed blocks of documents, and sums over keys across blocks without a row for each key.
 
 Corpus statistics of n-grams have more keys than documents have words. Here a *block* (some megabytes of text) is one
-row: its identifiers, its sorted vocabulary of word hashes and its words as places in it. A block asks for the
-totals of its keys by sending, to each of many *parts* of the key space, one row with its sorted keys and its own
-counts; a part adds up and sends back totals in the order asked. Every key of every document is counted, exactly; a
-key that is in every document is one entry a block, and keys are hashes, so parts are even. What is shuffled is a few
-bytes a key instead of a row.
-
-Blocks are a table bucketed by block, so that they stay where they are when answers come.
+row: its identifiers, its sorted vocabulary of word hashes and its words as places in it. A block asks for sums over
+all blocks by sending, to each of some *ranges* of the key space, one row with its ascending keys and its own values; a
+range adds up and sends back what it found in the order asked. Every key of every document takes part; a key that is
+in every document is one entry a block, and keys are hashes, so ranges are even. What is shuffled is a few bytes a
+key instead of a row.
+
+A block asks ``FAN`` ranges at most, whatever the size of the input. Where more are needed for ranges to stay small,
+*relays* stand between: a relay speaks for up to ``FAN`` blocks in one range, merges their requests into one and asks
+the ``FAN`` ranges within it, and so on. So there are ``FAN`` rows a block and level at most, each with some thousands of
+keys, and levels grow as the logarithm of the input.
+
+Keys are 64-bit hashes: among n keys one shares its hash with another with a probability of n / 2 ** 64, a millionth
+for the n-grams of 100 TB; such keys are counted as one.
+
+Blocks are a table bucketed by their home, the task that packed them, so that they stay where they are when answers
+come and a task writes one file.
 """
 
 from __future__ import annotations
@@ -18,20 +27,33 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .arrays import chunks, span_hashes, words
-from .common import new_path, power_of_two, text_bytes
+from .arrays import CHUNK, chunks, span_hashes, words
+from .common import new_path, on_exit, power_of_two, remove, text_bytes
 
 #: UTF-8 bytes of the texts in a block; a longer text is a block of its own.
 BLOCK_BYTES = 6 << 20
-#: Bits of the keys of word runs.
-KEY_BITS = 52
+#: UTF-8 bytes of the input for which there is a range of keys.
+RANGE_BYTES = 12 << 20
+#: Bits of the ranges that a block or relay asks at once, and so of the blocks that a relay speaks for.
+FAN_BITS = 8
 
-BLOCK_SCHEMA = "block long, ids array<long>, marks binary, sizes binary, vocab binary, tokens binary"
+BLOCK_SCHEMA = "home int, block long, ids array<long>, marks binary, sizes binary, vocab binary, tokens binary"
+REQUEST = "part long, home int, block long, keys binary, values array<binary>"
+#: ``block`` -1: not an answer but what a range leaves.
+ANSWER = "part long, home int, block long, values array<binary>"
+_REQUEST = pa.schema([("part", pa.int64()), ("home", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("values", pa.list_(pa.binary()))])
+_ANSWER = pa.schema([("part", pa.int64()), ("home", pa.int32()), ("block", pa.int64()), ("values", pa.list_(pa.binary()))])
+_FLOATS, _BITS = 255, 254
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Unsigned integers by byte planes, low bytes first, as many as the largest needs; high planes compress well."""
+    """Unsigned integers by byte planes, low bytes first, as many as the largest needs; floats and booleans as they are."""
+    if values.dtype == np.float64:
+        return bytes([_FLOATS]) + values.tobytes()
+    if values.dtype == bool:
+        return bytes([_BITS]) + len(values).to_bytes(8, "little") + np.packbits(values).tobytes()
     values = np.ascontiguousarray(values, dtype=np.uint64)
     width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
     planes = values.view(np.uint8).reshape(len(values), 8)[:, :width].T
@@ -40,6 +62,10 @@ def pack(values: np.ndarray) -> bytes:
 
 def unpack(data: bytes) -> np.ndarray:
     width = data[0]
+    if width == _FLOATS:
+        return np.frombuffer(data[1:], np.float64)
+    if width == _BITS:
+        return np.unpackbits(np.frombuffer(data, np.uint8, offset=9), count=int.from_bytes(data[1:9], "little")).astype(bool)
     planes = np.frombuffer(data, np.uint8, offset=1).reshape(width, -1)
     out = np.zeros((planes.shape[1], 8), np.uint8)
     out[:, :width] = planes.T
@@ -55,34 +81,37 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(unpack(data), dtype=np.uint64)
 
 
-def pack_floats(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(values, np.float64).tobytes()
-
-
-def pack_bits(values: np.ndarray) -> bytes:
-    return len(values).to_bytes(8, "little") + np.packbits(values).tobytes()
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
-def unpack_bits(data: bytes) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(data, np.uint8, offset=8), count=int.from_bytes(data[:8], "little")).astype(bool)
+def bucketed(df: DataFrame, name: str, by: str) -> DataFrame:
+    """``df`` as a table bucketed by a column, for as long as the running operator runs."""
+    spark = df.sparkSession
+    table, path = f"{name}_{uuid.uuid4().hex}", new_path(spark, name)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
+    def undo() -> None:
+        spark.sql(f"DROP TABLE IF EXISTS `{table}`")
+        remove(spark, path)
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+    on_exit(undo)
+    df.write.format("parquet").bucketBy(buckets, by).sortBy(by).option("compression", "zstd").option("path", path).saveAsTable(table)
+    return spark.table(table)
 
 
 def pack_blocks(rows: DataFrame, lower: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Blocks of ``rows`` (id long, text string, mark boolean), as a table bucketed by block. No shuffle.
+    """Blocks of ``rows`` (id long, text string, mark boolean), as a table bucketed by home. No shuffle.
 
     ``lower`` folds A-Z. A null text is empty; a null mark is false; identifiers may be null or repeat.
     """
-    spark = rows.sparkSession
-    schema = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), *[(c, pa.binary()) for c in ("marks", "sizes", "vocab", "tokens")]])
+    kinds = [("home", pa.int32()), ("block", pa.int64()), ("ids", pa.list_(pa.int64())), *[(c, pa.binary()) for c in ("marks", "sizes", "vocab", "tokens")]]
+    schema = pa.schema(kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, seq, held, have = TaskContext.get().partitionId(), 0, [], 0
+        home, seq, held, have = TaskContext.get().partitionId(), 0, [], 0
 
         def block() -> pa.RecordBatch:
             nonlocal seq, held, have
@@ -91,9 +120,10 @@ def pack_blocks(rows: DataFrame, lower: bool = False, block_bytes: int = BLOCK_B
             sizes = np.concatenate([h[2] for h in held])
             vocab, tokens = np.unique(np.concatenate([h[3] for h in held]), return_inverse=True)
             row = [
-                [(part << 32) | seq],
+                [home],
+                [(home << 32) | seq],
                 pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
-                [pack_bits(marks)],
+                [pack(marks)],
                 [pack(sizes)],
                 [pack_sorted(vocab)],
                 [pack(tokens)],
@@ -104,7 +134,7 @@ def pack_blocks(rows: DataFrame, lower: bool = False, block_bytes: int = BLOCK_B
         for batch in batches:
             ids, texts, marks = batch.columns
             marks = np.asarray(marks.fill_null(False).to_numpy(zero_copy_only=False), dtype=bool)
-            for t in chunks(texts):
+            for t in chunks(texts, min(CHUNK, block_bytes)):
                 if held and have + len(t.data) > block_bytes:
                     yield block()
                 if lower:
@@ -116,83 +146,174 @@ def pack_blocks(rows: DataFrame, lower: bool = False, block_bytes: int = BLOCK_B
         if held:
             yield block()
 
-    name, buckets = f"blocks_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows.mapInArrow(run, BLOCK_SCHEMA).write.format("parquet").bucketBy(buckets, "block").sortBy("block").option("compression", "zstd").option(
-        "path", new_path(spark, "blocks")
-    ).saveAsTable(name)
-    return spark.table(name)
+    return bucketed(rows.mapInArrow(run, BLOCK_SCHEMA), "blocks", "home")
 
 
 class Block:
     """A row of ``BLOCK_SCHEMA``: word hashes of the vocabulary, and the words of all texts as places in it."""
 
-    def __init__(self, table: pa.Table):
-        get = lambda c: table.column(c)[0]
-        self.number, self.ids = get("block").as_py(), table.column("ids").combine_chunks()
-        self.ids = (self.ids if isinstance(self.ids, pa.ListArray) else pa.concat_arrays(table.column("ids").chunks)).flatten()
-        self.marks, self.sizes = unpack_bits(get("marks").as_py()), unpack(get("sizes").as_py()).astype(np.int64)
-        self.vocab, self.tokens = unpack_sorted(get("vocab").as_py()), unpack(get("tokens").as_py()).astype(np.int64)
+    def __init__(self, row: dict):
+        self.home, self.number, self.ids = row["home"], row["block"], pa.array(row["ids"], pa.int64())
+        self.marks, self.sizes = unpack(row["marks"]), unpack(row["sizes"]).astype(np.int64)
+        self.vocab, self.tokens = unpack_sorted(row["vocab"]), unpack(row["tokens"]).astype(np.int64)
         self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
 
 
+def _rows(table: pa.Table) -> Iterator[dict]:
+    for batch in table.to_batches():
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
 def part_count(bytes_of_text: int) -> int:
-    """Parts of the key space, a power of two: one for each 12 MB of text, 32 at least."""
-    return power_of_two(bytes_of_text / (12 << 20), 32, 1 << 20)
+    """Ranges of the key space, a power of two: one for each ``RANGE_BYTES`` of text, 32 at least."""
+    return power_of_two(bytes_of_text / RANGE_BYTES, 32)
 
 
-def by_part(keys: np.ndarray, bits: int, parts: int) -> list[tuple[int, int, int]]:
-    """(part, from, to) of ascending keys."""
+def levels(parts: int) -> list[int]:
+    """Bits of the ranges that are told apart at each level: by blocks, then by relays."""
+    bits = parts.bit_length() - 1
+    return [min(FAN_BITS, bits - b) for b in range(0, bits, FAN_BITS)] or [0]
+
+
+def cut(keys: np.ndarray, before: int, bits: int) -> list[tuple[int, int, int]]:
+    """(range, from, to) of ascending keys that agree in their first ``before`` bits, by the ``bits`` that follow too."""
     if not len(keys):
         return []
-    which = (keys >> np.uint64(bits - (parts.bit_length() - 1))).astype(np.int64)
-    cut = np.flatnonzero(np.diff(which)) + 1
-    lo = np.concatenate([[0], cut])
-    hi = np.concatenate([cut, [len(keys)]])
+    which = (keys >> np.uint64(64 - before - bits)).astype(np.int64) if before + bits else np.zeros(len(keys), np.int64)
+    at = np.flatnonzero(np.diff(which)) + 1
+    lo, hi = np.concatenate([[0], at]), np.concatenate([at, [len(keys)]])
     return [(int(which[a]), int(a), int(b)) for a, b in zip(lo, hi, strict=True)]
 
 
-def totals(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sums by key over several ascending lists: for each distinct key its sum; each entry's key; whether the entry
-    is the first of its key that has a count."""
-    every, amount = np.concatenate(keys), np.concatenate(values)
-    order = np.lexsort((amount == 0, every)) if (amount == 0).any() else np.argsort(every, kind="stable")
-    ranked = every[order]
-    new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
-    which = np.empty(len(every), np.int64)
-    which[order] = np.cumsum(new) - 1
-    summed = np.add.reduceat(amount[order], np.flatnonzero(new))
-    owner = np.zeros(len(every), bool)
-    owner[order[new]] = True
-    return summed, which, owner & (amount > 0)
+def requests(home: int, block: int, keys: np.ndarray, values: list[np.ndarray], bits: int, before: int = 0, empty: bool = False) -> list[dict]:
+    """A row for each range of the keys. ``empty``: without keys one row, for which there will be an answer."""
+    ranges = cut(keys, before, bits) or ([(0, 0, 0)] if empty else [])
+    return [{"part": p, "home": home, "block": block, "keys": pack_sorted(keys[i:j]), "values": [pack(v[i:j]) for v in values]} for p, i, j in ranges]
 
 
-def cut_back(values: np.ndarray, lengths: list[int]) -> list[np.ndarray]:
-    return np.split(values, np.cumsum(lengths)[:-1])
+class Merged:
+    """Several requests as one. ``keys``: all, distinct and ascending; ``sums``: of each value by key.
 
+    A boolean value says of which keys the sender wants the floats of the answer; it is not summed.
+    """
 
-def each_block(blocks: DataFrame, run: Callable[[Block], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``run`` on each block."""
+    def __init__(self, rows: list[dict]):
+        held = [unpack_sorted(r["keys"]) for r in rows]
+        self.sizes = [len(k) for k in held]
+        every = np.concatenate(held)
+        values = [np.concatenate(v) for v in zip(*[[unpack(v) for v in r["values"]] for r in rows], strict=True)]
+        self.wants = next((v for v in values if v.dtype == bool), None)
+        values = [v for v in values if v.dtype != bool]
+        # of equal keys the first that has a count comes first: its sender answers for the key
+        none = values[0] == 0 if values else np.zeros(len(every), bool)
+        order = np.lexsort((none, every)) if none.any() else np.argsort(every, kind="stable")
+        ranked = every[order]
+        new = np.concatenate([[True], ranked[1:] != ranked[:-1]])[: len(every)]
+        self.which = np.empty(len(every), np.int64)
+        self.which[order] = np.cumsum(new) - 1
+        self.keys = ranked[new]
+        starts = np.flatnonzero(new)
+        self.sums = [np.add.reduceat(v[order], starts) if len(v) else v for v in values]
+        self.first = np.zeros(len(every), bool)
+        self.first[order[new]] = True
+        self.first &= ~none
+
+    def share(self, found: list[np.ndarray]) -> list[list[bytes]]:
+        """What was found for ``keys``, cut back to the requests. Of booleans only the first sender of a key gets true."""
+        out = []
+        for f in found:
+            f = f[self.which]
+            if f.dtype == bool:
+                f = f & self.first
+            elif f.dtype == np.float64 and self.wants is not None:
+                f = np.where(self.wants, f, 0.0)
+            out.append([pack(x) for x in np.split(f, np.cumsum(self.sizes)[:-1])])
+        return [list(x) for x in zip(*out, strict=True)]
+
+    def wanted(self) -> list[np.ndarray]:
+        """The boolean value of the merged request, if there is one."""
+        if self.wants is None:
+            return []
+        out = np.zeros(len(self.keys), bool)
+        out[self.which[self.wants]] = True
+        return [out]
+
+
+#: What a range does with its keys and sums: what it found for each key, and what it leaves (for ``block`` -1) if anything.
+Leaf = Callable[[int, np.ndarray, list[np.ndarray]], tuple[list[np.ndarray], list[bytes] | None]]
+
+
+def exchange(asked: DataFrame, parts: int, blocks: int, leaf: Leaf) -> DataFrame:
+    """Answers to the requests ``asked`` of ``blocks`` blocks, cut by the first of ``levels(parts)``."""
+    return _exchange(asked, levels(parts), 0, blocks, leaf)
+
+
+def _exchange(asked: DataFrame, bits: list[int], before: int, senders: int, leaf: Leaf) -> DataFrame:
+    if len(bits) == 1:
+
+        def answer(table: pa.Table) -> pa.Table:
+            rows = list(_rows(table))
+            m = Merged(rows)
+            found, left = leaf(rows[0]["part"], m.keys, m.sums)
+            out = [{"part": r["part"], "home": r["home"], "block": r["block"], "values": v} for r, v in zip(rows, m.share(found), strict=True)]
+            if left is not None:
+                out.append({"part": rows[0]["part"], "home": -1, "block": -1, "values": left})
+            return pa.Table.from_pylist(out, schema=_ANSWER)
+
+        return asked.groupBy("part").applyInArrow(answer, ANSWER)
+
+    done, after = before + bits[0], bits[1]
+    groups = -(-senders >> FAN_BITS) if senders > 0 else 1
+    held = bucketed(asked.withColumn("relay", F.col("part") * groups + F.pmod(F.xxhash64("home", "block"), F.lit(groups))), "relays", "relay")
+
+    def merged(table: pa.Table) -> pa.Table:
+        rows = sorted(_rows(table), key=lambda r: (r["home"], r["block"]))
+        m = Merged(rows)
+        return pa.Table.from_pylist(requests(-2, rows[0]["relay"], m.keys, [*m.sums, *m.wanted()], after, done, True), schema=_REQUEST)
+
+    def shared(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:  # what ranges leave
+            return right.select(_ANSWER.names).cast(_ANSWER)
+        rows = sorted(_rows(left), key=lambda r: (r["home"], r["block"]))
+        out = Merged(rows).share(gathered(list(_rows(right))))
+        return pa.Table.from_pylist([{"part": r["part"], "home": r["home"], "block": r["block"], "values": v} for r, v in zip(rows, out, strict=True)], schema=_ANSWER)
+
+    told = _exchange(held.groupBy("relay").applyInArrow(merged, REQUEST), bits[1:], done, groups, leaf)
+    return held.groupBy("relay").cogroup(told.groupBy("block")).applyInArrow(shared, ANSWER)
+
+
+def gathered(rows: list[dict]) -> list[np.ndarray]:
+    """The values of one asker's answers, in the order of its keys."""
+    rows = sorted(rows, key=lambda r: r["part"])
+    return [np.concatenate([unpack(x) for x in v]) for v in zip(*[r["values"] for r in rows], strict=True)]
+
+
+def each_block(blocks: DataFrame, run: Callable[[Block], list[dict]]) -> DataFrame:
+    """The requests that ``run`` makes of each block."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                yield from run(Block(pa.Table.from_batches([batch.slice(i, 1)])))
+            for r in _rows(pa.Table.from_batches([batch])):
+                yield from pa.Table.from_pylist(run(Block(r)), schema=_REQUEST).to_batches()
 
-    return blocks.mapInArrow(rows, schema)
+    return blocks.mapInArrow(rows, REQUEST)
 
 
-def with_answers(blocks: DataFrame, answers: DataFrame, run: Callable[[Block, pa.Table], pa.Table], schema: str) -> DataFrame:
+def with_answers(blocks: DataFrame, answers: DataFrame, run: Callable[[Block, list[dict]], pa.Table], schema: str) -> DataFrame:
     """``run`` on each block with its answers. The blocks are not shuffled, the answers are."""
 
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
-        return run(Block(left), right)
+        told: dict[int, list[dict]] = {}
+        for r in _rows(right):
+            told.setdefault(r["block"], []).append(r)
+        return pa.concat_tables([run(Block(r), told.pop(r["block"], [])) for r in _rows(left)])
 
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(both, schema)
+    return blocks.groupBy("home").cogroup(answers.where("block >= 0").groupBy("home")).applyInArrow(both, schema)
 
 
-def answer(requests: DataFrame, run: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
-    """``run`` on the requests of each part."""
-    return requests.groupBy("part").applyInArrow(run, schema)
+def request_table(rows: list[dict]) -> pa.Table:
+    return pa.Table.from_pylist(rows, schema=_REQUEST)
 
 
 def size_of(docs: DataFrame, text: str) -> int:

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,11 +19,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (a local test), a temporary folder is set.
+    Only a local session that names none gets a temporary folder; on a cluster that is an error, as executors would
+    each write to a disk of their own.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="rowforge-")
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="rowforge-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
@@ -39,15 +46,57 @@ def sized(df: DataFrame, rows: int | None, file_rows: int = FILE_ROWS) -> DataFr
     return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // file_rows)))
 
 
-def materialise(df: DataFrame, name: str, rows: int | None = None, file_rows: int = FILE_ROWS) -> DataFrame:
+#: What the operator that runs now has written and will not need when it is done: one list for each call within another.
+_made: ContextVar[tuple[list[Callable[[], None]], ...]] = ContextVar("made", default=())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def on_exit(undo: Callable[[], None], outer: bool = False) -> None:
+    """Call ``undo`` when the running operator is done; with ``outer``, when the one that called it is, if any."""
+    lists = _made.get()[:-1] if outer else _made.get()
+    if lists:
+        lists[-1].append(undo)
+
+
+@contextmanager
+def scratch():
+    """Tables that are written inside are removed at the end, also after a failure, unless they are ``lasting``."""
+    made: list[Callable[[], None]] = []
+    token = _made.set((*_made.get(), made))
+    try:
+        yield
+    finally:
+        _made.reset(token)
+        for undo in reversed(made):
+            undo()
+
+
+def cleans_up(f):
+    """An operator whose result reads nothing but its input and lasting tables."""
+
+    @wraps(f)
+    def run(*args, **kwargs):
+        with scratch():
+            return f(*args, **kwargs)
+
+    return run
+
+
+def materialise(df: DataFrame, name: str, rows: int | None = None, file_rows: int = FILE_ROWS, lasting: bool = False) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     This cuts the lineage in a way that survives lost executors: every later reader sees the same rows. ``rows``, where
-    it is known, sizes the files: a table of few rows should not be as many files as an exchange has partitions.
+    it is known, sizes the files: a table of few rows should not be as many files as an exchange has partitions. The
+    table goes when the running operator is done; a ``lasting`` one is part of its result.
     """
-    path = new_path(df.sparkSession, name)
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    on_exit(lambda: remove(spark, path), lasting)
     sized(df, rows, file_rows).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

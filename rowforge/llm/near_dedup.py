@@ -12,8 +12,8 @@ No pairs within a bucket are made. First each node is compared with the least pi
 buckets whose members are then linked. In an unsettled bucket all members are compared with one pivot; those that
 are linked to it leave, unless one that is not is so near to the pivot that, by the triangle inequality of the
 weighted Jaccard distance, it might be linked to them. This goes on, in one task where a bucket's sets fit and else in
-rounds over all large buckets, until no bucket has members that are neither compared nor linked: no link that the
-buckets hold is lost. Copies with equal shingles are one node.
+rounds over all large buckets, with more pivots in each round than in the one before, until no bucket has members that
+are neither compared nor linked: no link that the buckets hold is lost. Copies with equal shingles are one node.
 """
 
 from __future__ import annotations
@@ -28,18 +28,18 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 from .arrays import mix64, runs, stream
-from .common import fresh, materialise
+from .common import cleans_up, fresh, materialise
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 5
 #: Weight of a shingle of one document is 1 + IDF, of one that all have 1; in between by the logarithm of the frequency.
 IDF = 0.25
 
-_REQUEST = "part int, block long, keys binary, counts binary"
-_ANSWER = "block long, part int, counts binary"
 _SIGNED = "doc_id long, node binary, buckets array<long>, keys binary, weights binary"
 _TABLE_BITS = 16
 #: Bytes of the sets of a bucket up to which one task finishes it; larger buckets are taken apart by pivots first.
 IN_A_TASK = 24 << 20
+#: Pivots of such a bucket in one round at most.
+PIVOTS = 32
 #: UTF-8 bytes of text in a block.
 BLOCK_BYTES = 3 << 20
 
@@ -56,7 +56,7 @@ class Shingles:
             short = np.flatnonzero(b.sizes == n)
             keys.append(runs(word, first[short], n))
             docs.append(short)
-        key, doc = np.concatenate(keys) >> np.uint64(64 - B.KEY_BITS), np.concatenate(docs)
+        key, doc = np.concatenate(keys), np.concatenate(docs)
         order = np.lexsort((key, doc))
         key, doc = key[order], doc[order]
         new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])) if len(key) else np.zeros(0, np.int64)
@@ -65,35 +65,17 @@ class Shingles:
         self.keys, self.at = np.unique(self.key, return_inverse=True)
 
 
-def _requests(parts: int, size: int):
-    schema = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
-
-    def run(b: B.Block) -> Iterator[pa.RecordBatch]:
+def _requests(bits: int, size: int):
+    def run(b: B.Block) -> list[dict]:
         s = Shingles(b, size)
         held = np.bincount(s.at, minlength=len(s.keys)).astype(np.uint64)
-        # a block with no words still asks, so that it gets an answer and its texts a row
-        cut = B.by_part(s.keys, B.KEY_BITS, parts) or [(0, 0, 0)]
-        columns = [[p for p, _, _ in cut], [b.number] * len(cut), [B.pack_sorted(s.keys[i:j]) for _, i, j in cut], [B.pack(held[i:j]) for _, i, j in cut]]
-        yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+        return B.requests(b.home, b.number, s.keys, [held], bits, empty=True)
 
     return run
 
 
-_ANSWER_ARROW = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())])
-
-
-def _frequencies(table: pa.Table) -> pa.Table:
-    rows = table.to_pylist()
-    keys = [B.unpack_sorted(r["keys"]) for r in rows]
-    if not sum(map(len, keys)):
-        out = [{"block": r["block"], "part": r["part"], "counts": B.pack(np.zeros(0, np.uint64))} for r in rows]
-    else:
-        summed, which, _ = B.totals(keys, [B.unpack(r["counts"]) for r in rows])
-        out = [
-            {"block": r["block"], "part": r["part"], "counts": B.pack(c)}
-            for r, c in zip(rows, B.cut_back(summed[which], [len(k) for k in keys]), strict=True)
-        ]
-    return pa.Table.from_pylist(out, schema=_ANSWER_ARROW)
+def _frequencies(part: int, keys: np.ndarray, sums: list[np.ndarray]) -> tuple[list[np.ndarray], None]:
+    return [sums[0]], None
 
 
 def weights(count: np.ndarray, frequency: np.ndarray, rows: int, idf: float = IDF) -> np.ndarray:
@@ -103,8 +85,13 @@ def weights(count: np.ndarray, frequency: np.ndarray, rows: int, idf: float = ID
 
 class Sampler:
     """Improved consistent weighted sampling: for each sample k a shingle has fixed r, c ~ Gamma(2, 1) and b ~ U(0, 1),
-    looked up by its hash; with t = floor(ln w / r + b) the shingle of the least ln c - r (t - b + 1) is drawn, and
-    the sample is that shingle with its t."""
+    looked up by its hash in a table of 65,536 draws, which a turn of its own shuffles for each k; with t = floor(ln w / r + b) the shingle of the least ln c - r (t - b + 1) is drawn, and
+    the sample is that shingle with its t.
+
+    In a text of more shingles than the table has draws, some share theirs. Of those that are drawn together the one of
+    the least turned key is taken, in every text, so samples stay consistent: the least draw names a set of shingles, and
+    a permutation of that sample's own takes one of the set.
+    """
 
     def __init__(self, samples: int):
         n = 1 << _TABLE_BITS
@@ -121,13 +108,18 @@ class Sampler:
         out = np.empty((len(starts), len(self.turn)), np.uint64)
         with np.errstate(over="ignore"):
             for k, turn in enumerate(self.turn):
-                at = (mixed * turn) >> np.uint64(64 - _TABLE_BITS)
+                turned = mixed * turn
+                at = turned >> np.uint64(64 - _TABLE_BITS)
                 r, b = self.r[at], self.b[at]
                 t = np.floor(log_w / r + b)
                 value = self.log_c[at] - r * (t - b + 1)
                 least = np.minimum.reduceat(value, starts)
                 hit = np.flatnonzero(value == np.repeat(least, sizes))
-                drawn = hit[np.searchsorted(hit, starts)]  # the smallest key of equals
+                if len(hit) > len(starts):  # of equals the one of the least turned key, another for each sample
+                    first = np.searchsorted(hit, starts)
+                    tied = np.repeat(np.minimum.reduceat(turned[hit], first), np.diff(np.append(first, len(hit))))
+                    hit = hit[turned[hit] == tied]
+                drawn = hit
                 out[:, k] = mix64(key[drawn] + t[drawn].astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         return out
 
@@ -147,11 +139,9 @@ def buckets(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def _sign(rows_in_all: int, size: int, similarity: float, bands: int, rows: int, idf: float):
     schema = pa.schema([("doc_id", pa.int64()), ("node", pa.binary()), ("buckets", pa.list_(pa.int64())), ("keys", pa.binary()), ("weights", pa.binary())])
 
-    def run(b: B.Block, table: pa.Table) -> pa.Table:
+    def run(b: B.Block, answers: list[dict]) -> pa.Table:
         s = Shingles(b, size)
-        answers = sorted(table.to_pylist(), key=lambda r: r["part"])
-        frequency = np.concatenate([B.unpack(r["counts"]) for r in answers]) if answers else np.zeros(0, np.uint64)
-        frequency = frequency.astype(np.int64)[s.at] if len(s.at) else np.zeros(0, np.int64)
+        frequency = B.gathered(answers)[0].astype(np.int64)[s.at] if len(s.at) else np.zeros(0, np.int64)
         w = weights(s.count, frequency, rows_in_all, idf)
         n = len(b.sizes)
         whole = np.bincount(s.doc, weights=w, minlength=n)
@@ -314,24 +304,31 @@ def _links(members: DataFrame, sets: DataFrame, similarity: float, rows: int) ->
     first, open_ = _first_links(members, sets, similarity, rows)
     found = [first]
     open_ = materialise(_unsettled(open_), "members", rows)
+    wide = 1
     while True:
         found.append(materialise(_finish(open_.where(F.col("bytes") <= IN_A_TASK).drop("bytes", "size"), sets, similarity), "links", rows, 20_000))
         large = open_.where(F.col("bytes") > IN_A_TASK).drop("bytes")
         if large.isEmpty():
             break
-        pivots = large.groupBy("bucket").agg(F.min(F.struct((F.col("root") != F.col("node")).alias("old"), "node")).alias("p")).select("bucket", F.col("p.node").alias("pivot"))
-        held = materialise(large.join(pivots, "bucket").where("node != pivot"), "members", rows)
-        compared = materialise(_compare(held.select("pivot", "node").distinct(), sets), "compared", rows, 20_000)
+        # one pivot, then two, four, ...: so that buckets of many sets that are near but not similar take few rounds
+        slot = F.pmod(F.xxhash64("node", F.lit(wide)), F.lit(wide))
+        least = F.min(F.struct((F.col("root") != F.col("node")).alias("old"), "node"))
+        pivots = large.groupBy("bucket", slot.alias("slot")).agg(least.alias("p")).select("bucket", F.col("p.node").alias("pivot"))
+        wide = min(2 * wide, PIVOTS)
+        held = materialise(large.join(pivots, "bucket"), "members", rows)
+        compared = materialise(_compare(held.where("node != pivot").select("pivot", "node").distinct(), sets), "compared", rows, 20_000)
         found.append(compared.where(F.col("similarity") >= similarity).select(F.col("pivot").alias("a"), F.col("node").alias("b")))
-        judged = held.join(compared, ["pivot", "node"]).withColumn("d", 1 - F.col("similarity"))
-        nearest = judged.where(F.col("d") > far).groupBy("bucket").agg(F.min("d").alias("next"))
-        # where all are linked to the pivot, nothing is left
-        stay = judged.join(nearest, "bucket").where((F.col("d") > far) | (F.col("d") >= F.col("next") - far))
-        root = F.when(F.col("d") <= far, F.col("pivot")).otherwise(F.col("root"))
-        open_ = materialise(_unsettled(stay.select("bucket", "node", "size", root.alias("root"))), "members", rows)
+        judged = held.join(compared, ["pivot", "node"], "left").withColumn("d", F.coalesce(1 - F.col("similarity"), F.lit(0.0)))
+        nearest = judged.where(F.col("d") > far).groupBy("bucket", "pivot").agg(F.min("d").alias("next"))
+        # a member is settled by a pivot that it is linked to, if all that might be linked to it are linked to that pivot too
+        settled = (F.col("d") <= far) & (F.col("next").isNull() | (F.col("d") < F.col("next") - far)) | (F.col("node") == F.col("pivot"))
+        judged = judged.join(nearest, ["bucket", "pivot"], "left").withColumn("root", F.when(F.col("d") <= far, F.least("pivot", "root")).otherwise(F.col("root")))
+        after = judged.groupBy("bucket", "node", "size").agg(F.min("root").alias("root"), F.bool_or(settled).alias("settled"))
+        open_ = materialise(_unsettled(after.where(~F.col("settled")).drop("settled")), "members", rows)
     return reduce(DataFrame.unionAll, found)
 
 
+@cleans_up
 def near_classes(
     docs: DataFrame,
     ident: str = "doc_id",
@@ -353,8 +350,8 @@ def near_classes(
     plain = docs.select(F.col(ident).cast("long").alias("id"), F.col(text).alias("text"), F.lit(False).alias("mark"))
     n, parts = docs.count(), B.part_count(B.size_of(docs, text))
     packed = B.pack_blocks(plain, block_bytes=block_bytes)
-    asked = B.each_block(packed, _requests(parts, shingle), _REQUEST)
-    told = B.answer(asked, _frequencies, _ANSWER)
+    asked = B.each_block(packed, _requests(B.levels(parts)[0], shingle))
+    told = B.exchange(asked, parts, packed.count(), _frequencies)
     signed = materialise(B.with_answers(packed, told, _sign(n, shingle, similarity, bands, rows, idf), _SIGNED), "signed", n, 5_000)
     may = signed.where("node is not null")
     members = may.select("node", F.explode("buckets").alias("bucket")).distinct()
@@ -369,7 +366,7 @@ def near_classes(
     classes = rows_of.groupBy(F.col("root").alias("r")).agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     linked = rows_of.join(classes, F.col("root") == F.col("r")).select("doc_id", "class_id", "class_size")
     alone = signed.where("node is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
-    return linked.unionAll(alone)
+    return materialise(linked.unionAll(alone), "classes", n, lasting=True)
 
 
 def drop_near_copies(docs: DataFrame, ident: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -13,6 +13,7 @@ from rowforge.llm import near_dedup as N
 from rowforge.llm import sentencepiece_match as S
 from rowforge.llm import token_rollup as R
 from rowforge.llm.arrays import chunks
+from rowforge.llm.common import scratch
 from rowforge.llm.queries import QUERIES, op6_token_rollup, op7_piece_ids
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -114,6 +115,15 @@ def test_sampling_agrees_with_similarity():
     assert abs((x == y).mean() - want) < 0.03
 
 
+def test_sampling_of_more_shingles_than_draws():
+    rng = np.random.default_rng(6)
+    keys = np.unique(rng.integers(0, 1 << 63, 150_000).astype(np.uint64))
+    a, b = keys[:120_000], keys[20_000:140_000]
+    s = N.Sampler(600)
+    x, y = (s.signatures(k, np.ones(len(k), np.float32), np.array([0])) for k in (a, b))
+    assert abs((x == y).mean() - 100_000 / 140_000) < 0.06  # three standard deviations of 600 samples
+
+
 def test_components(spark):
     chain = [(bytes([i]), bytes([i + 1])) for i in range(40)] + [(bytes([100]), bytes([90])), (bytes([100]), bytes([95])), (bytes([7]), bytes([7]))]
     got = {r["node"]: r["root"] for r in N.components(spark.createDataFrame(chain, "a binary, b binary")).collect()}
@@ -126,7 +136,60 @@ def test_packing():
         assert (B.unpack(B.pack(v)) == v).all() and len(B.unpack(B.pack(v))) == len(v)
         assert (B.unpack_sorted(B.pack_sorted(np.sort(v))) == np.sort(v)).all()
     bits = rng.random(13) < 0.5
-    assert (B.unpack_bits(B.pack_bits(bits)) == bits).all()
+    assert (B.unpack(B.pack(bits)) == bits).all()
+    x = rng.random(7)
+    assert (B.unpack(B.pack(x)) == x).all()
+
+
+def _ask(bits):
+    def run(b):
+        keys, at = np.unique(b.vocab[b.tokens], return_inverse=True) if len(b.tokens) else (np.zeros(0, np.uint64), np.zeros(0, int))
+        return B.requests(b.home, b.number, keys, [np.bincount(at, minlength=len(keys)).astype(np.uint64)], bits, empty=True)
+
+    return run
+
+
+def _told(b, answers):
+    total, owner = B.gathered(answers)
+    keys = np.unique(b.vocab[b.tokens]) if len(b.tokens) else np.zeros(0, np.uint64)
+    return pa.table({"key": keys.view(np.int64), "total": total.astype(np.int64), "owner": owner})
+
+
+def test_sums_over_keys_by_relays(spark, sf_dir, monkeypatch):
+    """Every block learns the sum of each of its keys, and one block of each key that it answers for it, by any number of levels."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id AS id", "text", "false AS mark").unionByName(spark.createDataFrame([(-1, None, None)], "id long, text string, mark boolean")).repartition(4)
+    want = Counter(w for r in docs.collect() for w in WORD.findall(r["text"] or ""))
+    leaf = lambda part, keys, sums: ([sums[0], np.ones(len(keys), bool)], [B.pack(sums[0])])
+    for fan_bits, parts in ((8, 32), (2, 64), (1, 8)):
+        monkeypatch.setattr(B, "FAN_BITS", fan_bits)
+        with scratch():
+            packed = B.pack_blocks(docs, block_bytes=1 << 13)
+            asked = B.each_block(packed, _ask(B.levels(parts)[0]))
+            told = B.exchange(asked, parts, packed.count(), leaf)
+            rows = B.with_answers(packed, told, _told, "key long, total long, owner boolean").collect()
+            left = [int(B.unpack(r["values"][0]).sum()) for r in told.where("block = -1").collect()]
+        assert sum(left) == sum(want.values())
+        assert len({r["key"] for r in rows}) == len(want) and sum(r["owner"] for r in rows) == len(want)
+        assert sorted({r["key"]: r["total"] for r in rows}.values()) == sorted(want.values())
+
+
+def test_request_rows_grow_with_the_input(spark, monkeypatch):
+    """Rows of requests for a block stay the same when blocks and ranges grow together."""
+    monkeypatch.setattr(B, "FAN_BITS", 2)
+    each = []
+    for n in (16, 64, 256):
+        docs = spark.range(n, numPartitions=4).selectExpr("id", "concat_ws(' ', transform(sequence(0, 99), i -> concat('w', id * 100 + i))) AS text", "false AS mark")
+        with scratch():
+            packed = B.pack_blocks(docs, block_bytes=1)
+            assert packed.count() == n
+            parts = B.power_of_two(n, 4)
+            rows, asked, real = [], B.each_block(packed, _ask(B.levels(parts)[0])), B.bucketed
+            rows.append(asked.count())
+            monkeypatch.setattr(B, "bucketed", lambda df, name, by: (out := real(df, name, by), rows.append(out.count()))[0])
+            B.exchange(asked, parts, n, lambda part, keys, sums: ([sums[0]], None)).count()
+            monkeypatch.setattr(B, "bucketed", real)
+        each.append(max(rows) / n)
+    assert max(each) <= 4 and each[2] <= each[0] * 1.01
 
 
 ODD_TEXTS = [
