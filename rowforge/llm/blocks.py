@@ -195,7 +195,8 @@ def requests(home: int, block: int, keys: np.ndarray, values: list[np.ndarray],
 class Merged:
     """Several requests as one. ``keys``: all, distinct and ascending; ``sums``: of each value by key.
 
-    A boolean value says of which keys the sender wants the floats of the answer; it is not summed.
+    A boolean value says of which keys the sender wants the floats of the answer; it is not summed. For others it gets
+    -1 or 0, whether the float is negative.
     """
 
     def __init__(self, rows: list[dict]):
@@ -227,7 +228,7 @@ class Merged:
             if f.dtype == bool:
                 f = f & self.first
             elif f.dtype == np.float64 and self.wants is not None:
-                f = np.where(self.wants, f, 0.0)
+                f = np.where(self.wants, f, np.minimum(np.sign(f), 0.0))
             out.append([pack(x) for x in np.split(f, np.cumsum(self.sizes)[:-1])])
         return [list(x) for x in zip(*out, strict=True)]
 
@@ -241,27 +242,42 @@ class Merged:
 
 
 #: What a range does with its keys and sums: what it found for each key, and what it leaves (for ``block`` -1) if anything.
-Leaf = Callable[[int, np.ndarray, list[np.ndarray]], tuple[list[np.ndarray], list[bytes] | None]]
+Leaf = Callable[..., tuple[list[np.ndarray], list[bytes] | None]]
 
 
-def exchange(asked: DataFrame, parts: int, blocks: int, leaf: Leaf) -> DataFrame:
-    """Answers to the requests ``asked`` of ``blocks`` blocks, cut by the first of ``levels(parts)``."""
-    return _exchange(asked, levels(parts), 0, blocks, leaf)
+def exchange(asked: DataFrame, parts: int, blocks: int, leaf: Leaf, held: DataFrame | None = None) -> DataFrame:
+    """Answers to the requests ``asked`` of ``blocks`` blocks, cut by the first of ``levels(parts)``.
+
+    ``held``: a table (part, values) of what ranges know; ``leaf`` then gets its range's values too.
+    """
+    return _exchange(asked, levels(parts), 0, blocks, leaf, held)
 
 
-def _exchange(asked: DataFrame, bits: list[int], before: int, senders: int, leaf: Leaf) -> DataFrame:
+def _exchange(asked: DataFrame, bits: list[int], before: int, senders: int, leaf: Leaf, known: DataFrame | None) -> DataFrame:
     if len(bits) == 1:
 
-        def answer(table: pa.Table) -> pa.Table:
+        def answer(table, *extra):
             rows = list(_rows(table))
+            if not rows:  # a range that nobody asks
+                return _ANSWER.empty_table()
             m = Merged(rows)
-            found, left = leaf(rows[0]["part"], m.keys, m.sums)
+            found, left = leaf(rows[0]["part"], m.keys, m.sums, *extra)
             out = [{"part": r["part"], "home": r["home"], "block": r["block"], "values": v} for r, v in zip(rows, m.share(found), strict=True)]
             if left is not None:
                 out.append({"part": rows[0]["part"], "home": -1, "block": -1, "values": left})
             return pa.Table.from_pylist(out, schema=_ANSWER)
 
-        return asked.groupBy("part").applyInArrow(answer, ANSWER)
+        if known is not None:
+
+            def informed(table: pa.Table, of_range: pa.Table) -> pa.Table:
+                return answer(table, [r["values"] for r in _rows(of_range)])
+
+            return asked.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(informed, ANSWER)
+
+        def alone(table: pa.Table) -> pa.Table:
+            return answer(table)
+
+        return asked.groupBy("part").applyInArrow(alone, ANSWER)
 
     done, after = before + bits[0], bits[1]
     groups = -(-senders >> FAN_BITS) if senders > 0 else 1
@@ -279,7 +295,7 @@ def _exchange(asked: DataFrame, bits: list[int], before: int, senders: int, leaf
         out = Merged(rows).share(gathered(list(_rows(right))))
         return pa.Table.from_pylist([{"part": r["part"], "home": r["home"], "block": r["block"], "values": v} for r, v in zip(rows, out, strict=True)], schema=_ANSWER)
 
-    told = _exchange(held.groupBy("relay").applyInArrow(merged, REQUEST), bits[1:], done, groups, leaf)
+    told = _exchange(held.groupBy("relay").applyInArrow(merged, REQUEST), bits[1:], done, groups, leaf, known)
     return held.groupBy("relay").cogroup(told.groupBy("block")).applyInArrow(shared, ANSWER)
 
 

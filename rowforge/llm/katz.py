@@ -1,24 +1,29 @@
-"""Scores of texts under a bigram model with Katz backoff.
+"""Scores of texts under an n-gram model with Katz backoff.
 
-Counts of words and of pairs are Good-Turing discounted; a history that was seen with a word gives the discounted
-share, else its backoff weight times the word's own probability, which in turn is discounted and leaves the rest
-to unknown words. Backoff weights are normalised exactly: for each history the probabilities of all words seen in
-training and of the unknown word sum to one.
+Counts of n-grams are Good-Turing discounted for each n; a history that was seen with a word gives the discounted
+share, else its backoff weight times the word's probability after the history without its first word, and so on down
+to the word alone, whose probability in turn leaves the rest to unknown words. Backoff weights are normalised exactly:
+after each history the probabilities of all words seen in training and of the unknown word sum to one.
 
     P(w)     = d(c(w)) c(w) / N,            unknown: what is left
-    P(w | h) = d(c(h w)) c(h w) / c(h)      if the pair was seen
-             = alpha(h) P(w)                if the history was
-             = P(w)                         otherwise
-    alpha(h) = (1 - sum of seen P(w | h)) / (1 - sum of P(w) over the same w)
-
-A text is its words, then one end; the first history is a begin mark. The counts are tables in parts of the key
-space (:mod:`.blocks`): a first exchange gives each block the totals of its words and pairs, a second sums, for each
-history, what its seen pairs take, each pair added by one of the blocks that hold it. The driver gets the counts
-of counts up to ``DISCOUNTED + 1`` and no key.
+    P(w | h) = d(c(h w)) c(h w) / c(h)      if the n-gram was seen
+             = alpha(h) P(w | h')           if the history was; h' is h without its first word
+             = P(w | h')                    otherwise
+    alpha(h) = (1 - sum of seen P(w | h)) / (1 - sum of P(w | h') over the same w)
+
+A text is its words, then one end; the first word's history is a begin mark alone, the second's that and the first
+word. Counts and weights are tables in ranges of the key space (:mod:`.blocks`), which also tell each block of texts
+what it asks for: first the totals of its n-grams, then, for each length of a history, the weights, for which each
+seen n-gram is added by one of the blocks that hold it. In P(w | h') above the n-gram h' w was seen, as h w was, so no
+weight is needed for weights. The driver gets the counts of counts up to ``DISCOUNTED + 1`` and no key.
 """
 
 from __future__ import annotations
 
+import gc
+from dataclasses import dataclass, field
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -26,20 +31,30 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 from .arrays import mix64, per_doc
-from .common import materialise
+from .common import cleans_up, materialise, new_path, on_exit, remove
 
+#: Words of the longest n-gram.
+ORDER = 3
 #: Counts up to this are discounted.
 DISCOUNTED = 5
+#: Slices of the key space that are exchanged one after the other, so that less lies on disk at once.
+SLICE_BITS = 1
 _BEGIN, _END = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E6C63D0876A9A47)
-WORD, PAIR, WEIGHT = 0, 1, 2
+_STATS = DISCOUNTED + 3
 
-_REQUEST = "part int, kind int, block long, keys binary, counts binary"
-_ANSWER = "block long, kind int, part int, counts binary, owner binary, stats array<long>"
-_ASK = "part int, block long, keys binary, counts binary, taken binary, covered binary"
-_GIVE = "block long, kind int, part int, counts binary, owner binary, stats array<long>"
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
+def count_kind(n: int) -> int:
+    """Answers about n-grams: their counts."""
+    return 2 * n
+
+
+def weight_kind(n: int) -> int:
+    """Answers about histories of n words: their weights."""
+    return 2 * n + 1
+
+
 def discounts(n: list[int], total: int) -> tuple[list[float], float]:
     """Good-Turing factors of the counts 1 to ``DISCOUNTED``, from the numbers ``n[r]`` of keys with count r + 1.
 
@@ -63,220 +78,331 @@ def discounts(n: list[int], total: int) -> tuple[list[float], float]:
     return factors, left
 
 
-class Model:
-    """Global numbers: training tokens and texts, distinct words, discounts, and the probability of unknown words."""
+@dataclass
+class Numbers:
+    """Training tokens and texts, distinct words, discounts by n, and the probability of unknown words."""
+
+    stats: dict[int, list[int]]
+    texts: int
+    order: int
+    factors: dict[int, list[float]] = field(init=False)
 
-    def __init__(self, words: list[int], pairs: list[int], texts: int):
-        # a list: tokens, types, then the numbers of keys with count 1, 2, ...
-        self.tokens, self.types, self.texts = words[0], words[1], texts
-        self.word, left = discounts(words[2:], words[0])
-        self.pair, _ = discounts(pairs[2:], pairs[0])
+    def __post_init__(self):
+        # for each n: tokens, types, then the numbers of keys with count 1, 2, ...
+        found = {n: discounts(s[2:], s[0]) for n, s in self.stats.items()}
+        self.factors, left = {n: f for n, (f, _) in found.items()}, found[1][1]
+        self.tokens, self.types = self.stats[1][:2]
         # with nothing left for unknown words they get the weight of one token
         self.total = self.tokens if left > 0 else self.tokens + 1
         self.unknown = (left if left > 0 else 1) / max(self.total, 1)
 
-    def taken(self, factors: list[float], counts: np.ndarray) -> np.ndarray:
-        """Discounted counts."""
-        table = np.array([0.0, *[d * r for r, d in enumerate(factors, 1)]])
+    def taken(self, n: int, counts: np.ndarray) -> np.ndarray:
+        """Discounted counts of n-grams."""
+        table = np.array([0.0, *[d * r for r, d in enumerate(self.factors[n], 1)]])
         return np.where(counts <= DISCOUNTED, table[np.minimum(counts, DISCOUNTED)], counts.astype(np.float64))
 
     def of_word(self, counts: np.ndarray) -> np.ndarray:
-        return np.where(counts > 0, self.taken(self.word, counts) / max(self.total, 1), self.unknown)
+        return np.where(counts > 0, self.taken(1, counts) / max(self.total, 1), self.unknown)
+
+
+@dataclass
+class Grams:
+    """The distinct n-grams of a block: keys ascending; where each first ends; the place of each token's, or -1; of each
+    n-gram the place without its first word, and the place of its history (one beyond the words: the begin mark)."""
+
+    keys: np.ndarray
+    first: np.ndarray
+    at: np.ndarray
+    low: np.ndarray
+    history: np.ndarray
 
 
 class Events:
-    """The tokens of a block, their histories, and the keys of both."""
+    """The tokens of a block and their n-grams up to an order."""
 
     def __init__(self, b: B.Block):
         self.block, m = b, len(b.vocab)
         n_docs = len(b.sizes)
-        self.ends = np.cumsum(b.sizes + 1) - 1
-        self.token = np.full(len(b.tokens) + n_docs, m, np.int64)
         self.doc = np.repeat(np.arange(n_docs), b.sizes + 1)
+        self.token = np.full(len(b.tokens) + n_docs, m, np.int64)
         self.token[np.arange(len(b.tokens)) + b.doc] = b.tokens
-        self.history = np.empty_like(self.token)
-        if len(self.token):
-            self.history[0], self.history[1:] = m, self.token[:-1]  # place m is the end as a token, the begin as a history
-        self.word_keys = np.concatenate([b.vocab, [_END]])
-        self.order = np.argsort(self.word_keys, kind="stable")
-        histories = np.concatenate([b.vocab, [_BEGIN]])
-        with np.errstate(over="ignore"):
-            pair = mix64(mix64(histories[self.history]) + self.word_keys[self.token] * np.uint64(0x9E3779B97F4A7C15))
-        self.pair_keys, self.first, self.pair = np.unique(pair >> np.uint64(64 - B.KEY_BITS), return_index=True, return_inverse=True)
+        self.place = np.arange(len(self.token)) - np.repeat(np.cumsum(b.sizes + 1) - b.sizes - 1, b.sizes + 1)
         self.train = ~b.marks[self.doc]
-
-    def count(self, at: np.ndarray, n: int) -> np.ndarray:
-        return np.bincount(at[self.train], minlength=n).astype(np.uint64)
-
-
-def _requests(parts: int):
-    schema = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
-
-    def run(b: B.Block):
-        e = Events(b)
-        words = e.word_keys[e.order]
-        for kind, keys, counts, bits in (
-            (WORD, words, e.count(e.token, len(words))[e.order], 64),
-            (PAIR, e.pair_keys, e.count(e.pair, len(e.pair_keys)), B.KEY_BITS),
-        ):
-            cut = B.by_part(keys, bits, parts)
-            columns = [[p for p, _, _ in cut], [kind] * len(cut), [b.number] * len(cut), [B.pack_sorted(keys[i:j]) for _, i, j in cut], [B.pack(counts[i:j]) for _, i, j in cut]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+        words = np.concatenate([b.vocab, [_END]])
+        order = np.argsort(words, kind="stable")
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        at = rank[self.token].astype(np.int32)
+        none = np.zeros(0, np.int64)
+        self.made = {1: Grams(words[order], none, at, none, none)}
+        self.hashed = {1: words[self.token]}
+
+    def _hashes(self, n: int) -> np.ndarray:
+        """The key of the n-gram that ends at each token, where there is one."""
+        if n not in self.hashed:
+            before = np.roll(self._hashes(n - 1), 1)
+            if n == 2:
+                before = np.where(self.place == 0, _BEGIN, before)
+            with np.errstate(over="ignore"):
+                self.hashed[n] = mix64(mix64(before) + self.hashed[1] * np.uint64(0x9E3779B97F4A7C15))
+        return self.hashed[n]
+
+    def keys(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct keys of n-grams, and how often each occurs in training, without their places."""
+        if n == 1:
+            g = self.made[1]
+            return g.keys, np.bincount(g.at[self.train], minlength=len(g.keys)).astype(np.uint64)
+        keys = self._hashes(n)[self.place >= n - 2]
+        order = np.argsort(keys, kind="stable")
+        keys, train = keys[order], self.train[self.place >= n - 2][order]
+        start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+        return keys[start], np.add.reduceat(train.astype(np.uint64), start) if len(start) else np.zeros(0, np.uint64)
+
+    def grams(self, n: int) -> Grams:
+        if n not in self.made:
+            lower, where = self.grams(n - 1), np.flatnonzero(self.place >= n - 2)
+            keys, first, inverse = np.unique(self._hashes(n)[where], return_index=True, return_inverse=True)
+            at, first = np.full(len(self.token), -1, np.int32), where[first]
+            at[where] = inverse
+            history = lower.at[first - 1]
+            if n == 2:
+                history = np.where(self.place[first] == 0, len(lower.keys), history)
+            self.made[n] = Grams(keys, first, at, lower.at[first], history)
+        return self.made[n]
+
+
+def _sliced(keys: np.ndarray, values: list[np.ndarray], which: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The keys in a slice of the key space, and their values."""
+    lo, hi = np.searchsorted(keys >> np.uint64(64 - SLICE_BITS), np.array([which, which + 1], np.uint64)) if SLICE_BITS else (0, len(keys))
+    return keys[lo:hi], [v[lo:hi] for v in values]
+
+
+def _counts_asked(n: int, which: int, bits: int):
+    def run(b: B.Block) -> list[dict]:
+        keys, counts = Events(b).keys(n)
+        keys, (counts,) = _sliced(keys, [counts], which)
+        return B.requests(b.home, b.number, keys, [counts], bits)
 
     return run
 
 
-_ANSWER_ARROW = pa.schema(
-    [("block", pa.int64()), ("kind", pa.int32()), ("part", pa.int32()), ("counts", pa.binary()), ("owner", pa.binary()), ("stats", pa.list_(pa.int64()))]
-)
-
-
-def _count(table: pa.Table) -> pa.Table:
-    """Totals of a part's keys, and its counts of counts in a row of block -1."""
-    rows = table.to_pylist()
-    out = []
-    for kind in (WORD, PAIR):
-        mine = [r for r in rows if r["kind"] == kind]
-        if not mine:
-            continue
-        keys = [B.unpack_sorted(r["keys"]) for r in mine]
-        summed, which, owner = B.totals(keys, [B.unpack(r["counts"]) for r in mine])
-        sizes = [len(k) for k in keys]
-        for r, counts, own in zip(mine, B.cut_back(summed[which], sizes), B.cut_back(owner, sizes), strict=True):
-            out.append({"block": r["block"], "kind": kind, "part": r["part"], "counts": B.pack(counts), "owner": B.pack_bits(own), "stats": None})
-        seen = summed[summed > 0]
-        stats = [int(seen.sum()), len(seen), *[int((seen == r).sum()) for r in range(1, DISCOUNTED + 2)]]
-        out.append({"block": -1, "kind": kind, "part": mine[0]["part"], "counts": b"", "owner": b"", "stats": stats})
-    return pa.Table.from_pylist(out, schema=_ANSWER_ARROW)
-
-
-def _answers(table: pa.Table, kind: int) -> list[dict]:
-    return sorted((r for r in table.to_pylist() if r["kind"] == kind), key=lambda r: r["part"])
-
-
-def _joined(rows: list[dict], column: str, read, empty) -> np.ndarray:
-    return np.concatenate([read(r[column]) for r in rows]) if rows else empty
+def _count(part: int, keys: np.ndarray, sums: list[np.ndarray]) -> tuple[list[np.ndarray], list[bytes]]:
+    """Totals of a range's keys, and who adds them to weights; it leaves the seen keys with their counts, and counts of counts."""
+    counts = sums[0]
+    seen = counts > 0
+    held = counts[seen]
+    stats = [int(held.sum()), len(held), *[int((held == r).sum()) for r in range(1, DISCOUNTED + 2)]]
+    return [counts, np.ones(len(keys), bool)], [B.pack_sorted(keys[seen]), B.pack(held), *[s.to_bytes(8, "big") for s in stats]]
 
 
 class Known:
-    """What the first exchange tells a block: totals of its words (by place) and of its pairs."""
-
-    def __init__(self, b: B.Block, table: pa.Table, model: Model):
-        self.e = Events(b)
-        words, pairs = _answers(table, WORD), _answers(table, PAIR)
-        none = np.zeros(0, np.uint64)
-        self.count = np.zeros(len(self.e.word_keys), np.int64)
-        self.count[self.e.order] = _joined(words, "counts", B.unpack, none).astype(np.int64)
-        self.pair = _joined(pairs, "counts", B.unpack, none).astype(np.int64)
-        self.owner = _joined(pairs, "owner", B.unpack_bits, np.zeros(0, bool))
-        self.p = model.of_word(self.count)
-        # as a history, the last place is the begin of a text
-        self.history_count = self.count.copy()
-        self.history_count[-1] = model.texts
-        self.history_keys = np.concatenate([b.vocab, [_BEGIN]])
-        self.asked = np.argsort(self.history_keys, kind="stable")
-        self.asked = self.asked[self.history_count[self.asked] > 0]
-
-
-def _weights_asked(model: Model, parts: int):
-    schema = pa.schema([("part", pa.int32()), ("block", pa.int64()), *[(c, pa.binary()) for c in ("keys", "counts", "taken", "covered")]])
-
-    def run(b: B.Block, table: pa.Table) -> pa.Table:
-        k = Known(b, table, model)
-        mine = np.flatnonzero(k.owner)
-        h, w = k.e.history[k.e.first[mine]], k.e.token[k.e.first[mine]]
-        n = len(k.history_keys)
-        taken = np.bincount(h, weights=model.taken(model.pair, k.pair[mine]), minlength=n)[k.asked]
-        covered = np.bincount(h, weights=k.p[w], minlength=n)[k.asked]
-        keys, counts = k.history_keys[k.asked], k.history_count[k.asked]
-        cut = B.by_part(keys, 64, parts)
-        columns = [
-            [p for p, _, _ in cut],
-            [b.number] * len(cut),
-            [B.pack_sorted(keys[i:j]) for _, i, j in cut],
-            [B.pack(counts[i:j]) for _, i, j in cut],
-            [B.pack_floats(taken[i:j]) for _, i, j in cut],
-            [B.pack_floats(covered[i:j]) for _, i, j in cut],
-        ]
-        return pa.Table.from_arrays([pa.array(c, type=t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+    """What answers tell a block: counts and weights by place, and probabilities from them."""
+
+    def __init__(self, b: B.Block, answers: list[dict], numbers: Numbers, upto: int):
+        self.e, self.numbers = Events(b), numbers
+        self.count, self.owner, self.weight, told = {}, {}, {}, {}
+        for r in answers:
+            told.setdefault(r["kind"], []).append(r)
+        for n in range(1, upto + 1):
+            keys = self.e.grams(n).keys
+            found = B.gathered(told.get(count_kind(n), []))
+            self.count[n] = found[0].astype(np.int64) if found else np.zeros(len(keys), np.int64)
+            self.owner[n] = found[1] if len(found) > 1 else np.zeros(len(keys), bool)
+        for n in range(1, upto):
+            self.weight[n] = np.ones(len(self.history_keys(n)))
+            if weight_kind(n) in told:
+                _, asked = self.histories(n)
+                got = B.gathered(told[weight_kind(n)])[0]
+                self.weight[n][asked] = np.where(got < 0, got / (self.history_count(n)[asked] + 1), got)
+
+    def history_keys(self, n: int) -> np.ndarray:
+        keys = self.e.grams(n).keys
+        return np.append(keys, _BEGIN) if n == 1 else keys
+
+    def history_count(self, n: int) -> np.ndarray:
+        return np.append(self.count[1], self.numbers.texts) if n == 1 else self.count[n]
+
+    def histories(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the histories of n words that were seen in training, ascending, and their places."""
+        keys, used = self.history_keys(n), np.zeros(len(self.history_keys(n)), bool)
+        used[self.e.grams(n + 1).history] = True
+        asked = np.flatnonzero(used & (self.history_count(n) > 0))
+        asked = asked[np.argsort(keys[asked], kind="stable")]
+        return keys[asked], asked
+
+    def direct(self, n: int) -> np.ndarray:
+        """The discounted share of each n-gram in its history, 0 for those not seen. A history that leaves nothing is
+        scaled by c / (c + 1); its weight is negative here."""
+        if n == 1:
+            return self.numbers.of_word(self.count[1])
+        h = self.e.grams(n).history
+        base = self.history_count(n - 1)[h] + (self.weight[n - 1][h] < 0)
+        return self.numbers.taken(n, self.count[n]) / np.maximum(base, 1)
+
+    def probability(self, n: int) -> np.ndarray:
+        """P of the last word of each n-gram after the others."""
+        if n == 1:
+            return self.direct(1)
+        g = self.e.grams(n)
+        return np.where(self.count[n] > 0, self.direct(n), np.abs(self.weight[n - 1][g.history]) * self.probability(n - 1)[g.low])
+
+
+def _weights_asked(n: int, which: int, numbers: Numbers, bits: int):
+    """For each history of n words: what its seen words take, of one and of the shorter history, and whether the block needs its weight."""
+
+    def run(b: B.Block, answers: list[dict]) -> pa.Table:
+        k = Known(b, answers, numbers, n + 1)
+        g, size = k.e.grams(n + 1), len(k.history_keys(n))
+        mine = np.flatnonzero(k.owner[n + 1] & (k.count[n + 1] > 0))
+        taken = np.bincount(g.history[mine], weights=numbers.taken(n + 1, k.count[n + 1][mine]), minlength=size)
+        covered = np.bincount(g.history[mine], weights=k.direct(n)[g.low[mine]], minlength=size)
+        wanted = np.zeros(size, bool)
+        wanted[g.history[k.count[n + 1] == 0]] = True
+        keys, asked = k.histories(n)
+        values = [taken[asked] / k.history_count(n)[asked], covered[asked], wanted[asked]]
+        keys, values = _sliced(keys, values, which)
+        return B.request_table(B.requests(b.home, b.number, keys, values, bits))
 
     return run
 
 
-def _weigh(table: pa.Table) -> pa.Table:
-    """Backoff weights of a part's histories; negative where a history leaves nothing and so is scaled by c / (c + 1)."""
-    rows = table.to_pylist()
-    keys = [B.unpack_sorted(r["keys"]) for r in rows]
-    every = np.concatenate(keys)
-    order = np.argsort(every, kind="stable")
-    starts = np.flatnonzero(np.concatenate([[True], every[order][1:] != every[order][:-1]]))
-    which = np.empty(len(every), np.int64)
-    which[order] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(every))))
-    read = lambda c: np.concatenate([np.frombuffer(r[c], np.float64) for r in rows])[order]
-    taken, covered = np.add.reduceat(read("taken"), starts), np.add.reduceat(read("covered"), starts)
-    count = np.concatenate([B.unpack(r["counts"]) for r in rows])[order][starts].astype(np.float64)
-    full = taken > count - 1e-6
-    left = np.where(full, 1 / (count + 1), 1 - taken / count)
-    alpha = left / np.maximum(1 - covered, 1e-300) * np.where(full, -1, 1)
-    out = [
-        {"block": r["block"], "kind": WEIGHT, "part": r["part"], "counts": B.pack_floats(a), "owner": b"", "stats": None}
-        for r, a in zip(rows, B.cut_back(alpha[which], [len(k) for k in keys]), strict=True)
-    ]
-    return pa.Table.from_pylist(out, schema=_ANSWER_ARROW)
-
-
-def _score(model: Model):
+def _weigh(part: int, keys: np.ndarray, sums: list[np.ndarray]) -> tuple[list[np.ndarray], list[bytes]]:
+    """Weights of a range's histories; of those that leave nothing, the weight times -(c + 1)."""
+    taken, covered = sums
+    full = taken > 1 - 1e-12
+    weight = np.where(full, -1.0, 1 - taken) / np.maximum(1 - covered, 1e-300)
+    return [weight], [B.pack_sorted(keys), B.pack(weight)]
+
+
+def _score(numbers: Numbers):
     schema = pa.schema(
         [("doc_id", pa.int64()), ("held_out", pa.bool_()), *[(c, pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")], ("base_score", pa.float64()), ("score", pa.float64())]
     )
 
-    def run(b: B.Block, table: pa.Table) -> pa.Table:
-        k = Known(b, table, model)
-        e = k.e
-        alpha = np.ones(len(k.history_keys))
-        alpha[k.asked] = _joined(_answers(table, WEIGHT), "counts", lambda x: np.frombuffer(x, np.float64), np.zeros(0))
-        h, w = e.history[e.first], e.token[e.first]
-        c, history = k.pair, k.history_count[e.history[e.first]].astype(np.float64)
-        scale = np.where(alpha[h] < 0, history + 1, history)
-        p = np.where(c > 0, model.taken(model.pair, c) / np.maximum(scale, 1), np.abs(alpha[h]) * k.p[w])
-        n, docs = len(e.token), len(b.sizes)
-        doc_sum = lambda x: np.bincount(e.doc, weights=x, minlength=docs) if n else np.zeros(docs)
-        base = np.log10((k.count + 0.5) / (model.tokens + 0.5 * (model.types + 1)))
+    def run(b: B.Block, answers: list[dict]) -> pa.Table:
+        k = Known(b, answers, numbers, numbers.order)
+        e, docs, words = k.e, len(b.sizes), k.e.made[1].at
+        p = k.probability(1)[words]
+        for n in range(2, numbers.order + 1):
+            at = e.grams(n).at
+            p = np.where(at >= 0, k.probability(n)[at] if len(e.grams(n).keys) else 1.0, p)
+        sums = lambda x: np.bincount(e.doc, weights=x, minlength=docs) if len(x) else np.zeros(docs)
+        base = np.log10((k.count[1] + 0.5) / (numbers.tokens + 0.5 * (numbers.types + 1)))
         columns = [
             b.ids,
             pa.array(b.marks),
             pa.array(b.sizes + 1),
-            pa.array(per_doc((k.count[e.token] > 0).astype(np.int64), e.doc, docs)),
-            pa.array(np.full(docs, model.tokens, np.int64)),
-            pa.array(doc_sum(base[e.token])),
-            pa.array(doc_sum(np.log10(p)[e.pair])),
+            pa.array(per_doc((k.count[1][words] > 0).astype(np.int64), e.doc, docs)),
+            pa.array(np.full(docs, numbers.tokens, np.int64)),
+            pa.array(sums(base[words])),
+            pa.array(sums(np.log10(p))),
         ]
         return pa.Table.from_arrays(columns, schema=schema)
 
     return run
 
 
-def katz_scores(docs: DataFrame, held_out: Column, ident: str = "doc_id", text: str = "text", block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
-    """Scores of all rows of ``docs`` by the model learnt from those for which ``held_out`` is not true.
+def _stored(answers: DataFrame, kind: int, lasting: bool) -> tuple[DataFrame, DataFrame]:
+    """Answers, and what ranges leave, as tables; the latter are the model's."""
+    spark, path = answers.sparkSession, new_path(answers.sparkSession, f"katz-{kind}")
+    on_exit(lambda: remove(spark, f"{path}/left=false"))
+    on_exit(lambda: remove(spark, path), lasting)
+    answers.withColumn("left", F.col("block") < 0).write.partitionBy("left").parquet(path)
+    # what was exchanged is written: let its shuffle files go before the next exchange
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    read = spark.read.schema(answers.schema.add("left", "boolean")).parquet(path)
+    return read.where("not left").drop("left").withColumn("kind", F.lit(kind)), read.where("left").select("part", "values")
+
+
+@dataclass
+class KatzModel:
+    """A trained model: ``counts`` by n and ``weights`` by the length of a history, tables of one row for each range of
+    keys (``values``: the keys, then their counts or weights)."""
+
+    numbers: Numbers
+    parts: int
+    counts: dict[int, list[DataFrame]]
+    weights: dict[int, list[DataFrame]]
+
+    @cleans_up
+    def score(self, docs: DataFrame, ident: str = "doc_id", text: str = "text", block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+        """``RESULT`` for each row of any table; no row counts as held out. See ``katz_scores``."""
+        rows = docs.select(F.col(ident).cast("long").alias("id"), F.col(text).alias("text"), F.lit(True).alias("mark"))
+        packed = B.pack_blocks(rows, lower=True, block_bytes=block_bytes)
+        blocks, bits, numbers = packed.count(), B.levels(self.parts)[0], self.numbers
+        told = []
+
+        def counts_of(n: int):
+            return lambda b: B.requests(b.home, b.number, Events(b).keys(n)[0], [], bits)
+
+        def weights_of(n: int):
+            def run(b: B.Block, answers: list[dict]) -> pa.Table:
+                return B.request_table(B.requests(b.home, b.number, Known(b, answers, numbers, n + 1).histories(n)[0], [], bits))
+
+            return run
+
+        for n, tables in self.counts.items():
+            asked = B.each_block(packed, counts_of(n))
+            told.append(_stored(B.exchange(asked, self.parts, blocks, _looked_up, reduce(DataFrame.unionAll, tables)), count_kind(n), False)[0])
+        for n, tables in self.weights.items():
+            asked = B.with_answers(packed, reduce(DataFrame.unionAll, told), weights_of(n), B.REQUEST)
+            told.append(_stored(B.exchange(asked, self.parts, blocks, _looked_up, reduce(DataFrame.unionAll, tables)), weight_kind(n), False)[0])
+        scored = B.with_answers(packed, reduce(DataFrame.unionAll, told), _score(numbers), RESULT)
+        return materialise(scored.withColumn("held_out", F.lit(False)), "scores", lasting=True)
+
+
+def _looked_up(part: int, keys: np.ndarray, sums: list[np.ndarray], held: list[list[bytes]]) -> tuple[list[np.ndarray], None]:
+    """Counts or weights of the keys that a range of the model has, 0 for others."""
+    out = None
+    for values in held:
+        known, found = B.unpack_sorted(values[0]), B.unpack(values[1])
+        out = np.zeros(len(keys), found.dtype) if out is None else out
+        if len(known):
+            at = np.searchsorted(known, keys)
+            at[at == len(known)] = 0
+            out = np.where(known[at] == keys, found[at], out)
+    return [np.zeros(len(keys), np.uint64) if out is None else out], None
+
+
+def _fit(docs: DataFrame, held_out: Column, ident: str, text: str, order: int, block_bytes: int, lasting: bool) -> tuple[KatzModel, DataFrame, list[DataFrame]]:
+    """The model of the rows that are not held out, the blocks of all rows, and the answers to these."""
+    if order < 2:
+        raise ValueError("the order is 2 at least")
+    rows = docs.select(F.col(ident).cast("long").alias("id"), F.col(text).alias("text"), F.coalesce(held_out, F.lit(False)).alias("mark"))
+    parts = B.part_count(B.size_of(docs, text))
+    bits, packed = B.levels(parts)[0], B.pack_blocks(rows, lower=True, block_bytes=block_bytes)
+    blocks, told = packed.count(), {}
+    counts, weights, stats = {}, {}, {}
+    # fewer slices than ranges that a block tells apart
+    slices = range(1 << SLICE_BITS)
+    for n in range(1, order + 1):
+        made = [_stored(B.exchange(B.each_block(packed, _counts_asked(n, s, bits)), parts, blocks, _count), count_kind(n), lasting) for s in slices]
+        told[count_kind(n)], counts[n] = [a for a, _ in made], [m for _, m in made]
+        number = [F.coalesce(F.sum(F.conv(F.hex(F.get("values", F.lit(i + 2))), 16, 10).cast("long")), F.lit(0)) for i in range(_STATS)]
+        stats[n] = [int(x) for x in reduce(DataFrame.unionAll, counts[n]).agg(*number).first()]
+    numbers = Numbers(stats, rows.where(~F.col("mark")).count(), order)
+    for n in range(1, order):
+        needed = [x for k in (*[count_kind(i) for i in range(1, n + 2)], *[weight_kind(i) for i in range(1, n)]) for x in told[k]]
+        needed = reduce(DataFrame.unionAll, needed)
+        made = [_stored(B.exchange(B.with_answers(packed, needed, _weights_asked(n, s, numbers, bits), B.REQUEST), parts, blocks, _weigh), weight_kind(n), lasting) for s in slices]
+        told[weight_kind(n)], weights[n] = [a for a, _ in made], [m for _, m in made]
+    return KatzModel(numbers, parts, counts, weights), packed, [x for v in told.values() for x in v]
+
+
+@cleans_up
+def katz_model(docs: DataFrame, held_out: Column | None = None, ident: str = "doc_id", text: str = "text", order: int = ORDER, block_bytes: int = B.BLOCK_BYTES) -> KatzModel:
+    """The model learnt from the rows of ``docs`` for which ``held_out`` is not true; its tables stay in the shared folder."""
+    return _fit(docs, F.lit(False) if held_out is None else held_out, ident, text, order, block_bytes, True)[0]
+
+
+@cleans_up
+def katz_scores(docs: DataFrame, held_out: Column, ident: str = "doc_id", text: str = "text", order: int = ORDER, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+    """Scores of all rows of ``docs`` by the model of ``order`` words learnt from those for which ``held_out`` is not true.
 
     One row for each row: ``RESULT``. A-Z count as lower case; a null or empty text is its end alone. Identifiers may
     be null or repeat. With nothing to learn from, every token has probability 1. Other columns are not read. An
-    empty table gives an empty result. The first exchange's answers and the blocks are tables in the shared folder.
+    empty table gives an empty result. Blocks, answers and the model are tables in the shared folder until all is scored.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(ident).cast("long").alias("id"), F.col(text).alias("text"), F.coalesce(held_out, F.lit(False)).alias("mark"))
-    parts = B.part_count(B.size_of(docs, text))
-    packed = B.pack_blocks(rows, lower=True, block_bytes=block_bytes)
-    counted = B.answer(B.each_block(packed, _requests(parts), _REQUEST), _count, _ANSWER)
-    counted = materialise(counted, "katz-counts")
-    stats = {
-        r["kind"]: [int(r[f"s{i}"]) for i in range(DISCOUNTED + 3)]
-        for r in counted.where("block = -1").groupBy("kind").agg(*[F.sum(F.get("stats", F.lit(i))).alias(f"s{i}") for i in range(DISCOUNTED + 3)]).collect()
-    }
-    zero = [0] * (DISCOUNTED + 3)
-    texts = rows.where(~F.col("mark")).count()
-    model = Model(stats.get(WORD, zero), stats.get(PAIR, zero), texts)
-    told = counted.where("block >= 0")
-    asked = B.with_answers(packed, told, _weights_asked(model, parts), _ASK)
-    weights = B.answer(asked, _weigh, _GIVE)
-    return B.with_answers(packed, told.unionByName(weights), _score(model), RESULT)
+    model, packed, told = _fit(docs, held_out, ident, text, order, block_bytes, False)
+    return materialise(B.with_answers(packed, reduce(DataFrame.unionAll, told), _score(model.numbers), RESULT), "scores", lasting=True)

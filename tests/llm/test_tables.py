@@ -1,12 +1,14 @@
 """Exact dedup, shards, mixing, language model: against slow plain versions."""
 
 import math
+import re
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
+from rowforge.llm import blocks as B
 from rowforge.llm import exact_dedup as X
 from rowforge.llm import hilbert_shards as H
 from rowforge.llm import katz as K
@@ -150,58 +152,82 @@ def test_mix_fills_the_room_past_a_long_document(spark):
         assert abs(sum(r["taken"] for r in of) - of[0]["target"]) <= 2
 
 
-def brute_katz(rows):
+def brute_katz(rows, order=K.ORDER, score=None):
+    """Scores of ``score`` (else of ``rows``) by a model of the rows (identifier, text, held out), from the definition."""
     low = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
-    import re
-
-    streams = {i: (held, re.findall(r"[^\x20\x09-\x0D]+", low(t)) + ["</s>"]) for i, t, held in rows}
-    train = [s for held, s in streams.values() if not held]
-    words = Counter(w for s in train for w in s)
-    pairs = Counter(p for s in train for p in zip(["<s>", *s[:-1]], s, strict=True))
-    total = sum(words.values())
-    stats = lambda c: [sum(c.values()), len(c), *[sum(v == r for v in c.values()) for r in range(1, 7)]]
-    (dw, left), (dp, _) = K.discounts(stats(words)[2:], total), K.discounts(stats(pairs)[2:], total)
-    d = lambda f, c: f[c - 1] if c <= 5 else 1.0
-    n = total if left > 0 else total + 1
-    unk = (left if left > 0 else 1) / max(n, 1)
-    p1 = lambda w: d(dw, words[w]) * words[w] / n if words[w] else unk
-    after, ch = defaultdict(list), Counter()
-    for (h, w), c in pairs.items():
-        after[h].append((w, c))
-        ch[h] += c
-
-    def p2(w, h):
-        if not ch[h]:
-            return p1(w)
-        taken = sum(d(dp, c) * c for _, c in after[h])
-        full = taken > ch[h] - 1e-6
-        base = ch[h] + 1 if full else ch[h]
-        if pairs[h, w]:
-            return d(dp, pairs[h, w]) * pairs[h, w] / base
-        return (1 - taken / base) / (1 - sum(p1(x) for x, _ in after[h])) * p1(w)
-
-    for h in list(ch)[:20]:  # exactly normalised
-        assert sum(p2(w, h) for w in words) + p2("\0unknown", h) == pytest.approx(1)
+    stream = lambda t: re.findall(r"[^\x20\x09-\x0D]+", low(t)) + ["</s>"]
+    grams = lambda s, n: [tuple(["<s>", *s][max(0, i + 2 - n) : i + 2]) if n > 1 else (s[i],) for i in range(len(s)) if i >= n - 2]
+    train = [stream(t) for _, t, held in rows if not held]
+    count = {n: Counter(g for s in train for g in grams(s, n)) for n in range(1, order + 1)}
+    total = sum(count[1].values())
+    stats = {n: [sum(c.values()), len(c), *[sum(v == r for v in c.values()) for r in range(1, 7)]] for n, c in count.items()}
+    factor = {n: K.discounts(s[2:], s[0]) for n, s in stats.items()}
+    taken = lambda n, c: factor[n][0][c - 1] * c if c <= 5 else c
+    left = factor[1][1]
+    all_, mass = (total, left) if left > 0 else (total + 1, 1)
+    after = defaultdict(list)
+    for n in range(2, order + 1):
+        for g, c in count[n].items():
+            after[g[:-1]].append((g[-1], c))
+    weight = {}
+
+    def p(g):
+        n = len(g)
+        if n == 1:
+            return taken(1, count[1][g]) / all_ if count[1][g] else mass / max(all_, 1)
+        h = g[:-1]
+        if h not in after:
+            return p(g[1:])
+        if h not in weight:
+            seen = sum(c for _, c in after[h])
+            got = sum(taken(n, c) for _, c in after[h])
+            base = seen + 1 if got > seen * (1 - 1e-12) else seen
+            weight[h] = base, (1 - got / base) / (1 - sum(p((*h, w)[1:]) for w, _ in after[h]))
+        base, alpha = weight[h]
+        return taken(n, count[n][g]) / base if count[n][g] else alpha * p(g[1:])
+
+    for h in [h for n in range(1, order) for h in [h for h in after if len(h) == n][:12]]:  # exactly normalised
+        assert sum(p((*h, w)) for (w,) in count[1]) + p((*h, "\0unknown")) == pytest.approx(1)
     out = {}
-    for i, (held, s) in streams.items():
-        base = sum(math.log10((words[w] + 0.5) / (total + 0.5 * (len(words) + 1))) for w in s)
-        score = sum(math.log10(p2(w, h)) for h, w in zip(["<s>", *s[:-1]], s, strict=True))
-        out[i] = (bool(held), len(s), sum(words[w] > 0 for w in s), total, base, score)
+    for i, t, held in rows if score is None else score:
+        s = stream(t)
+        base = sum(math.log10((count[1][w,] + 0.5) / (total + 0.5 * (len(count[1]) + 1))) for w in s)
+        found = sum(math.log10(p(tuple(["<s>", *s][max(0, k + 2 - order) : k + 2]))) for k in range(len(s)))
+        out[i] = (bool(held), len(s), sum(count[1][w,] > 0 for w in s), total, base, found)
     return out
 
 
-def test_katz(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    want = brute_katz([(r["doc_id"], r["text"], zlib.crc32(str(r["doc_id"]).encode()) % 5 == 1) for r in docs.collect()])
-    rows = op10_katz_scores(spark, sf_dir).collect()
-    small = K.katz_scores(docs, F.crc32(F.col("doc_id").cast("string")) % 5 == 1, block_bytes=1 << 15).collect()
-    assert len(rows) == len(small) == len(want)
-    for r in [*rows, *small]:
+def same_scores(rows, want):
+    assert len(rows) == len(want)
+    for r in rows:
         held, n, known, total, base, score = want[r["doc_id"]]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held, n, known, total)
         assert r["base_score"] == pytest.approx(base) and r["score"] == pytest.approx(score)
-    held = [r for r in rows if r["held_out"]]
-    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+
+
+def test_katz(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
+    plain = [(r["doc_id"], r["text"], zlib.crc32(str(r["doc_id"]).encode()) % 5 == 1) for r in docs.collect()]
+    rows = op10_katz_scores(spark, sf_dir).collect()
+    same_scores(rows, brute_katz(plain))
+    held_out = [r for r in rows if r["held_out"]]
+    assert sum(r["score"] for r in held_out) > sum(r["base_score"] for r in held_out)
+    for order in (2, 4):
+        same_scores(K.katz_scores(docs, held, order=order, block_bytes=1 << 15).collect(), brute_katz(plain, order))
+
+
+def test_katz_model_scores_another_table(spark, sf_dir, monkeypatch):
+    """A stored model, learnt in small blocks through relays, scores texts that it has not seen."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    monkeypatch.setattr(B, "FAN_BITS", 3)
+    model = K.katz_model(docs.where("doc_id % 3 > 0"), block_bytes=1 << 16)
+    other = docs.where("doc_id % 3 = 0").unionByName(spark.createDataFrame([(-1, None), (-2, "zzz qqq ZZZ")], "doc_id long, text string"))
+    plain = [(r["doc_id"], r["text"], False) for r in docs.where("doc_id % 3 > 0").collect()]
+    want = brute_katz(plain, score=[(r["doc_id"], r["text"], False) for r in other.collect()])
+    same_scores(model.score(other).collect(), want)
+    words = sum(int((B.unpack(r["values"][1]) > 0).sum()) for t in model.counts[1] for r in t.collect())
+    assert words == model.numbers.types and model.score(docs.limit(0)).count() == 0
 
 
 def test_katz_odd(odd_docs, no_docs, spark):
@@ -210,7 +236,7 @@ def test_katz_odd(odd_docs, no_docs, spark):
     assert K.katz_scores(no_docs, F.lit(False)).count() == 0
     nothing = K.katz_scores(odd_docs, F.lit(True)).collect()
     assert all(r["score"] == 0 and r["n_known"] == 0 for r in nothing)
-    want = brute_katz([(i, t, i == 2) for i, t in enumerate(["a a a b", "b a c", "q b a", None])])
-    frame = spark.createDataFrame(list(enumerate(["A a a b", "b a c", "q b a", None])), "doc_id long, text string")
-    for r in K.katz_scores(frame, F.col("doc_id") == 2).collect():
-        assert r["score"] == pytest.approx(want[r["doc_id"]][5])
+    texts = ["A a a b", "b a c", "q b a", None, *["x y z w"] * 7, "x y z v y z"]
+    for order in (2, 3):
+        frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        same_scores(K.katz_scores(frame, F.col("doc_id") == 2, order=order).collect(), brute_katz([(i, t, i == 2) for i, t in enumerate(texts)], order))
