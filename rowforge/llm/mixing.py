@@ -2,29 +2,30 @@
 
 1. Targets. Each source's share of all words follows its weight; a target stops at ``most`` times the source's
    size and the excess goes to the others by weight, until none is above.
-2. Draw. A source is taken whole as often as its target holds it, and once more in part: its rows are ordered by a
-   hash and cut into blocks, blocks are taken in order until the next one would pass the target, that block is split
-   the same way, and of the last small block documents are taken where they still fit, in the best of some orders.
-   With the room that is left the same goes on behind that block, over the documents that still fit, until none does.
-3. Split. The number of blocks each source gives is an exact quota. A binary tree over the output shards splits
+2. Blocks. A source's rows are ordered by a hash and cut into blocks, runs of that order.
+3. Draw. A source is taken whole as often as its target holds it, and once more in part: its blocks are taken in order
+   until the next one would pass the target. From there on rows are taken in order if they still fit in what is left;
+   these are one block more, the remainder.
+4. Split. The number of blocks each source gives is an exact quota. A binary tree over the output shards splits
    the quotas: at each node a multivariate hypergeometric draw says how many blocks of each source go left. Then
-   the permuted blocks of a source are cut by its quotas, so the shards' blocks are disjoint.
-4. Shuffle. Each copy of a document has a random key, by which its shard is sorted when it is written.
+   the permuted blocks of a source are cut by its quotas, so the shards' blocks are disjoint and each has one shard.
+5. Shuffle. Each copy of a document has a random key, by which its shard is sorted when it is written.
 
-Rows move only to be counted by block and to learn their block's shard. The driver sees one row for each source
-and shard, and for each step of the draw. A hot source is dealt to blocks like any other; no window holds more than ``FAN`` blocks of a source.
+Rows move only to be counted by block and to learn their block's shard. The driver holds one row for each source
+and shard, and for each step of the draw. A hot source is dealt to blocks like any other; no window holds more than
+``FAN`` blocks of a source. Rows that agree in source, identifier and size are counted together and drawn one by one.
 """
 
 from __future__ import annotations
 
-import random
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fresh, materialise
+from .common import fresh, materialise, scratch
 
 #: Blocks of a level at most; a power of two.
 FAN = 4096
@@ -58,10 +59,10 @@ def by_code_point(names: list[str | None]) -> list[str | None]:
     return sorted((n for n in names if n is not None)) + [None] * sum(n is None for n in names)
 
 
-def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
     """How many of ``draws`` without replacement are good."""
-    if draws > (good + bad) // 2:
-        return good - hypergeometric(rng, good, bad, good + bad - draws) if draws < good + bad else good
+    if max(good, bad) < 10**9:  # the library's limit
+        return int(rng.hypergeometric(good, bad, draws))
     hits = 0
     for _ in range(draws):
         if rng.random() * (good + bad) < good:
@@ -87,7 +88,7 @@ def split_tree(quotas: list[int], shards: int, seed: int) -> list[list[int]]:
                 out[i][lo] = c
             return
         mid = (lo + hi) // 2
-        rng, rest, draws, left = random.Random(f"{seed}:{lo}:{hi}"), sum(counts), edges[mid] - edges[lo], []
+        rng, rest, draws, left = np.random.default_rng([seed, lo, hi]), sum(counts), edges[mid] - edges[lo], []
         for c in counts:
             rest -= c
             got = hypergeometric(rng, c, rest, draws)
@@ -101,8 +102,6 @@ def split_tree(quotas: list[int], shards: int, seed: int) -> list[list[int]]:
     return out
 
 
-#: Orders in which the documents of the last block are tried.
-PERMUTATIONS = 24
 #: Sources up to which their figures are broadcast, a row each; beyond, joins on the source are left to Spark.
 FEW_SOURCES = 20_000
 
@@ -113,53 +112,75 @@ def _figures(spark, rows: list[tuple], schema: str) -> DataFrame:
     return F.broadcast(frame) if len(rows) <= FEW_SOURCES else frame
 
 
-#: Bits of a document's place in the draw: its hash without the lowest bit, so that it is never negative.
-PLACE_BITS = 63
+#: Bits of a document's place in its source's order.
+PLACE_BITS = 60
+_LAST = (1 << PLACE_BITS) - 1
 
 
-def _place() -> Column:
-    return F.shiftrightunsigned("h", 1)
+def place(seed: int, ident: list[Column], size: Column) -> Column:
+    """The first 60 bits of the md5 of seed, identifier and size."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(c.cast("string"), F.lit("null")) for c in ident], size.cast("string"))
+    return F.conv(F.substring(F.md5(text), 1, PLACE_BITS // 4), 16, 10).cast("long")
+
+
+def _blocks(rows: int) -> int:
+    """Blocks of a source: about 32 rows each, FAN at most."""
+    return max(1, min(FAN, rows // 32))
+
+
+_FAN_BITS = FAN.bit_length() - 1
+
+
+def _block(h: Column, blocks: Column) -> Column:
+    """The block of a place, of ``blocks`` equal parts of the order."""
+    return F.shiftright(F.shiftright(h, PLACE_BITS - _FAN_BITS) * blocks, _FAN_BITS).cast("int")
+
+
+def _begin(block: int, blocks: int) -> int:
+    """The first place of a block."""
+    return -(-block * FAN // blocks) << (PLACE_BITS - _FAN_BITS)
 
 
 def _finer(rows: int) -> int:
     """Bits that split ``rows`` rows into blocks of about BLOCK_ROWS, FAN blocks at most."""
-    return max(1, min(FAN.bit_length() - 1, (-(-rows // BLOCK_ROWS) - 1).bit_length()))
+    return max(1, min(_FAN_BITS, (-(-rows // BLOCK_ROWS) - 1).bit_length()))
 
 
-def _partial(spark: SparkSession, small: DataFrame, rest: dict[str, int]) -> tuple[dict[str, list[tuple]], DataFrame]:
-    """The partial copies, of about ``rest`` words for each source of ``small`` (key, n, h).
+def _fill(spark: SparkSession, small: DataFrame, rest: dict[str, tuple[int, int]]) -> tuple[dict[str, list[tuple]], DataFrame]:
+    """The remainders: of each source (its first place, room) the rows of ``small`` (key, h, n, rows) that are taken in
+    order as long as they fit.
 
-    Ranges (from, to, most) of each source, in which documents of 1 to ``most`` words are all taken, and the
-    documents (k2, h2, n2) that are taken besides. A round narrows down to the small block where the room ends, level by
-    level, and fills it from that block. The next one goes on behind the block with the documents that fit in what is
-    left: less than the smallest document that was passed over, so rounds are few. Nothing that fits is left out.
+    Ranges (from, to, most) of each source, in which rows of 1 to ``most`` words are all taken, and (k2, h2, n2, took)
+    that are taken besides. A round narrows down to the few rows where the room ends, level by level, and goes through
+    them one by one. The next one goes on behind them with the rows that fit in what is left: less than the smallest
+    that was passed over, so rounds are few. Nothing that fits is left out.
     """
     ranges: dict[str, list[tuple]] = {k: [] for k in rest}
     picked = []
-    end = (1 << PLACE_BITS) - 1
-    open_ = {k: (0, room) for k, room in rest.items() if room > 0}
+    open_ = {k: x for k, x in rest.items() if x[1] > 0}
 
     def inside(ways: list[tuple]) -> DataFrame:
-        """The documents of 1 to ``most`` words in each source's way (from, to, most, room, bits of a block's width)."""
+        """The rows of 1 to ``most`` words in each source's way (from, to, most, room, bits of a part's width)."""
         figures = _figures(spark, ways, "k string, lo long, hi long, most long, room long, width int")
-        found = small.join(figures, F.col("key") == F.col("k")).withColumn("at", _place())
-        return found.where(F.col("at").between(F.col("lo"), F.col("hi")) & F.col("n").between(F.lit(1), F.col("most")))
+        found = small.join(figures, F.col("key") == F.col("k"))
+        return found.where(F.col("h").between(F.col("lo"), F.col("hi")) & F.col("n").between(F.lit(1), F.col("most")))
 
+    words = F.sum(F.col("n") * F.col("rows")).alias("n")
     while open_:
-        ways = [(k, lo, end, room, room, PLACE_BITS) for k, (lo, room) in sorted(open_.items())]
-        left = inside(ways).groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n")).collect()
-        blocks, wide = {}, {}
+        ways = [(k, lo, _LAST, room, room, PLACE_BITS) for k, (lo, room) in sorted(open_.items())]
+        left = inside(ways).groupBy("key").agg(F.count(F.lit(1)).alias("rows"), words).collect()
+        few, wide = {}, {}
         for r in left:
             lo, room = open_[r["key"]]
             if r["n"] <= room:  # everything fits
-                ranges[r["key"]].append((lo, end, room))
+                ranges[r["key"]].append((lo, _LAST, room))
             elif r["rows"] <= 2 * BLOCK_ROWS:
-                blocks[r["key"]] = (lo, end, room)
+                few[r["key"]] = (lo, _LAST, room)
             else:
-                wide[r["key"]] = (lo, end, room, PLACE_BITS - _finer(r["rows"]))
+                wide[r["key"]] = (lo, _LAST, room, PLACE_BITS - _finer(r["rows"]))
         while wide:
             ways = [(k, lo, hi, open_[k][1], room, width) for k, (lo, hi, room, width) in sorted(wide.items())]
-            sums = inside(ways).groupBy("key", "room", F.expr("shiftrightunsigned(at, width)").alias("d")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"))
+            sums = inside(ways).groupBy("key", "room", F.expr("shiftright(h, width)").alias("d")).agg(words, F.count(F.lit(1)).alias("rows"))
             upto = F.sum("n").over(Window.partitionBy("key").orderBy("d"))  # FAN rows for each source at most
             stop = sums.withColumn("upto", upto).where(F.col("upto") > F.col("room"))
             narrowed = {}
@@ -172,22 +193,54 @@ def _partial(spark: SparkSession, small: DataFrame, rest: dict[str, int]) -> tup
                 if b["rows"] > 2 * BLOCK_ROWS and width > 0:
                     narrowed[r["key"]] = (begin, hi, room, max(0, width - _finer(b["rows"])))
                 else:
-                    blocks[r["key"]] = (begin, hi, room)
+                    few[r["key"]] = (begin, hi, room)
             wide = narrowed
         open_ = {}
-        if blocks:
-            # about BLOCK_ROWS rows; those that agree in hash and size are one, of their common size
-            docs = inside([(k, lo, hi, room, room, PLACE_BITS) for k, (lo, hi, room) in sorted(blocks.items())])
-            docs = docs.groupBy("key", "room", "h", "n").agg(F.sum("n").alias("words"))
-            filled = docs.groupBy("key", "room").agg(F.array_sort(F.collect_list(F.struct("h", "n", "words"))).alias("rows"))
-            filled = materialise(filled.select("key", _best_fit(F.col("rows"), F.col("room")).alias("fit")), "mix-fit", len(blocks))
+        if few:
+            # a few hundred rows; at one place there is one size, but for clashes of 60 bits
+            rows = inside([(k, lo, hi, room, room, PLACE_BITS) for k, (lo, hi, room) in sorted(few.items())])
+            filled = rows.groupBy("key", "room").agg(F.array_sort(F.collect_list(F.struct("h", "n", "rows"))).alias("found"))
+            filled = materialise(filled.select("key", _in_order(F.col("found"), F.col("room")).alias("fit")), "mix-fit", len(few))
             picked.append(filled.select("key", F.explode("fit.taken").alias("x")))
-            after = {k: room for k, (_, _, room) in blocks.items()}  # a block of which nothing fits has no row
+            after = {k: room for k, (_, _, room) in few.items()}  # where nothing fits there is no row
             after |= {r["key"]: r["room"] for r in filled.select("key", "fit.room").collect()}
-            open_ = {k: (blocks[k][1] + 1, room) for k, room in after.items() if room > 0 and blocks[k][1] < end}
-    none = spark.createDataFrame([], "key string, x struct<h: long, n: long>")
+            open_ = {k: (few[k][1] + 1, room) for k, room in after.items() if room > 0 and few[k][1] < _LAST}
+    none = spark.createDataFrame([], "key string, x struct<h: long, n: long, took: long>")
     chosen = reduce(DataFrame.unionAll, picked) if picked else none
-    return ranges, chosen.select(F.col("key").alias("k2"), F.col("x.h").alias("h2"), F.col("x.n").alias("n2"))
+    return ranges, chosen.select(F.col("key").alias("k2"), F.col("x.h").alias("h2"), F.col("x.n").alias("n2"), F.col("x.took").alias("took"))
+
+
+def _in_order(found: Column, room: Column) -> Column:
+    """Of (h, n, rows) in order, as many rows of each as still fit in the room: what is left of it, and (h, n, took)."""
+    start = F.struct(room.alias("room"), F.array().cast("array<struct<h: long, n: long, took: long>>").alias("taken"))
+
+    def step(acc: Column, r: Column) -> Column:
+        took = F.least(r["rows"], F.floor(acc["room"] / r["n"]))
+        one = F.struct(r["h"].alias("h"), r["n"].alias("n"), took.alias("took"))
+        return F.when(r["n"] <= acc["room"], F.struct((acc["room"] - took * r["n"]).alias("room"), F.concat(acc["taken"], F.array(one)).alias("taken"))).otherwise(acc)
+
+    return F.aggregate(found, start, step)
+
+
+def _shards_of_blocks(blocks: DataFrame, plan: DataFrame, cuts: DataFrame, seed: int) -> DataFrame:
+    """(k, b, dealt): the shard of each copy of each block. The permuted blocks of a source are cut by its quotas."""
+    units = (
+        blocks.join(plan, F.col("key") == F.col("k"))
+        .withColumn("copies", F.col("whole") + (F.col("block") < F.col("stop")).cast("int") + (F.col("block") == F.col("blocks")).cast("int"))
+        .where("copies > 0")
+        .select("key", "block", F.explode(F.when(F.col("block") == F.col("blocks"), F.array(F.col("whole"))).otherwise(F.sequence(F.lit(0), F.col("copies") - 1))).alias("epoch"))
+    )
+    shuffled = F.md5(F.concat_ws("|", F.lit(str(seed)), "key", "block", "epoch"))
+    # a source has FAN blocks at most for each of its few copies
+    place = F.row_number().over(Window.partitionBy("key").orderBy(shuffled, "block", "epoch")) - 1
+    return (
+        units.withColumn("place", place)
+        .join(cuts, F.col("key") == F.col("k"))
+        .select("key", "block", "epoch", F.size(F.filter("ends", lambda e: e <= F.col("place"))).alias("shard"))
+        .groupBy("key", "block")
+        .agg(F.array_sort(F.collect_list(F.struct("epoch", "shard"))).alias("dealt"))
+        .select(F.col("key").alias("k"), F.col("block").alias("b"), F.transform("dealt", lambda x: x["shard"]).alias("dealt"))
+    )
 
 
 def plan_mix(
@@ -203,121 +256,110 @@ def plan_mix(
 ) -> DataFrame:
     """``docs`` with its size, its source's size and target, the copies the mix takes, and each copy's shard.
 
-    ``ident`` are the columns that tell documents apart and so order the draw; rows that agree in all of them and
-    in the size are drawn together. A null source is a source of its own, the last. Sizes of 0 cost nothing and are
-    taken as often as their source is whole. Columns of ``docs`` named like ``names`` are replaced, others pass
-    through. An empty table gives an empty result.
+    ``ident`` are the columns that tell documents apart and so order the draw. Rows that agree in source, identifier
+    and size, as rows without an identifier may, are drawn one by one all the same: any of them, as many as fit. A
+    null source is a source of its own, the last. Sizes of 0 cost nothing; they are taken with their block and never
+    with a remainder. Columns of ``docs`` named like ``names`` are replaced, others pass through. An empty table gives
+    an empty result. The plan is a table in the shared folder that stays, without texts.
     """
+    with scratch():
+        return _plan_mix(docs, source, size, ident, weights, most, shards, seed, names)
+
+
+def _plan_mix(docs, source, size, ident, weights, most, shards, seed, names) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.drop(*[c for c in docs.columns if c.lower() in {n.lower() for n in names} and c != source])
     keep = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in {n.lower() for n in names}]
     n_, key, h = fresh(docs, "n", "key", "h")
-    keyed = docs.withColumns(
-        {
-            n_: F.coalesce(size.cast("long"), F.lit(0)),
-            key: F.when(F.col(source).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source)),
-            h: F.xxhash64(F.lit(seed), *ident),
-        }
-    )
-    small = materialise(keyed.select(F.col(key).alias("key"), F.col(n_).alias("n"), F.col(h).alias("h")), "mix-sizes")
-    stats = {r["key"]: (r["rows"], r["words"]) for r in small.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("words")).collect()}
+    named = F.when(F.col(f"`{source}`").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(f"`{source}`")))
+    sized_docs = docs.withColumns({n_: F.coalesce(size.cast("long"), F.lit(0)), key: named})
+    keyed = sized_docs.withColumn(h, place(seed, ident, F.col(n_)))
+    small = keyed.groupBy(F.col(key).alias("key"), F.col(h).alias("h"), F.col(n_).alias("n")).agg(F.count(F.lit(1)).alias("rows"))
+    small = materialise(small, "mix-sizes")
+    words = F.sum(F.col("n") * F.col("rows")).alias("words")
+    stats = {r["key"]: (r["rows"], r["words"]) for r in small.groupBy("key").agg(F.sum("rows").alias("rows"), words).collect()}
     order = [k for k in sorted(stats) if k != "n"] + ["n"] * ("n" in stats)
-    goal = targets([(k, stats[k][1]) for k in order], [weights[i % len(weights)] for i in range(len(order))], most)
-    whole, rest = {}, {}
-    for k, t in zip(order, goal, strict=True):
-        words = stats[k][1]
-        whole[k] = min(int(most), int(t // words)) if words else 0
-        rest[k] = max(0, round(t - whole[k] * words)) if words and whole[k] < most else 0
-
-    ranges, last = _partial(spark, small, rest)
+    goal = dict(zip(order, targets([(k, stats[k][1]) for k in order], [weights[i % len(weights)] for i in range(len(order))], most), strict=True))
+    whole, rest, blocks = {}, {}, {k: _blocks(stats[k][0]) for k in order}
+    for k in order:
+        total = stats[k][1]
+        whole[k] = min(int(most), int(goal[k] // total)) if total else 0
+        rest[k] = max(0, round(goal[k] - whole[k] * total)) if total and whole[k] < most else 0
+
+    # whole blocks of the partial copy: those before the one in which the rest ends
+    figures = _figures(spark, [(k, rest[k], blocks[k]) for k in order], "k string, rest long, blocks int")
+    by_block = small.join(figures, F.col("key") == F.col("k")).groupBy("key", _block(F.col("h"), F.col("blocks")).alias("block"), "rest").agg(words)
+    by_block = materialise(by_block, "mix-blocks", sum(blocks.values()))
+    upto = F.sum("words").over(Window.partitionBy("key").orderBy("block"))  # FAN rows for each source at most
+    passed = by_block.withColumn("upto", upto).where(F.col("upto") > F.col("rest")).groupBy("key", "rest").agg(F.min(F.struct("block", "upto", "words")).alias("b"))
+    stop, open_ = {k: blocks[k] if rest[k] else 0 for k in order}, {}
+    for r in passed.where("rest > 0").collect():
+        k, b = r["key"], r["b"]
+        stop[k], open_[k] = b["block"], (_begin(b["block"], blocks[k]), rest[k] - (b["upto"] - b["words"]))
+    ranges, picks = _fill(spark, small, open_)
+
     plan = _figures(
         spark,
-        [(k, stats[k][1], float(t), whole[k], ranges[k], _blocks(stats[k][0])) for k, t in zip(order, goal, strict=True)],
-        "k string, source_words long, goal double, whole int, ranges array<struct<lo: long, hi: long, most: long>>, blocks int",
+        [(k, stats[k][1], float(goal[k]), whole[k], blocks[k], stop[k], ranges.get(k, [])) for k in order],
+        "k string, source_words long, goal double, whole int, blocks int, stop int, ranges array<struct<lo: long, hi: long, most: long>>",
     )
-    sized = small.join(plan, F.col("key") == F.col("k"))
-    ranged = F.exists("ranges", lambda x: _place().between(x["lo"], x["hi"]) & F.col("n").between(F.lit(1), x["most"]))
+    ranged = F.exists("ranges", lambda x: F.col("h").between(x["lo"], x["hi"]) & F.col("n").between(F.lit(1), x["most"]))
     same = (F.col("key") == F.col("k2")) & (F.col("h") == F.col("h2")) & (F.col("n") == F.col("n2"))
-    drawn = sized.join(last, same, "left").select(
-        "key", "h", "n", "source_words", "goal", "whole", "blocks",
-        (F.col("whole") + (ranged | F.col("h2").isNotNull()).cast("int")).alias("copies"),
+    drawn = small.join(plan, F.col("key") == F.col("k")).drop("k").withColumn("block", _block(F.col("h"), F.col("blocks"))).join(picks, same, "left")
+    before = F.col("block") < F.col("stop")
+    drawn = drawn.select(
+        "key", "h", "n", "rows", "source_words", "goal", "whole", "block", before.alias("before"), "blocks",
+        F.when(before | ranged, F.col("rows")).otherwise(F.coalesce("took", F.lit(0))).alias("more"),
     )
-    rows_in_all = sum(r for r, _ in stats.values())
-    drawn = materialise(drawn, "mix-drawn", rows_in_all)
-
-    # blocks: of each whole copy all, of the partial copy those that give a document
-    block = F.pmod(F.shiftrightunsigned("h", 20), F.col("blocks"))
-    units = (
-        drawn.where("copies > 0")
-        .groupBy("key", block.alias("block"), "whole")
-        .agg(F.max("copies").alias("copies"))
-        .select("key", "block", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("epoch"))
-    )
-    units = materialise(units, "mix-blocks", rows_in_all)
-    quotas = {r["key"]: r["count"] for r in units.groupBy("key").count().collect()}
-    given = [k for k in order if k in quotas]
-    cuts = []
-    for k, row in zip(given, split_tree([quotas[k] for k in given], shards, seed), strict=True):
-        ends, at = [], 0
-        for c in row:
-            at += c
-            ends.append(at)
-        cuts.append((k, ends))
-    cut = _figures(spark, cuts, "k string, ends array<long>")
-    # a source has FAN blocks at most for each of its few copies
-    place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64(F.lit(seed), "block", "epoch"), "block", "epoch")) - 1
-    dealt = (
-        units.withColumn("place", place)
-        .join(cut, F.col("key") == F.col("k"))
-        .select("key", "block", "epoch", F.size(F.filter("ends", lambda e: e <= F.col("place"))).alias("shard"))
-        .groupBy("key", "block")
-        .agg(F.array_sort(F.collect_list(F.struct("epoch", "shard"))).alias("dealt"))
-        .select(F.col("key").alias("k"), F.col("block").alias("b"), F.transform("dealt", lambda x: x["shard"]).alias("dealt"))
-    )
-    per_row = drawn.join(dealt, (F.col("key") == F.col("k")) & (block == F.col("b")), "left").select(
-        F.col("key").alias("k"), F.col("h").alias("h2"), F.col("n").alias("n2"), "source_words", "goal", "copies",
-        F.when(F.col("copies") > 0, F.slice("dealt", F.lit(1), F.col("copies"))).otherwise(F.array().cast("array<int>")).alias("dealt"),
+    drawn = materialise(drawn, "mix-drawn", sum(r for r, _ in stats.values()))
+
+    remainder = drawn.where("not before and more > 0").select("key", F.col("blocks").alias("block")).distinct()
+    given = by_block.select("key", "block").unionAll(remainder)
+    few = plan.select("k", "whole", "stop", "blocks")
+    quota = F.sum(F.when(F.col("block") == F.col("blocks"), 1).otherwise(F.col("whole") + (F.col("block") < F.col("stop")).cast("int"))).alias("quota")
+    quotas = {r["key"]: r["quota"] for r in given.join(few, F.col("key") == F.col("k")).groupBy("key").agg(quota).collect() if r["quota"]}
+    sources = [k for k in order if k in quotas]
+    split = split_tree([quotas[k] for k in sources], shards, seed)
+    cuts = _figures(spark, [(k, np.cumsum(row).tolist()) for k, row in zip(sources, split, strict=True)], "k string, ends array<long>")
+    dealt = _shards_of_blocks(given, few, cuts, seed)
+    last = dealt.join(plan.select(F.col("k").alias("k3"), F.col("blocks").alias("b3")), (F.col("k") == F.col("k3")) & (F.col("b") == F.col("b3"))).select(F.col("k").alias("k4"), F.get("dealt", F.lit(0)).alias("spare"))
+    last = F.broadcast(last) if len(order) <= FEW_SOURCES else last
+    per_row = (
+        drawn.join(dealt, (F.col("key") == F.col("k")) & (F.col("block") == F.col("b")), "left")
+        .join(last, F.col("key") == F.col("k4"), "left")
+        .select(
+            F.col("key").alias("k"), F.col("h").alias("h2"), F.col("n").alias("n2"), "rows", "more", "source_words", "goal", "whole",
+            F.when(F.col("whole") > 0, F.slice("dealt", F.lit(1), F.col("whole"))).otherwise(F.array().cast("array<int>")).alias("shards"),
+            F.when(F.col("before"), F.get("dealt", F.col("whole"))).otherwise(F.col("spare")).alias("spare"),
+        )
     )
-    per_row = per_row.dropDuplicates(["k", "h2", "n2"])
-    a, b, c, d, e, f, g = fresh(keyed, "k", "h2", "n2", "source_words", "goal", "copies", "dealt")
-    per_row = per_row.toDF(a, b, c, d, e, f, g)
+    per_row = materialise(per_row, "mix-plan", sum(r for r, _ in stats.values()), lasting=True)
+    a, b, c, d, e, f, g, i, j, k = fresh(keyed, *per_row.columns)
+    split_groups = not per_row.where("more > 0 and more < rows").isEmpty()
+    per_row = per_row.toDF(a, b, c, d, e, f, g, i, j, k)
     out = keyed.join(per_row, (F.col(key) == F.col(a)) & (F.col(h) == F.col(b)) & (F.col(n_) == F.col(c)))
-    return out.select(
-        *keep,
-        F.col(n_).alias(names[0]),
-        F.col(d).alias(names[1]),
-        F.col(e).alias(names[2]),
-        F.col(f).alias(names[3]),
-        (F.col(n_) * F.col(f)).alias(names[4]),
-        F.col(g).alias(names[5]),
-    )
-
-
-def _blocks(rows: int) -> int:
-    """Blocks of a source: about 32 rows each, FAN at most."""
-    return max(1, min(FAN, rows // 32))
 
-
-def _best_fit(rows: Column, room: Column) -> Column:
-    """Of (h, n, words) those that are taken, and the room left: of some permutations the one that leaves the least."""
-
-    def tried(k: Column) -> Column:
-        return _fitting(F.array_sort(F.transform(rows, lambda r: F.struct(F.xxhash64(r["h"], k).alias("o"), r["h"].alias("h"), r["n"].alias("n"), r["words"].alias("words")))), room)
-
-    return F.array_min(F.transform(F.sequence(F.lit(1), F.lit(PERMUTATIONS)), tried))
-
-
-def _fitting(rows: Column, room: Column) -> Column:
-    """Of (h, n, words) in order, those that still fit in the room: what is left of it, and their h and n."""
-    start = F.struct(room.alias("room"), F.array().cast("array<struct<h: long, n: long>>").alias("taken"))
-    return F.aggregate(
-        rows,
-        start,
-        lambda acc, r: F.when(
-            r["words"] <= acc["room"],
-            F.struct((acc["room"] - r["words"]).alias("room"), F.concat(acc["taken"], F.array(F.struct(r["h"].alias("h"), r["n"].alias("n")))).alias("taken")),
-        ).otherwise(acc),
-    )
+    def result(rows: DataFrame, more: Column) -> DataFrame:
+        copies = F.col(i) + more.cast("int")
+        dealt_to = F.when(more, F.concat(F.col(j), F.array(F.col(k)))).otherwise(F.col(j))
+        return rows.select(
+            *keep, F.col(n_).alias(names[0]), F.col(f).alias(names[1]), F.col(g).alias(names[2]), copies.alias(names[3]), (F.col(n_) * copies).alias(names[4]), dealt_to.alias(names[5])
+        )
+
+    parted = (F.col(e) > 0) & (F.col(e) < F.col(d))
+    if not split_groups:
+        return result(out, F.col(e) > 0)
+    # of a few groups of equal rows some are taken: number the rows of these
+    at, in_part, start = fresh(out, "at", "in_part", "start")
+    held = materialise(out.where(parted).withColumn(at, F.monotonically_increasing_id()), "mix-equal", lasting=True)
+    group = [a, b, c]
+    counted = held.groupBy(*group, F.shiftright(at, 33).alias(in_part)).agg(F.count(F.lit(1)).alias(start))
+    offsets = counted.withColumn(start, F.sum(start).over(Window.partitionBy(*group).orderBy(in_part)) - F.col(start))  # a row for each partition
+    offsets = offsets.toDF(*[f"{x}_" for x in offsets.columns])
+    same = reduce(lambda x, y: x & y, [F.col(x) == F.col(f"{x}_") for x in group], F.shiftright(at, 33) == F.col(f"{in_part}_"))
+    number = F.row_number().over(Window.partitionBy(*group, F.shiftright(at, 33)).orderBy(at)) - 1
+    ranked = held.withColumn(in_part, number).join(offsets, same)
+    return result(out.where(~parted), F.col(e) > 0).unionByName(result(ranked, F.col(in_part) + F.col(f"{start}_") < F.col(e)))
 
 
 def mixed_documents(docs: DataFrame, source: str, size: Column, ident: list[Column], seed: int = 8, **options) -> DataFrame:

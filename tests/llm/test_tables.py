@@ -146,10 +146,58 @@ def test_mix_fills_the_room_past_a_long_document(spark):
     assert len(by) == 12
     for of in by.values():
         assert abs(sum(r["taken"] for r in of) - of[0]["target"]) <= 1
-    # rows that agree in identifier and size are taken together or not at all, and count in full
+    # rows that agree in identifier and size are drawn one by one
     twice = docs.unionAll(docs)
     for of in check_mix(M.plan_mix(twice, "source", F.col("words"), [F.col("source"), F.col("doc_id")]).collect()).values():
-        assert abs(sum(r["taken"] for r in of) - of[0]["target"]) <= 2
+        assert abs(sum(r["taken"] for r in of) - of[0]["target"]) <= 1
+
+
+def test_mix_without_identifiers(spark, odd_docs, monkeypatch):
+    """Null identifiers and repeated rows: what a source gives is as near to its target as with identifiers."""
+    size = word_count(F.col("text"))
+    check_mix(M.plan_mix(odd_docs, "source", size, [F.col("doc_id")]).collect())
+    rows = [(f"s{s}", 1 + (7 * i + s) % 23) for s in range(3) for i in range(1000)] + [(None, 5)] * 500
+    docs = spark.createDataFrame([(s, None, n) for s, n in rows], "source string, doc_id long, words long")
+    for fan in (M.FAN, 4):  # the second: places are narrowed down in many levels
+        monkeypatch.setattr(M, "FAN", fan)
+        monkeypatch.setattr(M, "_FAN_BITS", fan.bit_length() - 1)
+        for of in check_mix(M.plan_mix(docs, "source", F.col("words"), [F.col("doc_id")]).collect()).values():
+            assert abs(sum(r["taken"] for r in of) - of[0]["target"]) <= 5
+
+
+def first_fit(rows, rest):
+    """What a partial copy takes of (place, n): its blocks' order is that of the places."""
+    out = []
+    for h, n in sorted(rows):
+        if 1 <= n <= rest:
+            out.append(h)
+            rest -= n
+    return out
+
+
+def test_blocks_of_the_mix_have_one_shard(spark, sf_dir):
+    """Each copy of a block goes to one shard, shards get equal numbers of blocks, and the partial copy is drawn in order."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.expr("if(doc_id % 2 = 0, 'hot', source)").alias("source"), word_count(F.col("text")).alias("words"))
+    docs = docs.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(10)))).withColumn("doc_id", F.col("doc_id") * 10 + F.col("k"))
+    planned = M.plan_mix(docs, "source", F.col("words"), [F.col("doc_id")]).withColumn("h", M.place(8, [F.col("doc_id")], F.col("size")))
+    by = check_mix(planned.collect())
+    in_shard, units = Counter(), defaultdict(set)
+    for name, rows in by.items():
+        blocks, whole = M._blocks(len(rows)), min(r["copies"] for r in rows)
+        block = lambda r: ((r["h"] >> 48) * blocks) >> 12  # noqa: E731, B023
+        for r in rows:
+            for epoch in range(whole):
+                units[name, block(r), epoch].add(r["shards"][epoch])
+        more = [r for r in rows if r["copies"] > whole]
+        full = {b for b in range(blocks) if all(r["copies"] > whole for r in rows if block(r) == b)}
+        stop = next(b for b in range(blocks + 1) if b not in full)
+        for r in more:
+            units[name, block(r) if block(r) < stop else blocks, whole].add(r["shards"][whole])
+        rest = round(rows[0]["target"] - whole * rows[0]["source_size"])
+        assert {r["h"] for r in more if r["size"]} == set(first_fit([(r["h"], r["size"]) for r in rows], rest))
+    for at in units.values():
+        in_shard[min(at)] += 1
+    assert all(len(at) == 1 for at in units.values()) and max(in_shard.values()) - min(in_shard.values()) <= 1 and len(in_shard) == 8
 
 
 def brute_katz(rows, order=K.ORDER, score=None):
