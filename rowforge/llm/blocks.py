@@ -15,8 +15,8 @@ keys, and levels grow as the logarithm of the input.
 Keys are 64-bit hashes: among n keys one shares its hash with another with a probability of n / 2 ** 64, a millionth
 for the n-grams of 100 TB; such keys are counted as one.
 
-Blocks are a table bucketed by their home, the task that packed them, so that they stay where they are when answers
-come and a task writes one file.
+Blocks are a table bucketed by their home, a few of which a task packs, so that they stay where they are when answers
+come and a task writes a few files, whatever it reads.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ from .common import new_path, on_exit, power_of_two, remove, text_bytes
 BLOCK_BYTES = 6 << 20
 #: UTF-8 bytes of the input for which there is a range of keys.
 RANGE_BYTES = 12 << 20
+#: Homes of the blocks of a task.
+HOMES = 8
 #: Bits of the ranges that a block or relay asks at once, and so of the blocks that a relay speaks for.
 FAN_BITS = 8
 
@@ -111,7 +113,7 @@ def pack_blocks(rows: DataFrame, lower: bool = False, block_bytes: int = BLOCK_B
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        home, seq, held, have = TaskContext.get().partitionId(), 0, [], 0
+        task, seq, held, have = TaskContext.get().partitionId(), 0, [], 0
 
         def block() -> pa.RecordBatch:
             nonlocal seq, held, have
@@ -120,8 +122,8 @@ def pack_blocks(rows: DataFrame, lower: bool = False, block_bytes: int = BLOCK_B
             sizes = np.concatenate([h[2] for h in held])
             vocab, tokens = np.unique(np.concatenate([h[3] for h in held]), return_inverse=True)
             row = [
-                [home],
-                [(home << 32) | seq],
+                [task * HOMES + seq % HOMES],
+                [(task << 32) | seq],
                 pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
                 [pack(marks)],
                 [pack(sizes)],

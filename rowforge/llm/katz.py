@@ -37,8 +37,6 @@ from .common import cleans_up, materialise, new_path, on_exit, remove
 ORDER = 3
 #: Counts up to this are discounted.
 DISCOUNTED = 5
-#: Slices of the key space that are exchanged one after the other, so that less lies on disk at once.
-SLICE_BITS = 1
 _BEGIN, _END = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E6C63D0876A9A47)
 _STATS = DISCOUNTED + 3
 
@@ -171,49 +169,56 @@ class Events:
         return self.made[n]
 
 
-def _sliced(keys: np.ndarray, values: list[np.ndarray], which: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The keys in a slice of the key space, and their values."""
-    lo, hi = np.searchsorted(keys >> np.uint64(64 - SLICE_BITS), np.array([which, which + 1], np.uint64)) if SLICE_BITS else (0, len(keys))
-    return keys[lo:hi], [v[lo:hi] for v in values]
-
-
-def _counts_asked(n: int, which: int, bits: int):
+def _counts_asked(n: int, bits: int):
     def run(b: B.Block) -> list[dict]:
         keys, counts = Events(b).keys(n)
-        keys, (counts,) = _sliced(keys, [counts], which)
-        return B.requests(b.home, b.number, keys, [counts], bits)
+        return B.requests(b.home, b.number, keys, [counts, np.ones(len(keys), np.uint64)], bits)
 
     return run
 
 
 def _count(part: int, keys: np.ndarray, sums: list[np.ndarray]) -> tuple[list[np.ndarray], list[bytes]]:
-    """Totals of a range's keys, and who adds them to weights; it leaves the seen keys with their counts, and counts of counts."""
-    counts = sums[0]
+    """Totals of a range's keys, who adds them to weights, and whether no other block has the key; it leaves the seen keys
+    with their counts, and counts of counts."""
+    counts, holders = sums
     seen = counts > 0
     held = counts[seen]
     stats = [int(held.sum()), len(held), *[int((held == r).sum()) for r in range(1, DISCOUNTED + 2)]]
-    return [counts, np.ones(len(keys), bool)], [B.pack_sorted(keys[seen]), B.pack(held), *[s.to_bytes(8, "big") for s in stats]]
+    return [counts, np.ones(len(keys), bool), holders == 1], [B.pack_sorted(keys[seen]), B.pack(held), *[s.to_bytes(8, "big") for s in stats]]
+
+
+def _count_alone(part: int, keys: np.ndarray, sums: list[np.ndarray]) -> tuple[list[np.ndarray], list[bytes]]:
+    """The same without a table of counts."""
+    found, left = _count(part, keys, sums)
+    return found, [b"", b"", *left[2:]]
 
 
 class Known:
-    """What answers tell a block: counts and weights by place, and probabilities from them."""
+    """What answers tell a block: counts and weights by place, and probabilities from them.
+
+    A history that no other block has gets its weight here, unless ``whole`` says that all weights are asked for.
+    """
 
-    def __init__(self, b: B.Block, answers: list[dict], numbers: Numbers, upto: int):
-        self.e, self.numbers = Events(b), numbers
-        self.count, self.owner, self.weight, told = {}, {}, {}, {}
+    def __init__(self, b: B.Block, answers: list[dict], numbers: Numbers, upto: int, whole: bool):
+        self.e, self.numbers, self.whole = Events(b), numbers, whole
+        self.count, self.owner, self.alone, self.weight, told = {}, {}, {}, {}, {}
         for r in answers:
             told.setdefault(r["kind"], []).append(r)
         for n in range(1, upto + 1):
             keys = self.e.grams(n).keys
             found = B.gathered(told.get(count_kind(n), []))
             self.count[n] = found[0].astype(np.int64) if found else np.zeros(len(keys), np.int64)
-            self.owner[n] = found[1] if len(found) > 1 else np.zeros(len(keys), bool)
+            self.owner[n], self.alone[n] = found[1:] if len(found) > 1 else np.zeros((2, len(keys)), bool)
         for n in range(1, upto):
-            self.weight[n] = np.ones(len(self.history_keys(n)))
+            count = self.history_count(n)
+            weight = np.ones(len(count))
+            if not whole:
+                here = self.local(n)
+                taken, covered = self.sums(n)
+                weight[here] = weigh(taken[here], covered[here])
             if weight_kind(n) in told:
-                _, asked = self.histories(n)
-                got = B.gathered(told[weight_kind(n)])[0]
-                self.weight[n][asked] = np.where(got < 0, got / (self.history_count(n)[asked] + 1), got)
+                weight[self.histories(n)[1]] = B.gathered(told[weight_kind(n)])[0]
+            self.weight[n] = np.where(weight < 0, weight / (count + 1), weight)
 
     def history_keys(self, n: int) -> np.ndarray:
         keys = self.e.grams(n).keys
@@ -226,10 +231,24 @@ class Known:
         """Keys of the histories of n words that were seen in training, ascending, and their places."""
         keys, used = self.history_keys(n), np.zeros(len(self.history_keys(n)), bool)
         used[self.e.grams(n + 1).history] = True
-        asked = np.flatnonzero(used & (self.history_count(n) > 0))
+        used &= self.history_count(n) > 0
+        asked = np.flatnonzero(used if self.whole else used & ~self.local(n))
         asked = asked[np.argsort(keys[asked], kind="stable")]
         return keys[asked], asked
 
+    def local(self, n: int) -> np.ndarray:
+        """Histories of n words that were seen in training and that no other block has."""
+        here = self.alone[n] & (self.count[n] > 0)
+        return np.append(here, False) if n == 1 else here
+
+    def sums(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each history of n words, what the seen words for which this block answers take of it and of the shorter one."""
+        g, size = self.e.grams(n + 1), len(self.history_keys(n))
+        mine = np.flatnonzero(self.owner[n + 1] & (self.count[n + 1] > 0))
+        taken = np.bincount(g.history[mine], weights=self.numbers.taken(n + 1, self.count[n + 1][mine]), minlength=size)
+        covered = np.bincount(g.history[mine], weights=self.direct(n)[g.low[mine]], minlength=size)
+        return taken / np.maximum(self.history_count(n), 1), covered
+
     def direct(self, n: int) -> np.ndarray:
         """The discounted share of each n-gram in its history, 0 for those not seen. A history that leaves nothing is
         scaled by c / (c + 1); its weight is negative here."""
@@ -247,40 +266,41 @@ class Known:
         return np.where(self.count[n] > 0, self.direct(n), np.abs(self.weight[n - 1][g.history]) * self.probability(n - 1)[g.low])
 
 
-def _weights_asked(n: int, which: int, numbers: Numbers, bits: int):
+def weigh(taken: np.ndarray, covered: np.ndarray) -> np.ndarray:
+    """Weights of histories; of those that leave nothing, the weight times -(c + 1)."""
+    return np.where(taken > 1 - 1e-12, -1.0, 1 - taken) / np.maximum(1 - covered, 1e-300)
+
+
+def _weights_asked(n: int, numbers: Numbers, bits: int, whole: bool):
     """For each history of n words: what its seen words take, of one and of the shorter history, and whether the block needs its weight."""
 
     def run(b: B.Block, answers: list[dict]) -> pa.Table:
-        k = Known(b, answers, numbers, n + 1)
-        g, size = k.e.grams(n + 1), len(k.history_keys(n))
-        mine = np.flatnonzero(k.owner[n + 1] & (k.count[n + 1] > 0))
-        taken = np.bincount(g.history[mine], weights=numbers.taken(n + 1, k.count[n + 1][mine]), minlength=size)
-        covered = np.bincount(g.history[mine], weights=k.direct(n)[g.low[mine]], minlength=size)
-        wanted = np.zeros(size, bool)
-        wanted[g.history[k.count[n + 1] == 0]] = True
+        k = Known(b, answers, numbers, n + 1, whole)
+        taken, covered = k.sums(n)
+        wanted = np.zeros(len(taken), bool)
+        wanted[k.e.grams(n + 1).history[k.count[n + 1] == 0]] = True
         keys, asked = k.histories(n)
-        values = [taken[asked] / k.history_count(n)[asked], covered[asked], wanted[asked]]
-        keys, values = _sliced(keys, values, which)
-        return B.request_table(B.requests(b.home, b.number, keys, values, bits))
+        return B.request_table(B.requests(b.home, b.number, keys, [taken[asked], covered[asked], wanted[asked]], bits))
 
     return run
 
 
 def _weigh(part: int, keys: np.ndarray, sums: list[np.ndarray]) -> tuple[list[np.ndarray], list[bytes]]:
-    """Weights of a range's histories; of those that leave nothing, the weight times -(c + 1)."""
-    taken, covered = sums
-    full = taken > 1 - 1e-12
-    weight = np.where(full, -1.0, 1 - taken) / np.maximum(1 - covered, 1e-300)
+    weight = weigh(*sums)
     return [weight], [B.pack_sorted(keys), B.pack(weight)]
 
 
-def _score(numbers: Numbers):
+def _weigh_alone(part: int, keys: np.ndarray, sums: list[np.ndarray]) -> tuple[list[np.ndarray], None]:
+    return [weigh(*sums)], None
+
+
+def _score(numbers: Numbers, whole: bool):
     schema = pa.schema(
         [("doc_id", pa.int64()), ("held_out", pa.bool_()), *[(c, pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")], ("base_score", pa.float64()), ("score", pa.float64())]
     )
 
     def run(b: B.Block, answers: list[dict]) -> pa.Table:
-        k = Known(b, answers, numbers, numbers.order)
+        k = Known(b, answers, numbers, numbers.order, whole)
         e, docs, words = k.e, len(b.sizes), k.e.made[1].at
         p = k.probability(1)[words]
         for n in range(2, numbers.order + 1):
@@ -322,8 +342,8 @@ class KatzModel:
 
     numbers: Numbers
     parts: int
-    counts: dict[int, list[DataFrame]]
-    weights: dict[int, list[DataFrame]]
+    counts: dict[int, DataFrame]
+    weights: dict[int, DataFrame]
 
     @cleans_up
     def score(self, docs: DataFrame, ident: str = "doc_id", text: str = "text", block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
@@ -338,17 +358,17 @@ class KatzModel:
 
         def weights_of(n: int):
             def run(b: B.Block, answers: list[dict]) -> pa.Table:
-                return B.request_table(B.requests(b.home, b.number, Known(b, answers, numbers, n + 1).histories(n)[0], [], bits))
+                return B.request_table(B.requests(b.home, b.number, Known(b, answers, numbers, n + 1, True).histories(n)[0], [], bits))
 
             return run
 
-        for n, tables in self.counts.items():
+        for n, table in self.counts.items():
             asked = B.each_block(packed, counts_of(n))
-            told.append(_stored(B.exchange(asked, self.parts, blocks, _looked_up, reduce(DataFrame.unionAll, tables)), count_kind(n), False)[0])
-        for n, tables in self.weights.items():
+            told.append(_stored(B.exchange(asked, self.parts, blocks, _looked_up, table), count_kind(n), False)[0])
+        for n, table in self.weights.items():
             asked = B.with_answers(packed, reduce(DataFrame.unionAll, told), weights_of(n), B.REQUEST)
-            told.append(_stored(B.exchange(asked, self.parts, blocks, _looked_up, reduce(DataFrame.unionAll, tables)), weight_kind(n), False)[0])
-        scored = B.with_answers(packed, reduce(DataFrame.unionAll, told), _score(numbers), RESULT)
+            told.append(_stored(B.exchange(asked, self.parts, blocks, _looked_up, table), weight_kind(n), False)[0])
+        scored = B.with_answers(packed, reduce(DataFrame.unionAll, told), _score(numbers, True), RESULT)
         return materialise(scored.withColumn("held_out", F.lit(False)), "scores", lasting=True)
 
 
@@ -365,29 +385,25 @@ def _looked_up(part: int, keys: np.ndarray, sums: list[np.ndarray], held: list[l
     return [np.zeros(len(keys), np.uint64) if out is None else out], None
 
 
-def _fit(docs: DataFrame, held_out: Column, ident: str, text: str, order: int, block_bytes: int, lasting: bool) -> tuple[KatzModel, DataFrame, list[DataFrame]]:
-    """The model of the rows that are not held out, the blocks of all rows, and the answers to these."""
+def _fit(docs: DataFrame, held_out: Column, ident: str, text: str, order: int, block_bytes: int, whole: bool) -> tuple[KatzModel, DataFrame, DataFrame]:
+    """The model of the rows that are not held out, the blocks of all rows, and the answers to these. ``whole``: with its tables."""
     if order < 2:
         raise ValueError("the order is 2 at least")
     rows = docs.select(F.col(ident).cast("long").alias("id"), F.col(text).alias("text"), F.coalesce(held_out, F.lit(False)).alias("mark"))
     parts = B.part_count(B.size_of(docs, text))
     bits, packed = B.levels(parts)[0], B.pack_blocks(rows, lower=True, block_bytes=block_bytes)
-    blocks, told = packed.count(), {}
-    counts, weights, stats = {}, {}, {}
-    # fewer slices than ranges that a block tells apart
-    slices = range(1 << SLICE_BITS)
+    blocks, told, counts, weights, stats = packed.count(), {}, {}, {}, {}
     for n in range(1, order + 1):
-        made = [_stored(B.exchange(B.each_block(packed, _counts_asked(n, s, bits)), parts, blocks, _count), count_kind(n), lasting) for s in slices]
-        told[count_kind(n)], counts[n] = [a for a, _ in made], [m for _, m in made]
+        asked = B.each_block(packed, _counts_asked(n, bits))
+        told[count_kind(n)], counts[n] = _stored(B.exchange(asked, parts, blocks, _count if whole else _count_alone), count_kind(n), whole)
         number = [F.coalesce(F.sum(F.conv(F.hex(F.get("values", F.lit(i + 2))), 16, 10).cast("long")), F.lit(0)) for i in range(_STATS)]
-        stats[n] = [int(x) for x in reduce(DataFrame.unionAll, counts[n]).agg(*number).first()]
+        stats[n] = [int(x) for x in counts[n].agg(*number).first()]
     numbers = Numbers(stats, rows.where(~F.col("mark")).count(), order)
     for n in range(1, order):
-        needed = [x for k in (*[count_kind(i) for i in range(1, n + 2)], *[weight_kind(i) for i in range(1, n)]) for x in told[k]]
-        needed = reduce(DataFrame.unionAll, needed)
-        made = [_stored(B.exchange(B.with_answers(packed, needed, _weights_asked(n, s, numbers, bits), B.REQUEST), parts, blocks, _weigh), weight_kind(n), lasting) for s in slices]
-        told[weight_kind(n)], weights[n] = [a for a, _ in made], [m for _, m in made]
-    return KatzModel(numbers, parts, counts, weights), packed, [x for v in told.values() for x in v]
+        needed = reduce(DataFrame.unionAll, [told[k] for k in (*map(count_kind, range(1, n + 2)), *map(weight_kind, range(1, n)))])
+        asked = B.with_answers(packed, needed, _weights_asked(n, numbers, bits, whole), B.REQUEST)
+        told[weight_kind(n)], weights[n] = _stored(B.exchange(asked, parts, blocks, _weigh if whole else _weigh_alone), weight_kind(n), whole)
+    return KatzModel(numbers, parts, counts, weights), packed, reduce(DataFrame.unionAll, told.values())
 
 
 @cleans_up
@@ -402,7 +418,8 @@ def katz_scores(docs: DataFrame, held_out: Column, ident: str = "doc_id", text:
 
     One row for each row: ``RESULT``. A-Z count as lower case; a null or empty text is its end alone. Identifiers may
     be null or repeat. With nothing to learn from, every token has probability 1. Other columns are not read. An
-    empty table gives an empty result. Blocks, answers and the model are tables in the shared folder until all is scored.
+    empty table gives an empty result. Blocks and answers are tables in the shared folder until all is scored; the
+    model's own tables, which other texts would need, are not written: ``katz_model`` does that.
     """
     model, packed, told = _fit(docs, held_out, ident, text, order, block_bytes, False)
-    return materialise(B.with_answers(packed, reduce(DataFrame.unionAll, told), _score(model.numbers), RESULT), "scores", lasting=True)
+    return materialise(B.with_answers(packed, told, _score(model.numbers, False), RESULT), "scores", lasting=True)

@@ -274,7 +274,7 @@ def test_katz_model_scores_another_table(spark, sf_dir, monkeypatch):
     plain = [(r["doc_id"], r["text"], False) for r in docs.where("doc_id % 3 > 0").collect()]
     want = brute_katz(plain, score=[(r["doc_id"], r["text"], False) for r in other.collect()])
     same_scores(model.score(other).collect(), want)
-    words = sum(int((B.unpack(r["values"][1]) > 0).sum()) for t in model.counts[1] for r in t.collect())
+    words = sum(int((B.unpack(r["values"][1]) > 0).sum()) for r in model.counts[1].collect())
     assert words == model.numbers.types and model.score(docs.limit(0)).count() == 0
 
 
