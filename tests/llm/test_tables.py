@@ -1,7 +1,9 @@
 """Exact dedup, shards, mixing, language model: against slow plain versions."""
 
 import math
+import os
 import re
+import shutil
 import zlib
 from collections import Counter, defaultdict
 
@@ -49,6 +51,28 @@ def test_index_takes_several_batches(spark):
     assert {r["doc_id"]: r["kept"] for r in index.classify(a.unionByName(b)).collect()} == {5: False, 6: True, 3: True, 9: True}
 
 
+def test_a_new_batch_is_looked_up_without_old_texts(spark, tmp_path):
+    """Old texts are gone when the second batch comes; runs that broke off count for nothing, compaction loses nothing."""
+    texts = [(i, f"text {i % 700}") for i in range(1000)] + [(None, None), (7, "text 7")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/old")
+    index = X.DigestIndex(spark, f"{tmp_path}/index")
+    index.insert(spark.read.parquet(f"{tmp_path}/old"))
+    shutil.rmtree(f"{tmp_path}/old")
+    new = spark.createDataFrame([(2000, "text 5"), (2001, "text 650"), (2002, "text 701"), (2003, ""), (2004, "text 701")], "doc_id long, text string")
+    want = {2000: (705, True), 2001: (650, True), 2002: (None, False), 2003: (None, True), 2004: (None, False)}
+    seen = lambda i: {r["doc_id"]: (r["keep_id"], r["seen"]) for r in i.lookup(new).collect()}
+    assert seen(index) == want
+    os.makedirs(f"{tmp_path}/index/000002-batch/runs")
+    again = X.DigestIndex(spark, f"{tmp_path}/index")
+    assert again.levels == index.levels and seen(again) == want
+    again.insert(new.where("doc_id = 2002"))
+    assert seen(again) == {**want, 2002: (2002, True), 2004: (2002, True)}
+    again.compact()
+    assert X.DigestIndex(spark, f"{tmp_path}/index").levels == again.levels and len(again.levels) == 1
+    assert seen(again) == {**want, 2002: (2002, True), 2004: (2002, True)}
+    assert X.DigestIndex(spark).lookup(new).where("seen").count() == 0
+
+
 def test_drop_copies_keeps_columns(odd_docs, no_docs):
     out = X.drop_copies(odd_docs)
     assert out.columns == odd_docs.columns and out.count() == 8
