@@ -51,9 +51,11 @@ _FLOATS, _BITS = 255, 254
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Unsigned integers by byte planes, low bytes first, as many as the largest needs; floats and booleans as they are."""
+    """Unsigned integers by byte planes, low bytes first, as many as the largest needs; floats likewise, but zeros
+    are bits alone, and booleans as bits."""
     if values.dtype == np.float64:
-        return bytes([_FLOATS]) + values.tobytes()
+        some = values != 0
+        return bytes([_FLOATS]) + len(values).to_bytes(8, "little") + np.packbits(some).tobytes() + values[some].view(np.uint8).reshape(-1, 8).T.tobytes()
     if values.dtype == bool:
         return bytes([_BITS]) + len(values).to_bytes(8, "little") + np.packbits(values).tobytes()
     values = np.ascontiguousarray(values, dtype=np.uint64)
@@ -65,7 +67,11 @@ def pack(values: np.ndarray) -> bytes:
 def unpack(data: bytes) -> np.ndarray:
     width = data[0]
     if width == _FLOATS:
-        return np.frombuffer(data[1:], np.float64)
+        n = int.from_bytes(data[1:9], "little")
+        out, at = np.zeros(n), 9 + (n + 7) // 8
+        some = np.unpackbits(np.frombuffer(data[9:at], np.uint8), count=n).astype(bool)
+        out[some] = np.ascontiguousarray(np.frombuffer(data, np.uint8, offset=at).reshape(8, -1).T).view(np.float64).ravel()
+        return out
     if width == _BITS:
         return np.unpackbits(np.frombuffer(data, np.uint8, offset=9), count=int.from_bytes(data[1:9], "little")).astype(bool)
     planes = np.frombuffer(data, np.uint8, offset=1).reshape(width, -1)
@@ -197,8 +203,7 @@ def requests(home: int, block: int, keys: np.ndarray, values: list[np.ndarray],
 class Merged:
     """Several requests as one. ``keys``: all, distinct and ascending; ``sums``: of each value by key.
 
-    A boolean value says of which keys the sender wants the floats of the answer; it is not summed. For others it gets
-    -1 or 0, whether the float is negative.
+    A boolean value says of which keys the sender wants the floats of the answer; it is not summed. For others it gets 0.
     """
 
     def __init__(self, rows: list[dict]):
@@ -230,7 +235,7 @@ class Merged:
             if f.dtype == bool:
                 f = f & self.first
             elif f.dtype == np.float64 and self.wants is not None:
-                f = np.where(self.wants, f, np.minimum(np.sign(f), 0.0))
+                f = np.where(self.wants, f, 0.0)
             out.append([pack(x) for x in np.split(f, np.cumsum(self.sizes)[:-1])])
         return [list(x) for x in zip(*out, strict=True)]
 

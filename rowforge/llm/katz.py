@@ -6,7 +6,7 @@ to the word alone, whose probability in turn leaves the rest to unknown words. B
 after each history the probabilities of all words seen in training and of the unknown word sum to one.
 
     P(w)     = d(c(w)) c(w) / N,            unknown: what is left
-    P(w | h) = d(c(h w)) c(h w) / c(h)      if the n-gram was seen
+    P(w | h) = d(c(h w)) c(h w) / C(h)      if the n-gram was seen; C(h) = c(h) + RESERVE
              = alpha(h) P(w | h')           if the history was; h' is h without its first word
              = P(w | h')                    otherwise
     alpha(h) = (1 - sum of seen P(w | h)) / (1 - sum of P(w | h') over the same w)
@@ -15,18 +15,22 @@ A text is its words, then one end; the first word's history is a begin mark alon
 word. Counts and weights are tables in ranges of the key space (:mod:`.blocks`), which also tell each block of texts
 what it asks for: first the totals of its n-grams, then, for each length of a history, the weights, for which each
 seen n-gram is added by one of the blocks that hold it. In P(w | h') above the n-gram h' w was seen, as h w was, so no
-weight is needed for weights. The driver gets the counts of counts up to ``DISCOUNTED + 1`` and no key.
+weight is needed for weights. A weight is needed where a text has an n-gram that was not seen, so only in texts that
+are held out; histories that no such text has take no part. The driver gets the counts of counts up to ``DISCOUNTED + 1``
+and no key.
 """
 
 from __future__ import annotations
 
 import gc
+import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blocks as B
@@ -37,6 +41,8 @@ from .common import cleans_up, materialise, new_path, on_exit, remove
 ORDER = 3
 #: Counts up to this are discounted.
 DISCOUNTED = 5
+#: Of a count, what each history leaves to unseen words besides what discounts leave, which for frequent words is nothing.
+RESERVE = 0.01
 _BEGIN, _END = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E6C63D0876A9A47)
 _STATS = DISCOUNTED + 3
 
@@ -145,16 +151,21 @@ class Events:
                 self.hashed[n] = mix64(mix64(before) + self.hashed[1] * np.uint64(0x9E3779B97F4A7C15))
         return self.hashed[n]
 
-    def keys(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct keys of n-grams, and how often each occurs in training, without their places."""
+    def keys(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct keys of n-grams, how often each occurs in training, and how often as a history in texts that are held out."""
+        last = np.append(self.place[1:] == 0, True)[: len(self.place)]
+        after = ~self.train & ~last
         if n == 1:
             g = self.made[1]
-            return g.keys, np.bincount(g.at[self.train], minlength=len(g.keys)).astype(np.uint64)
-        keys = self._hashes(n)[self.place >= n - 2]
+            count = lambda which: np.bincount(g.at[which], minlength=len(g.keys)).astype(np.uint64)
+            return g.keys, count(self.train), count(after)
+        there = self.place >= n - 2
+        keys = self._hashes(n)[there]
         order = np.argsort(keys, kind="stable")
-        keys, train = keys[order], self.train[self.place >= n - 2][order]
+        keys = keys[order]
         start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
-        return keys[start], np.add.reduceat(train.astype(np.uint64), start) if len(start) else np.zeros(0, np.uint64)
+        sums = lambda x: np.add.reduceat(x[there][order].astype(np.uint64), start) if len(start) else np.zeros(0, np.uint64)
+        return keys[start], sums(self.train), sums(after)
 
     def grams(self, n: int) -> Grams:
         if n not in self.made:
@@ -171,20 +182,20 @@ class Events:
 
 def _counts_asked(n: int, bits: int):
     def run(b: B.Block) -> list[dict]:
-        keys, counts = Events(b).keys(n)
-        return B.requests(b.home, b.number, keys, [counts, np.ones(len(keys), np.uint64)], bits)
+        keys, counts, needed = Events(b).keys(n)
+        return B.requests(b.home, b.number, keys, [counts, np.ones(len(keys), np.uint64), np.minimum(needed, 1)], bits)
 
     return run
 
 
 def _count(part: int, keys: np.ndarray, sums: list[np.ndarray]) -> tuple[list[np.ndarray], list[bytes]]:
-    """Totals of a range's keys, who adds them to weights, and whether no other block has the key; it leaves the seen keys
-    with their counts, and counts of counts."""
-    counts, holders = sums
+    """Totals of a range's keys (times two, and one if a text that is held out has the key as a history), who adds them to
+    weights, and whether no other block has the key; it leaves the seen keys with their counts, and counts of counts."""
+    counts, holders, needed = sums
     seen = counts > 0
     held = counts[seen]
     stats = [int(held.sum()), len(held), *[int((held == r).sum()) for r in range(1, DISCOUNTED + 2)]]
-    return [counts, np.ones(len(keys), bool), holders == 1], [B.pack_sorted(keys[seen]), B.pack(held), *[s.to_bytes(8, "big") for s in stats]]
+    return [2 * counts + (needed > 0), np.ones(len(keys), bool), holders == 1], [B.pack_sorted(keys[seen]), B.pack(held), *[s.to_bytes(8, "big") for s in stats]]
 
 
 def _count_alone(part: int, keys: np.ndarray, sums: list[np.ndarray]) -> tuple[list[np.ndarray], list[bytes]]:
@@ -201,24 +212,23 @@ class Known:
 
     def __init__(self, b: B.Block, answers: list[dict], numbers: Numbers, upto: int, whole: bool):
         self.e, self.numbers, self.whole = Events(b), numbers, whole
-        self.count, self.owner, self.alone, self.weight, told = {}, {}, {}, {}, {}
+        self.count, self.needed, self.owner, self.alone, self.weight, told = {}, {}, {}, {}, {}, {}
         for r in answers:
             told.setdefault(r["kind"], []).append(r)
         for n in range(1, upto + 1):
             keys = self.e.grams(n).keys
             found = B.gathered(told.get(count_kind(n), []))
-            self.count[n] = found[0].astype(np.int64) if found else np.zeros(len(keys), np.int64)
+            count = found[0].astype(np.int64) if found else np.zeros(len(keys), np.int64)
+            self.count[n], self.needed[n] = count >> 1, (count & 1) > 0
             self.owner[n], self.alone[n] = found[1:] if len(found) > 1 else np.zeros((2, len(keys)), bool)
         for n in range(1, upto):
-            count = self.history_count(n)
-            weight = np.ones(len(count))
+            self.weight[n] = np.ones(len(self.history_keys(n)))
             if not whole:
                 here = self.local(n)
                 taken, covered = self.sums(n)
-                weight[here] = weigh(taken[here], covered[here])
+                self.weight[n][here] = weigh(taken[here], covered[here])
             if weight_kind(n) in told:
-                weight[self.histories(n)[1]] = B.gathered(told[weight_kind(n)])[0]
-            self.weight[n] = np.where(weight < 0, weight / (count + 1), weight)
+                self.weight[n][self.histories(n)[1]] = B.gathered(told[weight_kind(n)])[0]
 
     def history_keys(self, n: int) -> np.ndarray:
         keys = self.e.grams(n).keys
@@ -228,11 +238,14 @@ class Known:
         return np.append(self.count[1], self.numbers.texts) if n == 1 else self.count[n]
 
     def histories(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of the histories of n words that were seen in training, ascending, and their places."""
+        """Keys of the histories of n words that were seen in training and whose weight is asked for, ascending, and their places."""
         keys, used = self.history_keys(n), np.zeros(len(self.history_keys(n)), bool)
         used[self.e.grams(n + 1).history] = True
         used &= self.history_count(n) > 0
-        asked = np.flatnonzero(used if self.whole else used & ~self.local(n))
+        if not self.whole:
+            needed = np.append(self.needed[1], True) if n == 1 else self.needed[n]
+            used &= needed & ~self.local(n)
+        asked = np.flatnonzero(used)
         asked = asked[np.argsort(keys[asked], kind="stable")]
         return keys[asked], asked
 
@@ -247,28 +260,25 @@ class Known:
         mine = np.flatnonzero(self.owner[n + 1] & (self.count[n + 1] > 0))
         taken = np.bincount(g.history[mine], weights=self.numbers.taken(n + 1, self.count[n + 1][mine]), minlength=size)
         covered = np.bincount(g.history[mine], weights=self.direct(n)[g.low[mine]], minlength=size)
-        return taken / np.maximum(self.history_count(n), 1), covered
+        return taken / (self.history_count(n) + RESERVE), covered
 
     def direct(self, n: int) -> np.ndarray:
-        """The discounted share of each n-gram in its history, 0 for those not seen. A history that leaves nothing is
-        scaled by c / (c + 1); its weight is negative here."""
+        """The discounted share of each n-gram in its history, 0 for those not seen."""
         if n == 1:
             return self.numbers.of_word(self.count[1])
-        h = self.e.grams(n).history
-        base = self.history_count(n - 1)[h] + (self.weight[n - 1][h] < 0)
-        return self.numbers.taken(n, self.count[n]) / np.maximum(base, 1)
+        return self.numbers.taken(n, self.count[n]) / (self.history_count(n - 1)[self.e.grams(n).history] + RESERVE)
 
     def probability(self, n: int) -> np.ndarray:
         """P of the last word of each n-gram after the others."""
         if n == 1:
             return self.direct(1)
         g = self.e.grams(n)
-        return np.where(self.count[n] > 0, self.direct(n), np.abs(self.weight[n - 1][g.history]) * self.probability(n - 1)[g.low])
+        return np.where(self.count[n] > 0, self.direct(n), self.weight[n - 1][g.history] * self.probability(n - 1)[g.low])
 
 
 def weigh(taken: np.ndarray, covered: np.ndarray) -> np.ndarray:
-    """Weights of histories; of those that leave nothing, the weight times -(c + 1)."""
-    return np.where(taken > 1 - 1e-12, -1.0, 1 - taken) / np.maximum(1 - covered, 1e-300)
+    """Weights of histories, by the shares that their seen words take of them and of the shorter ones."""
+    return (1 - taken) / np.maximum(1 - covered, 1e-300)
 
 
 def _weights_asked(n: int, numbers: Numbers, bits: int, whole: bool):
@@ -322,16 +332,20 @@ def _score(numbers: Numbers, whole: bool):
     return run
 
 
-def _stored(answers: DataFrame, kind: int, lasting: bool) -> tuple[DataFrame, DataFrame]:
-    """Answers, and what ranges leave, as tables; the latter are the model's."""
-    spark, path = answers.sparkSession, new_path(answers.sparkSession, f"katz-{kind}")
+def _stored(spark: SparkSession, make: Callable[[], DataFrame], kind: int, lasting: bool) -> tuple[DataFrame, DataFrame]:
+    """The answers that ``make`` plans, and what ranges leave, as tables; the latter are the model's.
+
+    Nothing refers to the plan when it is written, so the shuffle files of one exchange go before the next.
+    """
+    path = new_path(spark, f"katz-{kind}")
     on_exit(lambda: remove(spark, f"{path}/left=false"))
     on_exit(lambda: remove(spark, path), lasting)
-    answers.withColumn("left", F.col("block") < 0).write.partitionBy("left").parquet(path)
-    # what was exchanged is written: let its shuffle files go before the next exchange
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    read = spark.read.schema(answers.schema.add("left", "boolean")).parquet(path)
+    make().withColumn("left", F.col("block") < 0).write.partitionBy("left").parquet(path)
+    for _ in range(2):  # the driver's handles go first, then what they held
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+    read = spark.read.schema(f"{B.ANSWER}, left boolean").parquet(path)
     return read.where("not left").drop("left").withColumn("kind", F.lit(kind)), read.where("left").select("part", "values")
 
 
@@ -350,7 +364,7 @@ class KatzModel:
         """``RESULT`` for each row of any table; no row counts as held out. See ``katz_scores``."""
         rows = docs.select(F.col(ident).cast("long").alias("id"), F.col(text).alias("text"), F.lit(True).alias("mark"))
         packed = B.pack_blocks(rows, lower=True, block_bytes=block_bytes)
-        blocks, bits, numbers = packed.count(), B.levels(self.parts)[0], self.numbers
+        blocks, bits, numbers, spark = packed.count(), B.levels(self.parts)[0], self.numbers, docs.sparkSession
         told = []
 
         def counts_of(n: int):
@@ -363,11 +377,10 @@ class KatzModel:
             return run
 
         for n, table in self.counts.items():
-            asked = B.each_block(packed, counts_of(n))
-            told.append(_stored(B.exchange(asked, self.parts, blocks, _looked_up, table), count_kind(n), False)[0])
+            told.append(_stored(spark, lambda: B.exchange(B.each_block(packed, counts_of(n)), self.parts, blocks, _looked_up, table), count_kind(n), False)[0])  # noqa: B023
         for n, table in self.weights.items():
-            asked = B.with_answers(packed, reduce(DataFrame.unionAll, told), weights_of(n), B.REQUEST)
-            told.append(_stored(B.exchange(asked, self.parts, blocks, _looked_up, table), weight_kind(n), False)[0])
+            known = reduce(DataFrame.unionAll, told)
+            told.append(_stored(spark, lambda: B.exchange(B.with_answers(packed, known, weights_of(n), B.REQUEST), self.parts, blocks, _looked_up, table), weight_kind(n), False)[0])  # noqa: B023
         scored = B.with_answers(packed, reduce(DataFrame.unionAll, told), _score(numbers, True), RESULT)
         return materialise(scored.withColumn("held_out", F.lit(False)), "scores", lasting=True)
 
@@ -377,6 +390,7 @@ def _looked_up(part: int, keys: np.ndarray, sums: list[np.ndarray], held: list[l
     out = None
     for values in held:
         known, found = B.unpack_sorted(values[0]), B.unpack(values[1])
+        found = 2 * found if found.dtype == np.uint64 else found
         out = np.zeros(len(keys), found.dtype) if out is None else out
         if len(known):
             at = np.searchsorted(known, keys)
@@ -393,16 +407,17 @@ def _fit(docs: DataFrame, held_out: Column, ident: str, text: str, order: int, b
     parts = B.part_count(B.size_of(docs, text))
     bits, packed = B.levels(parts)[0], B.pack_blocks(rows, lower=True, block_bytes=block_bytes)
     blocks, told, counts, weights, stats = packed.count(), {}, {}, {}, {}
+    spark = docs.sparkSession
     for n in range(1, order + 1):
-        asked = B.each_block(packed, _counts_asked(n, bits))
-        told[count_kind(n)], counts[n] = _stored(B.exchange(asked, parts, blocks, _count if whole else _count_alone), count_kind(n), whole)
+        asked = lambda: B.exchange(B.each_block(packed, _counts_asked(n, bits)), parts, blocks, _count if whole else _count_alone)  # noqa: B023, E731
+        told[count_kind(n)], counts[n] = _stored(spark, asked, count_kind(n), whole)
         number = [F.coalesce(F.sum(F.conv(F.hex(F.get("values", F.lit(i + 2))), 16, 10).cast("long")), F.lit(0)) for i in range(_STATS)]
         stats[n] = [int(x) for x in counts[n].agg(*number).first()]
     numbers = Numbers(stats, rows.where(~F.col("mark")).count(), order)
     for n in range(1, order):
-        needed = reduce(DataFrame.unionAll, [told[k] for k in (*map(count_kind, range(1, n + 2)), *map(weight_kind, range(1, n)))])
-        asked = B.with_answers(packed, needed, _weights_asked(n, numbers, bits, whole), B.REQUEST)
-        told[weight_kind(n)], weights[n] = _stored(B.exchange(asked, parts, blocks, _weigh if whole else _weigh_alone), weight_kind(n), whole)
+        known = reduce(DataFrame.unionAll, [told[k] for k in (*map(count_kind, range(1, n + 2)), *map(weight_kind, range(1, n)))])
+        asked = lambda: B.exchange(B.with_answers(packed, known, _weights_asked(n, numbers, bits, whole), B.REQUEST), parts, blocks, _weigh if whole else _weigh_alone)  # noqa: B023, E731
+        told[weight_kind(n)], weights[n] = _stored(spark, asked, weight_kind(n), whole)
     return KatzModel(numbers, parts, counts, weights), packed, reduce(DataFrame.unionAll, told.values())
 
 

@@ -253,7 +253,7 @@ def brute_katz(rows, order=K.ORDER, score=None):
         if h not in weight:
             seen = sum(c for _, c in after[h])
             got = sum(taken(n, c) for _, c in after[h])
-            base = seen + 1 if got > seen * (1 - 1e-12) else seen
+            base = seen + K.RESERVE
             weight[h] = base, (1 - got / base) / (1 - sum(p((*h, w)[1:]) for w, _ in after[h]))
         base, alpha = weight[h]
         return taken(n, count[n][g]) / base if count[n][g] else alpha * p(g[1:])
