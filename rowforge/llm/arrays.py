@@ -141,18 +141,16 @@ def runs(word: np.ndarray, where: np.ndarray, n: int) -> np.ndarray:
     return mix64(out)
 
 
-def repeated(keys: np.ndarray) -> np.ndarray:
-    """Whether each key occurs more than once."""
-    if not len(keys):
-        return np.zeros(0, bool)
+def repeated(keys: np.ndarray, times: int = 2) -> np.ndarray:
+    """Whether each key occurs ``times`` times or more."""
     ordered = np.sort(keys)
-    twice = ordered[1:][ordered[1:] == ordered[:-1]]
-    if not len(twice):
+    found = ordered[times - 1 :][ordered[times - 1 :] == ordered[: len(ordered) - times + 1]]
+    if not len(found):
         return np.zeros(len(keys), bool)
-    twice = twice[np.concatenate([[True], twice[1:] != twice[:-1]])]
-    at = np.searchsorted(twice, keys)
-    at[at == len(twice)] = 0
-    return twice[at] == keys
+    found = found[np.concatenate([[True], found[1:] != found[:-1]])]
+    at = np.searchsorted(found, keys)
+    at[at == len(found)] = 0
+    return found[at] == keys
 
 
 def per_doc(values: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:

@@ -4,6 +4,9 @@ All in numpy over Arrow batches: words are hashed from the text's bytes, rolling
 length, and characters inside an n-gram that occurs twice or more are counted once, however many n-grams cover
 them. A repeated run of n words holds repeated runs of n-1, so each length looks only where the one before left
 a repeat.
+
+The base rule takes texts with a fifth of their words in repeated windows. The method's limits are stricter for n-grams
+that occur ``OFTEN`` times or more: one line or passage that a text says again is no fault, a refrain is.
 """
 
 from __future__ import annotations
@@ -18,16 +21,17 @@ from pyspark.sql import types as T
 from .arrays import Texts, chunks, code_points, mix64, per_doc, repeated, runs, span_hashes, words
 from .common import fresh
 
-#: Share of the words' characters inside repeated n-grams, by n, above which a text is rejected. The base rule already
-#: takes texts with a fifth of their words in repeated windows of 5; a line that recurs once in a short text is no fault.
-NGRAM_LIMITS = {5: 0.30, 6: 0.29, 7: 0.28, 8: 0.27, 9: 0.26, 10: 0.25}
+#: Times that an n-gram occurs to count for the limits.
+OFTEN = 3
+#: Share of the words' characters inside such n-grams, by n, above which a text is rejected.
+NGRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 #: Share of the words' characters in lines that repeat an earlier one.
 LINE_LIMIT = 0.25
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
-COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "dup_line_share", "dup_ngram_share")
-_TYPES = ("long", "long", "long", "long", "long", "boolean", "boolean", "double", "double")
+COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "dup_line_share", "dup_ngram_share", "often_ngram_share")
+_TYPES = ("long", "long", "long", "long", "long", "boolean", "boolean", "double", "double", "double")
 _ARROW = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
 
 
@@ -63,29 +67,38 @@ def measure(t: Texts, limits: dict[int, float] = NGRAM_LIMITS, line_limit: float
     line_share = line_chars / np.maximum(word_chars, 1)
 
     n_repeat = np.zeros(n, np.int64)
-    worst = np.zeros(n)
+    worst, often = np.zeros(n), np.zeros(n)
     bad = line_share > line_limit
     alive = None
     salt = w.doc.astype(np.uint64)
+
+    def covered(hit: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Words inside the runs that begin at ``hit``, and their share of each text's characters."""
+        cover = np.zeros(len(hashed) + 1, np.int64)
+        cover[: len(hit)] += hit
+        cover[size : size + len(hit)] -= hit
+        inside = np.cumsum(cover[:-1]) > 0
+        return inside, per_doc(np.where(inside, chars, 0), w.doc, n) / np.maximum(word_chars, 1)
+
     for size in sorted(limits):
         m = len(hashed) - size + 1
         if m <= 0:
             break
-        hit = np.zeros(m, bool)
+        hit, thrice = np.zeros(m, bool), np.zeros(m, bool)
         where = np.flatnonzero(w.doc[:m] == w.doc[size - 1 :]) if alive is None else np.flatnonzero(alive[:m])
         if alive is not None:
             where = where[w.doc[where] == w.doc[where + size - 1]]
         keys = runs(hashed, where, size) ^ ((salt[where] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
         hit[where[repeated(keys)]] = True
-        cover = np.zeros(len(hashed) + 1, np.int64)
-        cover[:m] += hit
-        cover[size : size + m] -= hit
-        inside = np.cumsum(cover[:-1]) > 0
+        thrice[where[repeated(keys, OFTEN)]] = True
+        inside, share = covered(hit, size)
         if size == min(limits):
             n_repeat = per_doc(inside.astype(np.int64), w.doc, n)
-        share = per_doc(np.where(inside, chars, 0), w.doc, n) / np.maximum(word_chars, 1)
         worst = np.maximum(worst, share)
-        bad |= share > limits[size]
+        if thrice.any():
+            share = covered(thrice, size)[1]
+            often = np.maximum(often, share)
+            bad |= share > limits[size]
         # a longer run repeats only if it begins and ends with repeats of this length
         alive = np.zeros(m, bool)
         alive[: m - 1] = hit[:-1] & hit[1:]
@@ -93,7 +106,7 @@ def measure(t: Texts, limits: dict[int, float] = NGRAM_LIMITS, line_limit: float
             break
     base = (n_words < 10) | (100 * n_repeat > 20 * n_words)
     return dict(
-        zip(COLUMNS, (n_words, word_chars, n_symbols, n_dup_lines, n_repeat, base, ~(base | bad), line_share, worst), strict=True)
+        zip(COLUMNS, (n_words, word_chars, n_symbols, n_dup_lines, n_repeat, base, ~(base | bad), line_share, worst, often), strict=True)
     )
 
 

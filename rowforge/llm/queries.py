@@ -77,14 +77,27 @@ def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents and tokens by source, language and tokenizer, after a batch that inserts all documents.
+    """Documents and tokens by source, language and tokenizer, after three batches over all documents.
 
-    The batch is committed twice; the second time changes nothing.
+    The first inserts all in the state of a time before: some with half of their text and another source, and some more
+    that are gone since. The second revises the former and the third deletes the latter. Each is committed twice; the
+    second time changes nothing.
     """
-    docs = _read(spark, sf_dir, "documents").select(F.lit("insert").alias("op"), "doc_id", "source", "lang", "text")
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    turn = F.pmod(F.xxhash64("doc_id"), F.lit(8))
+    half = F.substring("text", F.lit(1), F.floor(F.length("text") / 2).cast("int"))
+    older = docs.withColumns({"text": F.when(turn == 0, half).otherwise(F.col("text")), "source": F.when(turn == 0, F.lit("older")).otherwise(F.col("source"))})
+    gone = docs.where(turn == 1).withColumns({"doc_id": -1 - F.col("doc_id"), "text": half})
+    batches = {
+        "1-insert": older.unionByName(gone).withColumn("op", F.lit("insert")),
+        "2-revise": docs.where(turn == 0).withColumn("op", F.lit("revise")),
+        "3-delete": gone.withColumn("op", F.lit("delete")),
+    }
     rollup = TokenRollup(spark)
-    rollup.commit("documents", docs)
-    rollup.commit("documents", docs)
+    for name, batch in batches.items():
+        rollup.commit(name, batch)
+        rollup.commit(name, batch)
+    rollup.compact()
     return rollup.totals()
 
 
@@ -198,21 +211,23 @@ ORACLE = {
         word AS (SELECT doc_id, i, length(ws[i]) AS chars FROM w, unnest(range(1, len(ws) + 1)) u(i)),
         size AS (SELECT doc_id, count(*) AS n_words, CAST(sum(chars) AS BIGINT) AS word_chars FROM word GROUP BY doc_id),
         gram AS (SELECT doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') AS g
-                 FROM w, (VALUES (5, 0.30), (6, 0.29), (7, 0.28), (8, 0.27), (9, 0.26), (10, 0.25)) k(n, most), unnest(range(1, len(ws) - n + 2)) u(i)),
-        twice AS (SELECT doc_id, n, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, n, g) AS c FROM gram) WHERE c > 1),
-        inside AS (SELECT DISTINCT doc_id, n, i + j AS i FROM twice, unnest(range(0, n)) v(j)),
-        cover AS (SELECT doc_id, n, count(*) AS words, CAST(sum(chars) AS BIGINT) AS chars FROM inside JOIN word USING (doc_id, i) GROUP BY doc_id, n),
-        share AS (SELECT doc_id, max(CASE WHEN n = 5 THEN words END) AS n_repeat_words, max(chars / word_chars) AS dup_ngram_share, bool_or(chars / word_chars > 0.35 - n * 0.01) AS bad
+                 FROM w, (VALUES (5), (6), (7), (8), (9), (10)) k(n), unnest(range(1, len(ws) - n + 2)) u(i)),
+        twice AS (SELECT doc_id, n, i, c > 2 AS thrice FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, n, g) AS c FROM gram) WHERE c > 1),
+        inside AS (SELECT doc_id, n, i + j AS i, bool_or(thrice) AS thrice FROM twice, unnest(range(0, n)) v(j) GROUP BY ALL),
+        cover AS (SELECT doc_id, n, count(*) AS words, CAST(sum(chars) AS BIGINT) AS chars, CAST(sum(CASE WHEN thrice THEN chars ELSE 0 END) AS BIGINT) AS often
+                  FROM inside JOIN word USING (doc_id, i) GROUP BY doc_id, n),
+        share AS (SELECT doc_id, max(CASE WHEN n = 5 THEN words END) AS n_repeat_words, max(chars / word_chars) AS dup_ngram_share, max(often / word_chars) AS often_ngram_share,
+                         bool_or(often / word_chars > CASE n WHEN 5 THEN 0.15 WHEN 6 THEN 0.14 WHEN 7 THEN 0.13 WHEN 8 THEN 0.12 WHEN 9 THEN 0.11 ELSE 0.10 END) AS bad
                   FROM cover JOIN size USING (doc_id) GROUP BY doc_id),
         line AS (SELECT doc_id, pos, string_split(text, chr(10))[pos] AS l FROM w, unnest(range(1, len(string_split(text, chr(10))) + 1)) u(pos)),
         again AS (SELECT doc_id, count(*) AS n_dup_lines, CAST(sum(length(regexp_replace(l, '[\x20\x09-\x0D]', '', 'g'))) AS BIGINT) AS chars
                   FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, l ORDER BY pos) AS k FROM line WHERE regexp_matches(l, '[^\x20\x09-\x0D]')) WHERE k > 1 GROUP BY doc_id),
         every AS (SELECT w.doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
                          coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(again.chars / word_chars, 0) AS dup_line_share,
-                         coalesce(dup_ngram_share, 0) AS dup_ngram_share, coalesce(bad, false) OR coalesce(again.chars / word_chars, 0) > 0.25 AS bad
+                         coalesce(dup_ngram_share, 0) AS dup_ngram_share, coalesce(often_ngram_share, 0) AS often_ngram_share, coalesce(bad, false) OR coalesce(again.chars / word_chars, 0) > 0.25 AS bad
                   FROM w LEFT JOIN size USING (doc_id) LEFT JOIN share USING (doc_id) LEFT JOIN again USING (doc_id))
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-               NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR bad) AS kept, dup_line_share, dup_ngram_share
+               NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR bad) AS kept, dup_line_share, dup_ngram_share, often_ngram_share
         FROM every
     """,
     "op9_lsm_exact_dedup": """

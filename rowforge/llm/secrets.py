@@ -1,16 +1,17 @@
 """Secrets in texts: certain patterns, and weak candidates that count only together.
 
 Certain spans (``assign``, ``access``, ``hex``) are found by pattern and length alone. Weak candidates are the
-parts a credential is made of: identifiers, secrets and endpoints. Each part is an interval, widened by a window;
-an interval join inside a scope (a paragraph of the text) links parts of different roles. A weak candidate is
+parts a credential is made of: identifiers, secrets and endpoints. An interval join with the scopes (paragraphs of the
+text) links parts of different roles in the same scope, or, where a window is given, within it. A weak candidate is
 reported only if what it needs is linked to it:
 
 * a weak secret needs an identifier or an endpoint (certain ``access`` spans are identifiers),
 * a weak identifier needs a secret, certain or weak,
-* an endpoint needs a secret and an identifier.
+* an endpoint needs a secret and an identifier,
+* a bare secret, forty characters of base64 with no word that says so, needs a certain ``access`` span.
 
-The join sorts the parts' starts and finds each part's window by binary search, so it is linear in the parts; a
-part that needs a role asks whether the window holds any interval of it, and no pairs are made.
+The join sorts the parts' starts and finds each part's scope by binary search, so it is linear in the parts; a
+part that needs a role asks whether its scope holds any interval of it, and no pairs are made.
 """
 
 from __future__ import annotations
@@ -24,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Kinds in the order in which spans of the same start are listed.
-KINDS = ("assign", "access", "hex", "weak_secret", "identifier", "endpoint")
+KINDS = ("assign", "access", "hex", "weak_secret", "identifier", "endpoint", "bare_secret")
 BASE = KINDS[:3]
-#: Code points around a part in which complementary parts are linked to it.
-WINDOW = 240
+#: Code points around a part in which complementary parts are linked to it; None: the whole scope.
+WINDOW = None
 
 # The certain patterns and their least lengths.
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -51,6 +52,8 @@ _WEAK = {
     ),
 }
 _WEAK_WORDS = ("pwd", "pass", "privatekey", "private_key", "accesskey", "access_key", "auth", "credential", "://")
+# with an upper and a lower letter and a digit
+_BARE = re.compile(r"(?<![A-Za-z0-9+/=])(?=[a-z0-9+/]*[A-Z])(?=[A-Z0-9+/]*[a-z])(?=[A-Za-z+/]*[0-9])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])")
 _BLANK = re.compile(r"\n[\x20\t\r]*\n")
 
 
@@ -66,29 +69,34 @@ def certain(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
-def linked(text: str, known: list[tuple[int, int, str]], window: int = WINDOW) -> list[tuple[int, int, str]]:
-    """Weak candidates whose complementary parts are near, in the same scope."""
+def linked(text: str, known: list[tuple[int, int, str]], window: int | None = WINDOW) -> list[tuple[int, int, str]]:
+    """Weak candidates whose complementary parts are in the same scope (and window, where one is given)."""
     low = text.lower()
     if not known and not any(x in low for x in _WEAK_WORDS):
         return []
     secrets = _apart(_WEAK["weak_secret"].finditer(text), known)
     if not secrets and not known:
         return []
+    edges = np.array([0, *[m.end() for m in _BLANK.finditer(text)], len(text) + 1])
+    access, bare = [x[:2] for x in known if x[2] == "access"], []
+    if access:
+        held = known + [(*x, "") for x in secrets]
+        bare = _apart(_BARE.finditer(text), held)
+        bare = [x for x, yes in zip(bare, _join(bare, access, edges, window), strict=True) if yes]
     parts = {"weak_secret": secrets}
     for kind in ("identifier", "endpoint"):
         parts[kind] = _apart(_WEAK[kind].finditer(text), known)
-    if not any(parts.values()):
+    if not any(parts.values()) and not bare:
         return []
-    edges = np.array([0, *[m.end() for m in _BLANK.finditer(text)], len(text) + 1])
     role = {
-        "secret": secrets + [x[:2] for x in known if x[2] != "access"],
-        "identifier": parts["identifier"] + [x[:2] for x in known if x[2] == "access"],
+        "secret": secrets + bare + [x[:2] for x in known if x[2] != "access"],
+        "identifier": parts["identifier"] + access,
         "endpoint": parts["endpoint"],
     }
     near = {}
     for kind, spans in parts.items():
         near[kind] = {r: _join(spans, role[r], edges, window) for r in role}
-    out = []
+    out = [(*x, "bare_secret") for x in bare]
     for kind, spans in parts.items():
         n = near[kind]
         ok = {
@@ -110,22 +118,23 @@ def _apart(matches, known) -> list[tuple[int, int]]:
     return [s for s in spans if np.searchsorted(starts, s[1]) == np.searchsorted(ends, s[0], "right")]
 
 
-def _join(left: list[tuple[int, int]], right: list[tuple[int, int]], edges: np.ndarray, window: int) -> np.ndarray:
-    """Whether each left interval, widened by the window and clipped to its scope, meets a right interval.
+def _join(left: list[tuple[int, int]], right: list[tuple[int, int]], edges: np.ndarray, window: int | None) -> np.ndarray:
+    """Whether the scope of each left interval, or what is within the window of it there, meets a right interval.
 
-    Starts below the window's end less ends at or before its begin: how many intervals meet it.
+    Starts below the scope's end less ends at or before its begin: how many intervals meet it.
     """
     if not left or not right:
         return np.zeros(len(left), bool)
     a = np.array(left)
     scope = np.searchsorted(edges, a[:, 0], "right") - 1
-    lo = np.maximum(a[:, 0] - window, edges[scope])
-    hi = np.minimum(a[:, 1] + window, edges[scope + 1])
+    lo, hi = edges[scope], edges[scope + 1]
+    if window is not None:
+        lo, hi = np.maximum(a[:, 0] - window, lo), np.minimum(a[:, 1] + window, hi)
     b = np.array(right)
     return np.searchsorted(np.sort(b[:, 0]), hi) > np.searchsorted(np.sort(b[:, 1]), lo, "right")
 
 
-def find(text: str | None, window: int = WINDOW) -> list[tuple[int, int, str]]:
+def find(text: str | None, window: int | None = WINDOW) -> list[tuple[int, int, str]]:
     """All spans of a text by start, then kind."""
     if not text:
         return []
@@ -136,7 +145,7 @@ def find(text: str | None, window: int = WINDOW) -> list[tuple[int, int, str]]:
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
-def scan_secrets(docs: DataFrame, text: str = "text", name: str = "spans", carry: list[str] | None = None, window: int = WINDOW) -> DataFrame:
+def scan_secrets(docs: DataFrame, text: str = "text", name: str = "spans", carry: list[str] | None = None, window: int | None = WINDOW) -> DataFrame:
     """The columns of ``carry`` (all of ``docs`` if None), then ``name``: the text's spans, in code points, end exclusive.
 
     A null or empty text has none. Rows are scanned one by one and whole, so repeated rows get equal spans and an

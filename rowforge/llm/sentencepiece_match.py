@@ -13,6 +13,7 @@ merge across the border would have come earlier. So relaxing gives the model's o
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -391,25 +392,23 @@ class Codec:
         return data, sizes
 
 
-_codecs: dict[int, Codec] = {}
+_codec_of: dict[bytes, Codec] = {}
 
 
 def _codec(shared) -> Codec:
-    """One codec for each worker process and model."""
-    if shared.id not in _codecs:
-        _codecs[shared.id] = Codec(shared.value)
-    return _codecs[shared.id]
+    """The codec of a worker process: one, of the model that was used last."""
+    if shared.digest not in _codec_of:
+        _codec_of.clear()
+        _codec_of[shared.digest] = Codec(shared.held.value)
+    return _codec_of[shared.digest]
 
 
 class _Shared:
     """A model on its way to the workers: its size is the vocabulary's, some megabytes at most."""
 
     def __init__(self, spark, pieces: Pieces):
-        self.held, self.id = spark.sparkContext.broadcast(pieces), id(pieces) ^ hash(tuple(pieces.texts[-50:]))
-
-    @property
-    def value(self) -> Pieces:
-        return self.held.value
+        self.held = spark.sparkContext.broadcast(pieces)
+        self.digest = hashlib.sha256(b"\0".join(pieces.texts) + pieces.score.tobytes() + bytes([pieces.prefix])).digest()
 
 
 def _plain(texts: pa.Array) -> pa.Array:

@@ -3,7 +3,8 @@
 Each batch of changes (inserts, deletes, revisions) becomes signed rows: a ledger of what each document adds or takes
 away, and their sums by source, language and tokenizer. Totals are the sums of all committed batches' sums; no text
 is counted twice and no total is rewritten. A batch is committed by the marker of its last write: writing it again
-is a no-op after that, and starts over before.
+is a no-op after that, and starts over before. A batch with deletes or revisions reads the ledgers' parts of their
+identifiers; totals are the sum of the batches' sums, which ``compact`` makes one.
 
 Texts are counted exactly as the tokenizer would, unit by unit: its pattern never lets a token cross from a
 character that is not white space to one that is, so each different unit of a batch is encoded once.
@@ -37,11 +38,16 @@ class Tokenizer:
     name: str
     path: str
 
-    def load(self):
+    def read(self) -> bytes:
+        """The file, for the driver alone: workers get what it holds."""
+        with open(self.path, "rb") as f:
+            return f.read()
+
+    def load(self, held: bytes | None = None):
         import tiktoken
 
-        with open(self.path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        lines = (self.read() if held is None else held).splitlines()
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         return tiktoken.Encoding(self.name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
@@ -79,8 +85,8 @@ class Units:
 class Counter:
     """Token counts of batches of texts by one tokenizer."""
 
-    def __init__(self, tokenizer: Tokenizer):
-        self.encoding = tokenizer.load()
+    def __init__(self, tokenizer: Tokenizer, held: bytes | None = None):
+        self.encoding = tokenizer.load(held)
         self.length = np.array([len(self.encoding.decode_single_token_bytes(i)) for i in range(self.encoding.n_vocab)], np.int64)
         self.names, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
@@ -133,11 +139,12 @@ def count_tokens(docs: DataFrame, text: str = "text", name: str = "tokens", toke
     carry = [c for c in (docs.columns if carry is None else carry) if c.lower() != name.lower()]
     docs = docs.select(*[f"`{c}`" for c in [*carry, *[text] * (text not in carry)]])
     at, held, tokenizers = docs.columns.index(text), len(carry), tuple(tokenizers)
+    files = docs.sparkSession.sparkContext.broadcast([k.read() for k in tokenizers])  # vocabularies, a megabyte or two each
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k in tokenizers:
+        for k, file in zip(tokenizers, files.value, strict=True):
             if k not in _counters:
-                _counters[k] = Counter(k)
+                _counters[k] = Counter(k, file)
         for batch in batches:
             for t in chunks(batch.column(at), BATCH):
                 cut = Units(t)
@@ -149,7 +156,15 @@ def count_tokens(docs: DataFrame, text: str = "text", name: str = "tokens", toke
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields[:held], T.StructField(name, T.ArrayType(T.LongType()))]))
 
 
-_ROW = "doc_id long, source string, lang string, tokenizer string, docs long, tokens long"
+_ROW = "doc_id long, source string, lang string, tokenizer string, docs long, tokens long, part int"
+#: Folders of a batch's ledger, by a hash of the identifier: a batch reads those of the identifiers that it changes.
+PARTS = 64
+
+
+def _part(ident: str):
+    return F.pmod(F.xxhash64(ident), F.lit(PARTS)).cast("int")
+
+
 _SUM = "source string, lang string, tokenizer string, docs long, tokens long"
 
 
@@ -171,7 +186,7 @@ class TokenRollup:
     def _read(self, kind: str, schema: str) -> DataFrame:
         out = self.spark.createDataFrame([], schema)
         if paths := [f"{self.root}/{kind}/{b}" for b in self._committed()]:
-            out = self.spark.read.schema(schema).parquet(*paths)
+            out = self.spark.read.option("basePath", f"{self.root}/{kind}").schema(f"{schema}, batch string").parquet(*paths).drop("batch")
         return out
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
@@ -193,21 +208,54 @@ class TokenRollup:
         rows = added
         if self._committed():
             gone = changes.where("op <> 'insert' and doc_id is not null").select("doc_id").distinct()
+            parts = [r["part"] for r in gone.select(_part("doc_id").alias("part")).distinct().collect()]  # PARTS at most
             stands = (
                 self._read("ledger", _ROW)
+                .where(F.col("part").isin(parts))
                 .join(gone, "doc_id", "left_semi")
                 .groupBy("doc_id", "source", "lang", "tokenizer")
                 .agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
                 .where("docs <> 0 or tokens <> 0")
             )
             rows = rows.unionByName(stands.withColumns({"docs": -F.col("docs"), "tokens": -F.col("tokens")}))
-        rows.write.mode("overwrite").parquet(f"{self.root}/ledger/{name}")
+        # a file or a few for each part, however many tasks there were
+        spread = rows.withColumn("part", _part("doc_id")).repartition("part", F.pmod(F.hash("doc_id", "tokens"), F.lit(4)))
+        spread.write.mode("overwrite").partitionBy("part").parquet(f"{self.root}/ledger/{name}")
         ledger = self.spark.read.schema(_ROW).parquet(f"{self.root}/ledger/{name}")
         sums = ledger.groupBy("source", "lang", "tokenizer").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         sums.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/sums/{name}")  # its marker commits the batch
         return True
 
+    def compact(self) -> None:
+        """Add up the sums of all committed batches in one folder, which then stands for them; their ledgers stay."""
+        names = self._committed()
+        if len(self._folded()) < len(names):
+            marks = self.spark.createDataFrame([(n,) for n in names], "batch string")
+            at = f"{self.root}/folded/{len(names):09d}"
+            self._summed().write.mode("overwrite").parquet(f"{at}/sums")
+            marks.coalesce(1).write.mode("overwrite").parquet(f"{at}/batches")  # its marker makes it count
+
+    def _folded(self) -> list[str]:
+        """Batches whose sums are folded, by the last folding that is there in full."""
+        at = self._last_fold()
+        return [r["batch"] for r in self.spark.read.parquet(f"{at}/batches").collect()] if at else []
+
+    def _last_fold(self) -> str | None:
+        jvm, path = self.spark._jvm, f"{self.root}/folded"
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        fs = where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(where):
+            return None
+        done = sorted(s.getPath().getName() for s in fs.listStatus(where) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "batches/_SUCCESS")))
+        return f"{path}/{done[-1]}" if done else None
+
+    def _summed(self) -> DataFrame:
+        folded = set(self._folded())
+        paths = [f"{self.root}/sums/{b}" for b in self._committed() if b not in folded] + [f"{self._last_fold()}/sums"] * bool(folded)
+        sums = self.spark.read.schema(_SUM).parquet(*paths) if paths else self.spark.createDataFrame([], _SUM)
+        return sums.groupBy("source", "lang", "tokenizer").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+
     def totals(self) -> DataFrame:
-        """source, lang, tokenizer, docs, tokens: as of the committed batches; groups with nothing left are left out."""
-        sums = self._read("sums", _SUM).groupBy("source", "lang", "tokenizer").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        return sums.where("docs <> 0 or tokens <> 0")
+        """source, lang, tokenizer, docs, tokens: as of the committed batches; groups with nothing left are left out. Without
+        batches, or with batches of no rows, it is empty."""
+        return self._summed().where("docs <> 0 or tokens <> 0")

@@ -222,6 +222,21 @@ def test_encode_and_decode(spark, sf_dir, odd_docs, no_docs):
     assert S.encode(no_docs).count() == 0 and S.encode(odd_docs, names=("key", "n", "ok")).count() == odd_docs.count()
 
 
+def test_one_codec_for_a_worker():
+    class Held:
+        def __init__(self, pieces):
+            self.held, self.value = self, pieces
+            self.digest = bytes([pieces.prefix])
+
+    import dataclasses
+
+    pieces = S.load()
+    first = S._codec(Held(pieces))
+    assert S._codec(Held(pieces)) is first
+    other = S._codec(Held(dataclasses.replace(pieces, prefix=not pieces.prefix)))
+    assert other is not first and len(S._codec_of) == 1
+
+
 def test_token_counts_equal_the_library(spark, sf_dir):
     texts = ODD_TEXTS + [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
     rows = R.count_tokens(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
@@ -248,6 +263,12 @@ def test_rollup_deltas(spark, odd_docs):
     os.remove(f"{store.root}/sums/batch=2/_SUCCESS")
     assert again.totals().count() == 2 and again.commit("2", second)
     assert totals() == {("a", "en"): (2, n("one two")), ("b", "de"): (1, n("sechs"))}
+    # folded sums stand for their batches, and later batches are added to them
+    again.compact()
+    again.compact()
+    assert totals() == {("a", "en"): (2, n("one two")), ("b", "de"): (1, n("sechs"))} and len(os.listdir(f"{store.root}/folded")) == 1
+    assert again.commit("3", spark.createDataFrame([("delete", 1, None, None, None), ("revise", 3, "b", "de", "sieben acht")], schema))
+    assert totals() == {("a", "en"): (1, 0), ("b", "de"): (1, n("sieben acht"))} and not again.commit("2", second)
     fresh = R.TokenRollup(spark, tokenizers=one)
     assert fresh.totals().count() == 0
     fresh.commit("odd", odd_docs.select(F.lit("insert").alias("op"), "doc_id", "source", "lang", "text"))
