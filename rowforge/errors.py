@@ -13,11 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Parts of "Type: message", without regard to case, that make an error worth another attempt or not.
-RECOVERABLE = (
-    "DeadlineExceeded", "Timeout", "TimeoutError", "ReadTimeout", "ConnectTimeout", "RateLimitError", "ResourceExhausted", "TooManyRequests", "429",
-    "ServiceUnavailable", "InternalServerError", "500", "502", "503", "504", "ConnectionError", "ConnectionReset", "SSLError", "UsageLimitExceededError",
-)
+# Parts of "Type: message", without regard to case, that make another attempt useless; all else is worth one.
 NOT_RECOVERABLE = (
     "AuthenticationError", "InvalidAPIKey", "PermissionDenied", "InvalidArgument", "NotFound", "401", "403", "404", "MissingAPIKeyError",
     "InvalidAPIKeyError", "BadRequestError",
@@ -159,14 +155,15 @@ _ADVICE = {
 }
 
 
-def friendly_message(error: BaseException, provider: str | None = None) -> str:
-    """What happened and what to do, in a box; an unknown error as it is."""
+def friendly_message(error: BaseException | str, provider: str | None = None) -> str:
+    """What happened and what to do, in a box; an unknown error as it is. ``error`` may be "Type: message"."""
     info, kind = provider_info(provider), error_kind(error)
+    said = error if isinstance(error, str) else described(error)
     if kind == "other":
-        return f"{info.name}: {described(error)}"
+        return f"{info.name}: {said}"
     title, lines = _ADVICE[kind]
     auth = f'export {info.env}="..."' if info.env else info.hint
-    return _box(f"{info.name}: {title}", [x.replace("{auth}", auth) for x in lines] + [described(error)[:160]])
+    return _box(f"{info.name}: {title}", [x.replace("{auth}", auth) for x in lines] + [said[:160]])
 
 
 @dataclass

@@ -98,28 +98,48 @@ def normalize_columns(df: DataFrame, kinds: dict[str, T.DataType], keep_raw: boo
     return df
 
 
-#: Values of a column that are looked at to see whether it holds JSON.
-PROBE = 10
+def keep_unparsed(df: DataFrame, kinds: dict[str, T.DataType]) -> DataFrame:
+    """``normalize_columns`` without loss: where a cell does not parse, its text is in ``<name>_raw``; columns of that
+    name that would be null in all rows are left out."""
+    out = normalize_columns(df, kinds, keep_raw=True)
+    raw = [c for c in out.columns if c not in df.columns]
+    if not raw:
+        return out
+    held = out.agg(*[F.count(F.col(f"`{c}`")) for c in raw]).first()
+    return out.drop(*[c for c, n in zip(raw, held, strict=True) if not n])
 
 
 def normalize_all(df: DataFrame) -> DataFrame:
-    """Every string column whose first values read like JSON, as the type that those values have.
+    """Every string column with a cell that reads like a JSON array or object and parses, without loss.
 
-    The look at the first ``PROBE`` values is how a column is recognised; all of its rows are then converted.
+    Two jobs look at all rows of all columns. Where every cell parses and cells of a place agree in their type, the column
+    gets the type of all cells together (keys that a cell does not have are null). Else it is a VARIANT: each cell is its
+    own JSON value, and what does not parse is the string that it was. Other columns stay; so do those of an empty table.
     """
-    for name, kind in df.dtypes:
-        if kind != "string":
-            continue
-        first = [r[0] for r in df.select(F.col(f"`{name}`")).where(F.col(f"`{name}`").isNotNull()).limit(PROBE).collect()]
-        if first and all(isinstance(normalize_value(v), (list, dict)) for v in first):
-            sample = json.dumps([normalize_value(v) for v in first])
-            schema = df.sparkSession.range(1).select(F.schema_of_json(F.lit(sample))).first()[0]
-            element = T.DataType.fromDDL(schema) if hasattr(T.DataType, "fromDDL") else T._parse_datatype_string(schema)
-            df = normalize_columns(df, {name: element.elementType})
-    return df
+    names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    if not names:
+        return df
+
+    def value(name: str) -> Column:
+        c = F.col(f"`{name}`")
+        return F.when(c.rlike(r"^\s*[\[{]"), F.try_parse_json(c))
+
+    seen = df.agg(*[F.count(value(n)) for n in names], *[F.count(F.col(f"`{n}`")) for n in names]).first()
+    found = [(n, seen[i] == seen[len(names) + i]) for i, n in enumerate(names) if seen[i]]
+    if not found:
+        return df
+    kinds = df.agg(*[F.schema_of_variant_agg(value(n)) for n, _ in found]).first()
+    out = {}
+    for (name, all_parse), kind in zip(found, kinds, strict=True):
+        c = F.col(f"`{name}`")
+        if all_parse and not any(x in kind for x in ("VARIANT", "VOID", "OBJECT<>")):
+            out[name] = F.from_json(c, kind.replace("OBJECT<", "STRUCT<"))
+        else:
+            out[name] = F.coalesce(value(name), c.cast("variant"))
+    return df.withColumns(out)
 
 
 def json_columns(df: DataFrame) -> DataFrame:
-    """Arrays, maps and structs as JSON strings, nulls kept: for sinks of plain values."""
-    complex_ = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
+    """Arrays, maps, structs and variants as JSON strings, nulls kept: for sinks of plain values."""
+    complex_ = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType))]
     return df.withColumns({n: F.to_json(F.col(f"`{n}`"), {"ignoreNullFields": "false"}) for n in complex_}) if complex_ else df

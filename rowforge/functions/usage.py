@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 COUNTS = ("input_tokens", "output_tokens", "total_tokens", "reasoning_tokens", "search_credits", "search_count")
 
 
+#: What some providers say a call cost, in dollars; a column of the result's own, null where no call says it.
+COST = "cost_usd"
+
+
 def no_usage() -> dict[str, int]:
     return dict.fromkeys(COUNTS, 0)
 
@@ -17,6 +21,8 @@ def no_usage() -> dict[str, int]:
 def add_usage(total: dict[str, int], more: dict | None) -> None:
     for k in COUNTS:
         total[k] += (more or {}).get(k) or 0
+    if (more or {}).get(COST) is not None:
+        total[COST] = total.get(COST, 0.0) + more[COST]
 
 
 def _get(x, name: str, default=None):

@@ -10,8 +10,9 @@ from pydantic import BaseModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import friendly_message
 from ..functions.schema import complex_fields, struct_of
-from ..functions.text import normalize_columns
+from ..functions.text import keep_unparsed
 from ..options import Options, checked, resolve_text_column, warn_search_rate
 from ..plans.planner import CallPlan, compile_plan
 from ..providers import find_provider
@@ -47,7 +48,7 @@ def enrich_with_stats(data, questions=None, prompt=None, perguntas=None, *, spar
         return from_spark(df, origin), None
     plan = compile_plan(model, o)
     if o.resume or o.reprocess:
-        df = normalize_columns(df, {n: kinds[n].dataType for n in complex_fields(model)})
+        df = keep_unparsed(df, {n: kinds[n].dataType for n in complex_fields(model)})
     df = state.set_up_columns(df, plan, o, kinds)
     todo = state.pending(o) if o.resume or o.reprocess else F.lit(True)
     began = time.monotonic()
@@ -61,6 +62,11 @@ def enrich_with_stats(data, questions=None, prompt=None, perguntas=None, *, spar
     columns = df.columns
     _, threads = concurrency(o.parallel_requests, df.sparkSession.sparkContext.defaultParallelism)
     stats = run_stats(made, time.monotonic() - began, o.parallel_requests, threads)
+    if stats.errors:
+        name = o.provider if isinstance(o.provider, str) else None
+        warnings.warn(f"{stats.errors} of {stats.rows} rows are in error, one of them:\n{friendly_message(stats.error, name)}", UserWarning, stacklevel=3)
+    if stats.reduced:
+        warnings.warn(stats.notice(), UserWarning, stacklevel=3)
     out = state.merge(results, plan, o, columns).unionByName(df.where(~todo))
     if o.checkpoint_path:
         out = state.write_once(out, "enriched")

@@ -1,7 +1,8 @@
 """The operator that makes the calls: rows in, one result struct a row out, over Arrow batches.
 
 A task opens its client once and runs its rows on a few threads. Errors never leave a row; a task that fails would
-repeat paid calls. Limits are a task's share of the whole: with p tasks of t threads, p * t calls run at once.
+repeat its calls, so where all cores are used a task has ``TASK_ROWS`` rows or so. Limits are a task's share of the whole:
+with p tasks at once of t threads, p * t calls run at once. With fewer requests than cores, there are as many tasks as requests.
 """
 
 from __future__ import annotations
@@ -22,11 +23,13 @@ from ..errors import Outcome, attempt, is_rate_limit
 from ..functions.conditions import skipped
 from ..functions.schema import cell, struct_of
 from ..functions.text import build_prompt
-from ..functions.usage import COUNTS, add_usage, agent_usage, no_usage, trace_json, trace_of, usage_of
+from ..functions.usage import COST, COUNTS, add_usage, agent_usage, no_usage, trace_json, trace_of, usage_of
 from ..options import Options
 from ..plans.planner import CONTEXT, CallPlan, Step, item_context, set_nested, trace_column
 from ..providers import find_provider
 
+#: Rows of a task, and so calls that are repeated when it is lost, where there are more tasks than run at once.
+TASK_ROWS = 2_000
 #: Name of the result struct that rows get.
 RESULT = "_result"
 
@@ -35,7 +38,7 @@ def result_type(plan: CallPlan) -> T.StructType:
     """data, status, error, retries, tokens and credits, calls, workers, and a JSON string for each trace."""
     counts = [T.StructField(c, T.LongType()) for c in (*COUNTS, "retries", "calls", "workers")]
     traces = [T.StructField(c, T.StringType()) for c in plan.traces]
-    return T.StructType([T.StructField("data", struct_of(plan.model)), T.StructField("status", T.StringType()), T.StructField("error", T.StringType()), *counts, *traces])
+    return T.StructType([T.StructField("data", struct_of(plan.model)), T.StructField("status", T.StringType()), T.StructField("error", T.StringType()), *counts, T.StructField(COST, T.DoubleType()), *traces])
 
 
 class Throttle:
@@ -93,9 +96,7 @@ class Run:
                 answer, usage, trace = self.client.ask(prompt, model, text, dict(self.data)), None, None
                 usage = usage_of(answer.usage) if answer.usage and "output_token_details" in answer.usage else answer.usage
             else:
-                from ..search import get_provider
-
-                source = get_provider(step.search.provider)
+                source = step.search.source
                 answer = self.client.search(prompt, model, step.search, text, dict(self.data))
                 usage = agent_usage(answer.messages, source, step.search.depth, step.search.max_results)
                 trace = trace_of(answer.messages, o.model, time.monotonic() - began, o.trace, source) if o.trace else None
@@ -156,8 +157,8 @@ class Failed(Exception):
         self.outcome = outcome
 
 
-def row_result(plan: CallPlan, options: Options, client, submodels: dict, throttle: Throttle, text: str | None, kind: T.StructType) -> dict:
-    """The result struct of one row; every ``Exception`` ends in its error."""
+def row_result(plan: CallPlan, options: Options, client, submodels: dict, throttle: Throttle, text: str | None, kind: T.StructType, arrow: pa.DataType) -> dict:
+    """The result struct of one row; every ``Exception`` ends in its error. ``arrow``: the type of its data."""
     run, error = Run(plan, options, client, submodels), None
     with throttle:
         try:
@@ -180,10 +181,10 @@ def row_result(plan: CallPlan, options: Options, client, submodels: dict, thrott
     if ok:
         try:
             data = cell(run.data, kind["data"].dataType)
-            pa.scalar(data, to_arrow_type(kind["data"].dataType))
+            pa.scalar(data, arrow)
         except Exception as e:  # noqa: BLE001
             ok, data, details = False, None, Outcome(None, e).details()
-    counts = run.usage if ok else no_usage()
+    counts = {COST: None} | (run.usage if ok else no_usage())
     traces = {c: trace_json(run.traces.get(c)) for c in plan.traces} if ok else dict.fromkeys(plan.traces)
     return {"data": data, "status": "processed" if ok else "error", "error": details, **counts, "retries": run.retries, "calls": run.calls, "workers": throttle.workers, **traces}
 
@@ -197,10 +198,13 @@ def concurrency(parallel: int, cores: int) -> tuple[int, int]:
 def execute(df: DataFrame, text: str, plan: CallPlan, options: Options) -> DataFrame:
     """``df`` with the result struct of each row. Each evaluation makes the calls again: write the result once."""
     kind = result_type(plan)
-    tasks, threads = concurrency(options.parallel_requests, df.sparkSession.sparkContext.defaultParallelism)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    tasks, threads = concurrency(options.parallel_requests, cores)
+    if tasks == cores and not df.isStreaming:  # no more than these run at once, however many there are
+        tasks *= max(1, -(-df.count() // (tasks * TASK_ROWS)))
     spread = df.coalesce(1) if tasks == 1 else df.repartition(tasks)
     at, provider = df.columns.index(text), find_provider(options.provider)
-    arrow, delay = to_arrow_type(kind), options.rate_limit_delay
+    arrow, values, delay = to_arrow_type(kind), to_arrow_type(kind["data"].dataType), options.rate_limit_delay
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         client, submodels, throttle = None, {}, Throttle(threads, delay)
@@ -208,7 +212,7 @@ def execute(df: DataFrame, text: str, plan: CallPlan, options: Options) -> DataF
             for batch in batches:
                 client = client or provider.open(options)
                 texts = batch.column(at).to_pylist()
-                results = list(pool.map(lambda t: row_result(plan, options, client, submodels, throttle, t, kind), texts))
+                results = list(pool.map(lambda t: row_result(plan, options, client, submodels, throttle, t, kind, values), texts))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(results, arrow)], schema=pa.schema([*list(batch.schema), pa.field(RESULT, arrow)]))
 
     return spread.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(RESULT, kind)]))

@@ -21,9 +21,11 @@ CREDITS = "_search_credits"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where the session has none."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one only where a local session has none."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="rowforge-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -74,8 +76,9 @@ def merge(rows: DataFrame, plan: CallPlan, options: Options, columns: list[str])
 
 
 def drop_clean(df: DataFrame, options: Options) -> DataFrame:
-    """Without status and error columns if no row is in error or has details. A status column of another name stays."""
-    if options.status_column != "_status" or ERROR not in df.columns:
+    """Without status and error columns if no row is in error or has details, unless ``keep_status`` is set. A status
+    column of another name stays."""
+    if options.keep_status or options.status_column != "_status" or ERROR not in df.columns:
         return df
     bad = df.agg(F.bool_or((F.col("_status") == "error") | F.col(ERROR).isNotNull())).first()[0]
     return df if bad else df.drop("_status", ERROR)
@@ -114,9 +117,6 @@ class Checkpoint:
     def save(self, batch: DataFrame) -> None:
         batch.write.parquet(f"{self.root}/batch-{len(self._folders()):06d}-{uuid.uuid4().hex[:8]}")
 
-    def export(self, df: DataFrame) -> None:
-        save_table(df, self.path)
-
     def clear(self) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -40,6 +40,8 @@ class Search:
     max_results: int = 5
     depth: str = "basic"
     groups: dict[str, Group] = field(default_factory=dict)
+    #: The provider itself, which travels with the plan: workers have no registry but that of the package.
+    source: object = None
 
     def changed(self, depth: str | None, max_results: int | None) -> Search:
         return replace(self, depth=depth or self.depth, max_results=max_results or self.max_results)
@@ -72,6 +74,7 @@ class Options:
     checkpoint_path: str | None = None
     null_text: str = "error"
     dedup_calls: bool = False
+    keep_status: bool = False
 
 
 def checked(
@@ -106,6 +109,7 @@ def checked(
     checkpoint_path: str | None = None,
     null_text: str = "error",
     dedup_calls: bool = False,
+    keep_status: bool = False,
 ) -> tuple[type[BaseModel], Options]:
     """The model and the options, or ``ValueError``: arguments, checkpoint, search, trace, model, groups, in this order."""
     from .search import get_provider
@@ -130,13 +134,14 @@ def checked(
         if provider == "agent_sdk":
             raise ValueError("web search does not work with provider='agent_sdk'")
         source = get_provider(search_provider)
+        search_provider = source.name
         _depth(search_provider, search_depth, "search_depth")
         _results(max_results, "max_results")
         if source.package_name:
             check_dependency(source.package_name, source.install_name)
         if source.env_var and not env_is_set(source.env_var):
             raise ValueError(missing_search_key(source.name, source.env_var, source.signup_url))
-        search = Search(search_provider, search_per_field, max_results, search_depth)
+        search = Search(search_provider, search_per_field, max_results, search_depth, source=source)
     trace = None
     if save_trace:
         if not use_search:
@@ -156,7 +161,7 @@ def checked(
         raise ValueError("null_text is 'error' or 'text'")
     return questions, Options(
         template(prompt), resume, retry_errors, reprocess, model, provider, status_column or "_status", text_column, key, api_key, max_retries, base_delay,
-        max_delay, rate_limit_delay, track_tokens, model_kwargs or {}, parallel_requests, search, trace, batch_size, checkpoint_path, null_text, dedup_calls,
+        max_delay, rate_limit_delay, track_tokens, model_kwargs or {}, parallel_requests, search, trace, batch_size, checkpoint_path, null_text, dedup_calls, keep_status,
     )
 
 
@@ -257,7 +262,7 @@ def search_rate_columns(fields: Column, parallel: Column, per_field: Column, del
 
 def warn_search_rate(rows: int, fields: int, options: Options) -> None:
     s = options.search
-    if s is None or s.provider == "corpus" or not (options.parallel_requests > 1 or (s.per_field and fields * rows > 100)):
+    if s is None or not getattr(s.source, "package_name", s.provider) or not (options.parallel_requests > 1 or (s.per_field and fields * rows > 100)):
         return
     r = search_rate(rows, fields, options.parallel_requests, s.per_field, options.rate_limit_delay, s.provider)
     if r.risky:

@@ -42,11 +42,9 @@ class _LangChainClient(Client):
     def search(self, prompt, model, search: Search, text, known) -> Answer:
         from langchain.agents import create_agent
 
-        from ..search import get_provider
-
         key = (model, search.provider, search.depth, search.max_results)
         if key not in self.agents:
-            tool = get_provider(search.provider).create_tool(search.max_results, search_depth=search.depth)
+            tool = search.source.create_tool(search.max_results, search_depth=search.depth)
             self.agents[key] = create_agent(self.llm, [tool], response_format=model)
         result = self.agents[key].invoke({"messages": [{"role": "user", "content": prompt}]})
         if result.get("structured_response") is None:

@@ -5,9 +5,11 @@ Answers come from rules (:class:`rowforge.providers.RuleProvider`), so each resu
 
 from __future__ import annotations
 
+import json
 import re
 import threading
 import uuid
+import warnings
 from typing import Literal
 
 from pydantic import BaseModel, Field
@@ -22,10 +24,12 @@ from .functions.usage import exa_credits, tavily_credits
 from .operators.enrich import enrich, enrich_with_stats
 from .operators.executor import execute
 from .operators.state import Checkpoint, set_up_columns, shared_dir
-from .options import checked, resolve_text_column, search_rate_columns
+from .options import checked, resolve_text_column, search_rate, search_rate_columns
 from .plans.planner import compile_plan
-from .providers import RuleProvider
-from .search.corpus import find_terms
+from .providers import ReplyProvider, RuleProvider
+from .search.corpus import CorpusSearch, find_terms
+from .search.web import ExaProvider, TavilyProvider
+from .sources.readers import read_table
 from .streaming.enrich_stream import enrich_stream
 
 PROMPT = "Classifique o texto.\n\n{texto}\n\nFim."
@@ -71,6 +75,64 @@ class Items(BaseModel):
     items: list[Item]
 
 
+class Info(BaseModel):
+    length: int | None = Field(None, json_schema_extra={"search_depth": "basic"})
+
+
+class DeepItem(BaseModel):
+    word: str
+    info: Info
+
+
+class DeepItems(BaseModel):
+    items: list[DeepItem]
+
+
+class Two(BaseModel):
+    a: str
+    b: str
+
+
+class Props(BaseModel):
+    k: int
+
+
+def _if(op: str, value, field: str = "kind"):
+    return Field(None, json_schema_extra={"condition": {"field": field, op: value}})
+
+
+class Conditions(BaseModel):
+    kind: str | None
+    props: Props
+    eq: bool | None = _if("equals", "click")
+    ne: bool | None = _if("not_equals", "click")
+    among: bool | None = _if("in", ["click", "view"])
+    outside: bool | None = _if("not_in", ["click", None])
+    there: bool | None = _if("exists", True)
+    deep: bool | None = _if("in", [1, 42, 69], "props.k")
+
+
+class OfflineTavily(TavilyProvider):
+    """The vendor's prices without its package."""
+
+    name, env_var, package_name = "offline_a", None, None
+
+    def create_tool(self, max_results, **options):
+        return lambda query: []
+
+
+class OfflineExa(ExaProvider):
+    """The vendor's prices without its package, for more results than are asked for."""
+
+    name, env_var, package_name = "offline_b", None, None
+
+    def create_tool(self, max_results, **options):
+        return lambda query: []
+
+    def calculate_credits(self, search_count, max_results=5, **options):
+        return super().calculate_credits(search_count, max_results=2 * max_results)
+
+
 class Inner(BaseModel):
     size: str | None = Field(None, json_schema_extra={"search_depth": "advanced"})
 
@@ -192,9 +254,7 @@ def q_reprocess(spark, d):
 
 
 def q_error_isolation(spark, d):
-    out = enrich(_docs(spark, d), Label, PROMPT, provider=RuleProvider({"label": label_of}, fail_short), max_retries=1, **CALLS)
-    if "_status" not in out.columns:  # no short text in the table
-        out = out.withColumns({"_status": F.lit("processed"), "_error_details": F.lit(None).cast("string")})
+    out = enrich(_docs(spark, d), Label, PROMPT, provider=RuleProvider({"label": label_of}, fail_short), max_retries=1, keep_status=True, **CALLS)
     return out.select("doc_id", "label", F.col("_status").alias("status"), F.col("_error_details").alias("details"))
 
 
@@ -268,10 +328,91 @@ def q_nested_search(spark, d):
 
 
 def q_set_nested(spark, d):
-    orders = _read(spark, d, "orders")
-    whole = F.struct(F.struct(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s")).alias("a"))
-    held = orders.select("o_orderkey", whole.withField("a.s", F.upper("o_orderpriority")).alias("x"))
-    return held.select("o_orderkey", F.col("x.a.k").alias("k"), F.col("x.a.s").alias("s"))
+    """Searches whose answers are written into a nested field of each list item."""
+    rules = RuleProvider({"items": lambda text: [{"word": w, "info": {}} for w in _WORD.findall(text)[:3]], "length": length_of})
+    out = enrich(_docs(spark, d), DeepItems, PROMPT, provider=rules, **SEARCH, **CALLS)
+    return out.select("doc_id", F.posexplode("items").alias("place", "item")).select("doc_id", F.col("place").cast("long").alias("place"), F.col("item.word").alias("word"), F.col("item.info.length").alias("length"))
+
+
+def q_engine_prompt(spark, d):
+    """The length of the prompt that a call gets."""
+    return enrich(_docs(spark, d), Words, PROMPT, provider=RuleProvider({"words": lambda text, known, prompt: len(prompt)}), **CALLS).select("doc_id", F.col("words").alias("prompt_len"))
+
+
+def q_engine_conditions(spark, d):
+    """Every operator of a condition, on a field and in a nested one, as the run of a row decides it."""
+    events = _read(spark, d, "events").select("event_id", F.concat_ws("|", F.when(F.col("event_id") % 7 != 0, F.col("event_type")).otherwise(""), F.col("props")).alias("text"))
+    rules = {"kind": lambda text: text.split("|")[0] or None, "props": lambda text: json.loads(text.split("|", 1)[1])} | dict.fromkeys(("eq", "ne", "among", "outside", "there", "deep"), True)
+    out = enrich(events, Conditions, "x {texto}", provider=RuleProvider(rules), **SEARCH, **CALLS)
+    return out.select("event_id", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("eq", "ne", "among", "outside", "there", "deep")])
+
+
+def _reply(prompt: str):
+    """A reply that holds a count in a fence, in braces among words, in blocks of text, or alone."""
+    n = len(prompt)
+    held = json.dumps({"words": n})
+    blocks = [{"type": "text", "text": held[:5]}, held[5:]]
+    return (f"Aqui:\n```json\n{held}\n```\nFim.", f"O resultado: {held} (fim)", blocks, held)[n % 4]
+
+
+def q_engine_parse_json(spark, d):
+    """Replies as text, read as a model's replies are."""
+    return enrich(_docs(spark, d), Words, "{texto}", provider=ReplyProvider(_reply), **CALLS).select("doc_id", "words")
+
+
+def q_engine_credits(spark, d):
+    """Credits of two searches a row by the prices of two vendors, of another depth and number of results."""
+    docs, rules = _docs(spark, d), RuleProvider(dict.fromkeys("ab", size_of))
+    how = {"use_search": True, "search_per_field": True, "provider": rules, **CALLS}
+    advanced = enrich(docs, Two, PROMPT, search_provider=OfflineTavily(), search_depth="advanced", **how).select("doc_id", F.col("_search_credits").alias("tavily"))
+    many = enrich(docs, Two, PROMPT, search_provider=OfflineExa(), max_results=20, **how).select(F.col("doc_id").alias("d2"), F.col("_search_credits").alias("exa"))
+    return advanced.join(many, F.col("doc_id") == F.col("d2")).drop("d2")
+
+
+def fail_by_length(text: str) -> None:
+    raise RuntimeError(MESSAGES[len(text) % len(MESSAGES)])
+
+
+def q_engine_errors(spark, d):
+    """Which errors are tried again, and how they read."""
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        out = enrich(_docs(spark, d), Label, PROMPT, provider=RuleProvider({"label": label_of}, fail_by_length), max_retries=2, base_delay=0.0, **CALLS)
+    return out.select("doc_id", F.col("_status").alias("status"), F.col("_error_details").alias("details"))
+
+
+def q_engine_rate_warning(spark, d):
+    rows = []
+    for i in range(600):
+        r = search_rate(100, 1 + i % 5, 1 + i // 5 % 20, i // 100 % 2 == 0, (0.0, 0.5, 2.0)[i // 200 % 3], "tavily" if i % 2 == 0 else "exa")
+        rows.append((i, r.concurrent, round(float(r.per_minute), 6), r.risky))
+    return spark.createDataFrame(rows, "id long, concurrent long, per_minute double, risky boolean")
+
+
+LIBRARY = ("The first river", "a worthless THE", "nicht", "the mill and the river", "über den Fluss")
+
+
+def q_search_found(spark, d):
+    """Each document's first word is searched for in a small library; the answer is what was found."""
+    first = lambda text, names: (_WORD.findall(text) or [""])[0]
+    rules = RuleProvider({"words": lambda text, known, prompt, found: len(found)}, query=first)
+    out = enrich(_docs(spark, d), Words, PROMPT, provider=rules, use_search=True, search_provider=CorpusSearch(LIBRARY, "library"), save_trace=True, **CALLS)
+    trace = F.from_json("_trace", "messages array<struct<type:string,content:string>>, search_queries array<string>")
+    said = F.filter(trace["messages"], lambda m: m["type"] == "tool")[0]["content"]
+    return out.select("doc_id", "words", F.get(trace["search_queries"], F.lit(0)).alias("query"), said.alias("found"))
+
+
+def q_read_json_columns(spark, d):
+    """A file whose columns hold JSON, some of it odd, read without a model: nothing is lost."""
+    events = _read(spark, d, "events").select("event_id", "props")
+    odd = (
+        F.when(F.col("event_id") % 11 == 3, F.lit('{"other": [1, "x"]}')).when(F.col("event_id") % 11 == 5, "[bad").when(F.col("event_id") % 11 == 7, "plain words").otherwise(F.col("props"))
+    )
+    path = f"{shared_dir(spark)}/rowforge/json-{uuid.uuid4().hex}.parquet"
+    events.select("event_id", "props", odd.alias("odd")).write.parquet(path)
+    t = read_table(path, spark=spark)
+    get = lambda what, kind: F.try_variant_get("odd", what, kind)
+    return t.select("event_id", F.col("props.k").alias("k"), get("$.k", "bigint").alias("odd_k"), get("$.other[1]", "string").alias("other"), F.when(F.schema_of_variant("odd") == "STRING", get("$", "string")).alias("words"))
 
 
 def q_parse_json(spark, d):
@@ -453,7 +594,41 @@ ORACLE = {
         FROM (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+')[1:3] AS w FROM documents) x, unnest(range(1, len(w) + 1)) u(place)
     """,
     "q_nested_search": f"SELECT doc_id, {_SIZE} AS size, CAST(2 AS BIGINT) AS credits, 'size' AS query FROM documents",
-    "q_set_nested": "SELECT o_orderkey, o_orderkey AS k, upper(o_orderpriority) AS s FROM orders",
+    "q_set_nested": r"""
+        SELECT doc_id, CAST(place - 1 AS BIGINT) AS place, w[place] AS word, length(w[place]) AS length
+        FROM (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+')[1:3] AS w FROM documents) x, unnest(range(1, len(w) + 1)) u(place)
+    """,
+    "q_engine_prompt": "SELECT doc_id, length('Classifique o texto.' || chr(10) || chr(10) || text || chr(10) || chr(10) || 'Fim.') AS prompt_len FROM documents",
+    "q_engine_conditions": f"""
+        SELECT event_id, kind IS NOT DISTINCT FROM 'click' AS eq, kind IS DISTINCT FROM 'click' AS ne, coalesce(kind IN ('click', 'view'), false) AS among,
+               kind IS NOT NULL AND kind <> 'click' AS outside, kind IS NOT NULL AS there, coalesce(CAST(props->>'$.k' AS BIGINT) IN (1, 42, 69), false) AS deep
+        FROM (SELECT event_id, {_KIND} AS kind, props FROM events)
+    """,
+    "q_engine_parse_json": "SELECT doc_id, length(text) AS words FROM documents",
+    "q_engine_credits": "SELECT doc_id, CAST(4 AS BIGINT) AS tavily, CAST(10 AS BIGINT) AS exa FROM documents",
+    "q_engine_errors": f"""
+        WITH t AS (SELECT doc_id, [{", ".join("'" + m.replace("'", "''") + "'" for m in MESSAGES)}][1 + length(text) % {len(MESSAGES)}] AS message FROM documents)
+        SELECT doc_id, 'error' AS status,
+               CASE WHEN regexp_matches(lower(message), 'authenticationerror|invalidapikey|permissiondenied|invalidargument|notfound|401|403|404|missingapikeyerror|badrequesterror')
+                    THEN '[Erro não-recuperável] ' ELSE '[Falhou após 2 tentativa(s)] ' END || 'RuntimeError: ' || message AS details FROM t
+    """,
+    "q_engine_rate_warning": """
+        SELECT id, CAST(parallel * each AS BIGINT) AS concurrent, round(rate, 6) AS per_minute,
+               parallel * each > 10 OR rate > 0.8 * CASE WHEN id % 2 = 0 THEN 100 ELSE 300 END AS risky
+        FROM (SELECT *, CASE WHEN delay > 0 THEN 60 / delay ELSE 60 END * parallel * each AS rate
+              FROM (SELECT range AS id, CASE WHEN (range // 100) % 2 = 0 THEN 1 + range % 5 ELSE 1 END AS each, 1 + (range // 5) % 20 AS parallel,
+                           [0.0, 0.5, 2.0][1 + (range // 200) % 3]::DOUBLE AS delay FROM range(600)))
+    """,
+    "q_search_found": rf"""
+        WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+')[1], '') AS query FROM documents)
+        SELECT doc_id, len(hits) AS words, query, array_to_string(hits, chr(10)) AS found
+        FROM (SELECT doc_id, query, list_filter([{", ".join("'" + x + "'" for x in LIBRARY)}], lambda x: contains(lower(x), lower(query))) AS hits FROM w)
+    """,
+    "q_read_json_columns": """
+        SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k, CASE WHEN event_id % 11 NOT IN (3, 5, 7) THEN CAST(props->>'$.k' AS BIGINT) END AS odd_k,
+               CASE WHEN event_id % 11 = 3 THEN 'x' END AS other, CASE event_id % 11 WHEN 5 THEN '[bad' WHEN 7 THEN 'plain words' END AS words
+        FROM events
+    """,
     "q_parse_json": "SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events",
     "q_normalize": "SELECT event_id, CASE WHEN event_id % 4 > 1 THEN CAST(props->>'$.k' AS BIGINT) END AS k, CASE WHEN event_id % 4 = 0 THEN '[bad' END AS raw FROM events",
     "q_trace_queries": "SELECT doc_id, CAST(1 AS BIGINT) AS n_queries, CAST(1 AS BIGINT) AS n_calls, CAST(1 AS BIGINT) AS n_omitted FROM documents",

@@ -33,7 +33,10 @@ def register_provider(provider: SearchProvider) -> None:
     _known[provider.name] = provider
 
 
-def get_provider(name: str) -> SearchProvider:
+def get_provider(name: str | SearchProvider) -> SearchProvider:
+    """A provider by its name, or a provider as it is. On the driver alone: tasks get the object that was found here."""
+    if isinstance(name, SearchProvider):
+        return name
     if name not in _known:
         raise ValueError(f"search_provider is one of {get_available_providers()}, not '{name}'")
     return _known[name]

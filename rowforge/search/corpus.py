@@ -11,10 +11,8 @@ from .base import SearchProvider
 class CorpusSearch(SearchProvider):
     """Finds texts that contain a term, without regard to case. ``texts`` is a small list that goes to the executors."""
 
-    name = "corpus"
-
-    def __init__(self, texts: list[str] | tuple[str, ...] = ()):
-        self.texts = tuple(texts)
+    def __init__(self, texts: list[str] | tuple[str, ...] = (), name: str = "corpus"):
+        self.texts, self.name = tuple(texts), name
 
     def create_tool(self, max_results: int, **options):
         return lambda query: [t for t in self.texts if query.lower() in t.lower()][:max_results]

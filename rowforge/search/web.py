@@ -6,6 +6,9 @@ from ..errors import check_dependency
 from .base import SearchProvider
 
 
+# Names, packages, variables, arguments and prices of the two vendors.
+
+
 class TavilyProvider(SearchProvider):
     """One credit a search, two if it is advanced."""
 

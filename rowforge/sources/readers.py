@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..errors import check_dependency
 from ..functions.schema import complex_fields, struct_of
-from ..functions.text import normalize_all, normalize_columns
+from ..functions.text import keep_unparsed, normalize_all
 
 
 def read_table(path: str, model: type[BaseModel] | None = None, normalize: bool = True, spark: SparkSession | None = None, **options) -> DataFrame:
     """Read .csv, .parquet, .json, .xlsx or .xls; ``options`` go to the reader.
 
-    With ``normalize``, JSON strings become typed columns: those of the model's complex fields, or without a model
-    those that read like JSON. ``FileNotFoundError`` for a missing file, ``ValueError`` for another ending.
+    With ``normalize``, JSON strings become typed columns: those of the model's complex fields (what does not parse is
+    kept in ``<name>_raw``), or without a model those that read like JSON (typed where all cells agree, else VARIANT). ``FileNotFoundError`` for a missing file, ``ValueError`` for another ending.
     A .json file holds an array of records; with ``orient="columns"`` a dict of columns, as pandas writes it.
     """
     spark = spark or SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
@@ -39,7 +39,7 @@ def read_table(path: str, model: type[BaseModel] | None = None, normalize: bool
     if model is None:
         return normalize_all(df)
     kinds = struct_of(model)
-    return normalize_columns(df, {n: kinds[n].dataType for n in complex_fields(model)})
+    return keep_unparsed(df, {n: kinds[n].dataType for n in complex_fields(model)})
 
 
 def _json(spark: SparkSession, path: str, orient: str = "records", **options) -> DataFrame:
@@ -54,5 +54,6 @@ def _excel(spark: SparkSession, path: str, **options) -> DataFrame:
     """A sheet is read by the driver; it is small by its format's limits."""
     import pandas as pd
 
-    check_dependency("openpyxl", "openpyxl")
+    old = path.lower().endswith(".xls")
+    check_dependency(*(("xlrd", "xlrd") if old else ("openpyxl", "openpyxl")))
     return spark.createDataFrame(pd.read_excel(path, **options))

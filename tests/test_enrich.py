@@ -189,6 +189,196 @@ def test_single_search_and_custom_provider(spark):
     assert r["_reasoning_tokens"] == 2 and json.loads(r["_trace"])["search_queries"] == ["a"]
 
 
+def test_a_provider_of_ones_own_reaches_the_workers(spark):
+    """A name that the package does not know, registered or given as an object; its tool is called with the query."""
+    mine = CorpusSearch(["alpha beta", "gamma", "beta"], "mine")
+    register_provider(mine)
+    rules = RuleProvider({"a": lambda text, known, prompt, found: ";".join(found)}, query=lambda text, names: text)
+    rows = table(spark, [(1, "beta"), (2, "gamma"), (3, "delta")])
+    for given in ("mine", CorpusSearch(["alpha beta", "gamma", "beta"], "other")):
+        out = enrich(rows, One, "p", provider=rules, use_search=True, search_provider=given, save_trace=True, parallel_requests=3)
+        assert {r["id"]: r["a"] for r in out.collect()} == {1: "alpha beta;beta", 2: "gamma", 3: ""}
+        assert {json.loads(r["_trace"])["search_queries"][0] for r in out.collect()} == {"beta", "gamma", "delta"}
+        assert "_error_details" not in out.columns and {r["_search_credits"] for r in out.collect()} == {1}
+
+
+def stand_in(monkeypatch, name, **members):
+    """A module of this name, and its parents, for as long as a test runs."""
+    import importlib.machinery
+    import sys
+    import types
+
+    parts = name.split(".")
+    for i in range(1, len(parts) + 1):
+        at = ".".join(parts[:i])
+        if at not in sys.modules:
+            module = types.ModuleType(at)
+            module.__spec__ = importlib.machinery.ModuleSpec(at, None)
+            module.__path__ = []
+            monkeypatch.setitem(sys.modules, at, module)
+    for k, v in members.items():
+        setattr(sys.modules[name], k, v)
+
+
+def test_langchain_client(monkeypatch):
+    """Structured answers, their usage, model arguments, and an agent that gets the search provider's tool."""
+    from rowforge.options import checked
+    from rowforge.providers import find_provider
+
+    made, agents = {}, []
+
+    class Llm:
+        def with_structured_output(self, model, include_raw):
+            assert include_raw
+            raw = type("Raw", (), {"usage_metadata": {"input_tokens": 3, "output_tokens": 2, "total_tokens": 5, "output_token_details": {"reasoning": 1}}})()
+            return type("S", (), {"invoke": lambda self, prompt: {"raw": raw, "parsed": None if "none" in prompt else model(a=prompt.upper()), "parsing_error": "odd" if "bad" in prompt else None}})()
+
+    class Agent:
+        def __init__(self, tools, response_format):
+            self.tools, self.model = tools, response_format
+
+        def invoke(self, given):
+            found = self.tools[0]("beta")
+            return {"structured_response": self.model(a=found[0]), "messages": [{"type": "ai", "tool_calls": [{"name": "mine_search", "args": {"query": "beta"}}]}]}
+
+    def create_agent(llm, tools, response_format):
+        agents.append(1)
+        return Agent(tools, response_format)
+
+    stand_in(monkeypatch, "langchain.chat_models", init_chat_model=lambda model, model_provider, **settings: made.update(settings, model=model, provider=model_provider) or Llm())
+    stand_in(monkeypatch, "langchain.agents", create_agent=create_agent)
+    stand_in(monkeypatch, "langchain_core")
+    stand_in(monkeypatch, "langchain_openai")
+    _, o = checked(One, "p {texto}", provider="openai", model="m", api_key="k", model_kwargs={"temperature": 1, "seed": 4}, use_search=True, search_provider=CorpusSearch(["alpha beta"], "mine"))
+    provider = find_provider("openai")
+    provider.check(o)
+    client = provider.open(o)
+    assert made == {"temperature": 1, "api_key": "k", "seed": 4, "model": "m", "provider": "openai"}
+    answer = client.ask("p x", One, "x", {})
+    assert answer.data.a == "P X" and answer.usage["total_tokens"] == 5 and answer.usage["reasoning_tokens"] == 1
+    for prompt in ("bad", "none"):
+        with pytest.raises(ValueError):
+            client.ask(prompt, One, "x", {})
+    for _ in range(2):
+        answer = client.search("p x", One, o.search, "x", {})
+    assert answer.data.a == "alpha beta" and len(agents) == 1 and answer.messages[0]["tool_calls"]
+
+
+def test_agent_sdk_client(monkeypatch, spark):
+    """JSON by instruction in text blocks; the cost reaches the run's totals."""
+    from rowforge.operators.executor import Run
+    from rowforge.options import checked
+    from rowforge.plans.planner import compile_plan
+    from rowforge.providers import find_provider
+
+    class Text:
+        def __init__(self, text):
+            self.text = text
+
+    class Said:
+        def __init__(self, content):
+            self.content = content
+
+    class Done:
+        total_cost_usd = 0.25
+
+    class Settings:
+        def __init__(self, **given):
+            self.given = given
+
+    asked = []
+
+    async def query(prompt, options):
+        asked.append((prompt, options.given))
+        yield Said([Text('Here: {"a": '), object(), Text('"v"}')])
+        yield Done()
+
+    stand_in(monkeypatch, "claude_agent_sdk", query=query, AssistantMessage=Said, ResultMessage=Done, TextBlock=Text, ClaudeAgentOptions=Settings)
+    model, o = checked(One, "p {texto}", provider="agent_sdk", model="m", model_kwargs={"max_turns": 2})
+    provider = find_provider("agent_sdk")
+    provider.check(o)
+    run = Run(compile_plan(model, o), o, provider.open(o), {})
+    run("x")
+    assert run.data == {"a": "v"} and run.usage["cost_usd"] == 0.25 and asked[0][0] == "p x"
+    assert asked[0][1]["max_turns"] == 2 and asked[0][1]["model"] == "m" and '"a"' in asked[0][1]["system_prompt"]
+    with pytest.raises(ValueError):
+        checked(One, "p", provider="agent_sdk", use_search=True)
+
+
+def test_polars_and_excel_by_stand_ins(spark, monkeypatch, tmp_path):
+    class Frame:
+        def __init__(self, data):
+            self.data = data
+
+        def to_pandas(self):
+            return pd.DataFrame(self.data)
+
+    class Series:
+        name = "s"
+
+        def __init__(self, data, name="s"):
+            self.data, self.name = list(data), name
+
+        def to_list(self):
+            return self.data
+
+    for kind, name in ((Frame, "DataFrame"), (Series, "Series")):
+        kind.__name__, kind.__module__ = name, "polars.frame"
+    stand_in(monkeypatch, "polars", DataFrame=Frame, Series=Series, from_pandas=lambda x: x)
+    p = RuleProvider({"a": lambda t: t.upper()})
+    f = enrich(Frame({"texto": ["b", "a"], "k": [1, 2]}), One, "p", provider=p, spark=spark, track_tokens=False)
+    assert list((f.to_pandas() if isinstance(f, Frame) else f)["a"]) == ["B", "A"]
+    s = enrich(Series(["x", "y"]), One, "p", provider=p, spark=spark, track_tokens=False)
+    assert list((s.to_pandas() if isinstance(s, Frame) else s)["a"]) == ["X", "Y"]
+    for ending, package in (("xls", "xlrd"), ("xlsx", "openpyxl")):
+        open(f"{tmp_path}/t.{ending}", "wb").close()
+        stand_in(monkeypatch, package)
+        monkeypatch.setattr(pd, "read_excel", lambda path, **k: pd.DataFrame({"texto": ["x"], "n": [1]}))
+        assert read_table(f"{tmp_path}/t.{ending}", spark=spark).first()["texto"] == "x"
+
+
+def test_users_see_what_went_wrong(spark):
+    def fail(text):
+        if text == "b":
+            raise RuntimeError("429 too many requests")
+
+    with pytest.warns(UserWarning, match="1 of 2 rows are in error") as seen:
+        out, stats = enrich_with_stats(table(spark, [(1, "a"), (2, "b")]), One, "p", provider=RuleProvider({"a": "v"}, fail), max_retries=1, base_delay=0.0, parallel_requests=2)
+    assert any("too many requests" in str(w.message) and "parallel_requests" in str(w.message) for w in seen)
+    assert stats.errors == 1 and "429" in stats.error and out.where("_status = 'error'").count() == 1
+    kept = enrich(table(spark, [(1, "a")]), One, "p", provider=RuleProvider({"a": "v"}), keep_status=True)
+    assert "_status" in kept.columns and "_error_details" in kept.columns
+
+
+class Listed(BaseModel):
+    tags: list[str]
+
+
+def test_files_and_resumed_tables_keep_cells_that_do_not_parse(spark, tmp_path):
+    spark.createDataFrame([("t", '["a"]', "processed"), ("u", "not json", "processed")], "texto string, tags string, _status string").write.parquet(f"{tmp_path}/t.parquet")
+    rows = read_table(f"{tmp_path}/t.parquet", Listed, spark=spark)
+    assert {(tuple(r["tags"] or ()), r["tags_raw"]) for r in rows.collect()} == {(("a",), None), ((), "not json")}
+    out = enrich(spark.read.parquet(f"{tmp_path}/t.parquet"), Listed, "p", provider=RuleProvider({"tags": ["z"]}), keep_status=True)
+    assert {(tuple(r["tags"] or ()), r["tags_raw"]) for r in out.collect()} == {(("a",), None), ((), "not json")}
+    # a variant passes through the calls
+    mixed = spark.createDataFrame([("t", "[1]"), ("u", "words")], "texto string, extra string").write.parquet(f"{tmp_path}/m.parquet")
+    assert mixed is None
+    out = enrich(read_table(f"{tmp_path}/m.parquet", spark=spark), One, "p", provider=RuleProvider({"a": "v"}), track_tokens=False)
+    assert dict(out.dtypes)["extra"] == "variant" and out.count() == 2
+
+
+def test_many_tasks_where_all_cores_are_used(spark, monkeypatch):
+    from rowforge.operators import executor
+    from rowforge.options import checked
+    from rowforge.plans.planner import compile_plan
+
+    monkeypatch.setattr(executor, "TASK_ROWS", 10)
+    rows, cores = spark.range(400).selectExpr("id", "cast(id as string) AS texto"), spark.sparkContext.defaultParallelism
+    for parallel, tasks in ((1, 1), (cores, -(-400 // (cores * 10)) * cores), (2 * cores, -(-400 // (cores * 10)) * cores)):
+        model, o = checked(One, "p", provider=RuleProvider({"a": "v"}), parallel_requests=parallel)
+        assert executor.execute(rows, "texto", compile_plan(model, o), o).rdd.getNumPartitions() == tasks
+
+
 def test_containers(spark):
     p = RuleProvider({"a": lambda t: t.upper()})
     s = enrich(pd.Series(["x", "y"], index=["i", "j"], name="n"), One, "p", provider=p, spark=spark)

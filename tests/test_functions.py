@@ -241,8 +241,26 @@ def test_normalize(spark):
     assert [tuple(r["p"]) if r["p"] else None for r in out] == [("sim", 50000.0), ("nao", 0.0), (None, None), None]
     assert [r["l"] for r in out] == [["a"], [], None, None] and out[3]["p_raw"] == "{bad" and out[3]["l_raw"] == "x"
     every = X.normalize_all(rows.select("l", "t").where("l is null or l <> 'x'"))
-    assert dict(every.dtypes) == {"l": "array<string>", "t": "string"}
-    assert dict(X.json_columns(every).dtypes) == {"l": "string", "t": "string"}
+    # a column in which some cells are JSON and some are not: each cell by itself
+    assert dict(every.dtypes) == {"l": "array<string>", "t": "variant"}
+    assert [r["t"] for r in X.json_columns(every).collect()] == ['"t"', "[1]", None]
+
+
+def test_normalize_all_loses_nothing(spark):
+    cells = ['{"a": 1}'] * 10 + ['{"b": 2}', "plain words", '{"a": "x"}', "[bad", None, " [1, {}] "]
+    rows = spark.createDataFrame([(i, c, '{"a": %d}' % i if i else '{"b": "y"}', "word") for i, c in enumerate(cells)], "i long, mixed string, same string, plain string")
+    out = X.normalize_all(rows)
+    assert dict(out.dtypes) == {"i": "bigint", "mixed": "variant", "same": "struct<a:bigint,b:string>", "plain": "string"}
+    got = [r["m"] for r in out.select(F.to_json("mixed").alias("m")).collect()]
+    assert got == ['{"a":1}'] * 10 + ['{"b":2}', '"plain words"', '{"a":"x"}', '"[bad"', None, "[1,{}]"]
+    assert [(r["a"], r["b"]) for r in out.select("same.*").collect()] == [(None, "y"), *[(i, None) for i in range(1, len(cells))]]
+    assert X.normalize_all(rows.limit(0)).dtypes == rows.dtypes and X.normalize_all(rows.select("i")).columns == ["i"]
+
+
+def test_keep_unparsed(spark):
+    rows = spark.createDataFrame([('["a"]', "[1]"), ("not json", "[2]")], "l string, m string")
+    out = X.keep_unparsed(rows, {"l": S.spark_type(list[str]), "m": S.spark_type(list[int])})
+    assert out.columns == ["l", "m", "l_raw"] and [(r["l"], r["l_raw"]) for r in out.collect()] == [(["a"], None), (None, "not json")]
 
 
 def test_error_classes(spark):
