@@ -82,8 +82,15 @@ def quantise(value: Column, low, high, bits: int) -> Column:
 
 
 def quantise_name(value: Column, bits: int) -> Column:
-    """Cell of a category: any hash will do, as a file's few names are still near together."""
-    return F.pmod(F.xxhash64(value), F.lit(1 << bits))
+    """Cell of a category, by its md5: any hash will do, as a file's few names are still near together; null is in the first."""
+    number = F.conv(F.substring(F.md5(value.cast("string")), 1, 8), 16, 10).cast("long")
+    return F.coalesce(F.pmod(number, F.lit(1 << bits)), F.lit(0).cast("long"))
+
+
+def quantise_size(value: Column, bits: int) -> Column:
+    """Cell of a positive whole number: two for each power of two, counted from 1; the last has all that is greater."""
+    binary = F.bin(value)
+    return F.least(2 * (F.length(binary) - 1) + (F.substring(binary, 2, 1) == "1").cast("int"), F.lit((1 << bits) - 1)).cast("long")
 
 
 def curve_shards(docs: DataFrame, cells: list[Column], bits: int, ties: list[Column], shards: int, names=("curve", "shard", "slot")) -> DataFrame:
@@ -100,7 +107,7 @@ def curve_shards(docs: DataFrame, cells: list[Column], bits: int, ties: list[Col
     order = [curve, *tie]
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    ranged = materialise(ranged.withColumn(at, F.monotonically_increasing_id()), "curve")
+    ranged = materialise(ranged.withColumn(at, F.monotonically_increasing_id()), "curve", lasting=True)
     # the identifier holds the partition above bit 33 and the position in it below
     counts = ranged.groupBy(F.shiftright(at, 33).alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()  # one row for each partition
     total, starts = 0, []

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import word_count
+from .common import materialise, scratch, word_count
 from .exact_dedup import exact_groups
-from .hilbert_shards import curve_shards, quantise, quantise_name
+from .hilbert_shards import curve_shards, quantise, quantise_name, quantise_size
 from .katz import katz_scores
 from .mixing import plan_mix
 from .near_dedup import near_classes
@@ -60,17 +60,14 @@ def op4_url_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight shards along a Hilbert curve over identifier, size, source and language."""
     docs = _read(spark, sf_dir, "documents")
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", "source", "lang", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"))
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    bits = 6
-    cells = [
-        quantise(F.col("doc_id"), low, high, bits),
-        quantise(F.log2("size"), 0, 32, bits),
-        quantise_name(F.col("source"), bits),
-        quantise_name(F.col("lang"), bits),
-    ]
-    out = curve_shards(rows, cells, bits, [F.col("text_crc32"), F.col("doc_id")], 8)
+    text, bits = F.coalesce("text", F.lit("")), 6
+    with scratch():
+        # the texts are read once; the range exchange looks twice at what is written here
+        rows = docs.select("doc_id", "source", "lang", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"))
+        rows = materialise(rows, "curve-rows")
+        low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
+        cells = [quantise(F.col("doc_id"), low, high, bits), quantise_size(F.col("size"), bits), quantise_name(F.col("source"), bits), quantise_name(F.col("lang"), bits)]
+        out = curve_shards(rows, cells, bits, [F.col("text_crc32"), F.col("doc_id")], 8)
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve"
     )
@@ -189,7 +186,42 @@ def _url_sql() -> str:
     """
 
 
+def _shards_sql(bits: int = 6) -> str:
+    """Checksums, cells, the curve's index step by step, and runs of its order, in SQL."""
+    axes = [f"x{i}" for i in range(4)]
+    table = "doc_id, size, text_crc32"
+    name = "coalesce(('0x' || substr(md5({0}), 1, 8))::BIGINT % 64, 0)"
+    size = "least(2 * (length(bin(size)) - 1) + (substr(bin(size), 2, 1) = '1')::INT, 63)"
+    cell = "coalesce(CASE WHEN high > low THEN least(greatest(floor((doc_id::DOUBLE - low) / (high - low)::DOUBLE * 64), 0), 63)::BIGINT END, 0)"
+    now = f"(SELECT {table}, {cell} AS x0, {size} AS x1, {name.format('source')} AS x2, {name.format('lang')} AS x3 FROM sized, ends)"
+    for b in range(bits - 1, 0, -1):
+        for i in range(4):
+            q, low = 1 << b, (1 << b) - 1
+            turned = [f"CASE WHEN x{i} & {q} <> 0 THEN xor(x0, {low}) ELSE xor(x0, xor(x0, x{i}) & {low}) END AS x0"]
+            turned += [f"CASE WHEN x{i} & {q} <> 0 THEN x{i} ELSE xor(x{i}, xor(x0, x{i}) & {low}) END AS x{i}" if k == i else f"x{k}" for k in range(1, 4)]
+            now = f"(SELECT {table}, {', '.join(turned)} FROM {now})"
+    coded = f"(SELECT {table}, x0 AS g0, xor(x0, x1) AS g1, xor(xor(x0, x1), x2) AS g2, xor(xor(xor(x0, x1), x2), x3) AS g3 FROM {now})"
+    mask = "0"
+    for b in range(bits - 1, 0, -1):
+        mask = f"xor({mask}, CASE WHEN g3 & {1 << b} <> 0 THEN {(1 << b) - 1} ELSE 0 END)"
+    flipped = f"(SELECT {table}, {', '.join(f'xor(g{i}, mask) AS {a}' for i, a in enumerate(axes))} FROM (SELECT *, {mask} AS mask FROM {coded}))"
+    bit = [f"(({a} >> {b}) & 1) * {1 << (4 * b + 3 - i)}" for b in range(bits - 1, -1, -1) for i, a in enumerate(axes)]
+    return f"""
+        WITH byte AS (SELECT range AS n, range AS c FROM range(256)),
+        turn AS (SELECT list(c ORDER BY n) AS t FROM (SELECT n, list_reduce([n] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM byte)),
+        text AS (SELECT doc_id, source, lang, strlen(coalesce(text, '')) + 1 AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS b FROM documents),
+        sized AS (SELECT doc_id, source, lang, size, xor(list_reduce([4294967295] || b, lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)])), 4294967295) AS text_crc32 FROM text, turn),
+        ends AS (SELECT min(doc_id) AS low, max(doc_id) AS high FROM documents),
+        placed AS (SELECT {table}, {' + '.join(bit)} AS curve FROM {flipped}),
+        ranked AS (SELECT *, row_number() OVER (ORDER BY curve, text_crc32, doc_id) - 1 AS r, count(*) OVER () // 8 AS small, count(*) OVER () % 8 AS extra FROM placed)
+        SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(CASE WHEN r < extra * (small + 1) THEN r // (small + 1) ELSE extra + (r - extra * (small + 1)) // greatest(small, 1) END AS INT) AS shard,
+               CASE WHEN r < extra * (small + 1) THEN r % (small + 1) ELSE (r - extra * (small + 1)) % greatest(small, 1) END AS slot, CAST(NULL AS INT) AS grown_shard, curve
+        FROM ranked
+    """
+
+
 ORACLE = {
+    "op5_hilbert_shards": _shards_sql(),
     "op4_url_ratio": _url_sql(),
     # brute force over all pairs that share a shingle; what the buckets miss (4 of 10,000 pairs) would show here
     "op2_weighted_minhash": r"""

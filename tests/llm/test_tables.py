@@ -107,6 +107,66 @@ def test_shards(spark, sf_dir, odd_docs, no_docs):
         assert len(out) == n and len({(r["shard"], r["slot"]) for r in out}) == n
 
 
+def test_shards_can_be_skipped(spark, sf_dir):
+    """By their minima and maxima, a filter on any one dimension reads fewer shards than in the order of any other one."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", (F.octet_length("text") + 1).alias("size"))
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    cells = [H.quantise(F.col("doc_id"), low, high, 6), H.quantise_size(F.col("size"), 6), H.quantise_name(F.col("lang"), 6)]
+    rows = H.curve_shards(docs, cells, 6, [F.col("doc_id")], 32).collect()
+    ends = lambda key, of: {s: (min(r[key] for r in v), max(r[key] for r in v)) for s, v in of.items()}
+    shards, by_id, by_size = defaultdict(list), defaultdict(list), defaultdict(list)
+    for r in rows:
+        shards[r["shard"]].append(r)
+    for order, out in (("doc_id", by_id), ("size", by_size)):
+        for i, r in enumerate(sorted(rows, key=lambda r: r[order])):
+            out[32 * i // len(rows)].append(r)
+
+    def read(key, of):
+        """Shards that the mean point filter on ``key`` has to read."""
+        return sum(a <= r[key] <= b for r in rows for a, b in ends(key, of).values()) / len(rows)
+
+    for key in ("doc_id", "size"):
+        other = by_size if key == "doc_id" else by_id
+        assert read(key, shards) < 0.8 * read(key, other), key
+
+
+def test_stages_on_odd_and_empty_tables(spark, odd_docs, no_docs):
+    """Nulls, empty and blank texts, repeated rows, clashing names, no rows: each stage ends, with the columns of documents."""
+    import corpus_pipeline as P
+
+    for docs in (odd_docs, no_docs, odd_docs.unionAll(odd_docs)):
+        n = docs.count()
+        for name, stage in P.STAGES:
+            out = stage(spark, docs, "")
+            want = [c for c in docs.columns if c != "text"] + ["ids", "n_ids", "round_trip"] if name == "piece_ids" else docs.columns
+            assert out.columns == want and out.count() <= 3 * n, name
+            if not n or name == "piece_ids":
+                assert out.count() == n, name
+    held = P.STAGES[1][1](spark, odd_docs.unionAll(odd_docs), "").select("text").collect()
+    assert len(held) == len({r["text"] or "" for r in odd_docs.collect()})
+
+
+def test_texts_of_several_megabytes(spark):
+    """One text beyond every chunk and batch size among short ones; copies and near copies of it are found."""
+    words = " ".join(f"w{i * 7919 % 200_003}" for i in range(600_000))  # 4 MB
+    near = words.replace("w77 ", "other ")
+    docs = spark.createDataFrame([(1, words, "a"), (2, words, "a"), (3, near, "b"), (4, "short text of a few words", "b"), (5, None, None)], "doc_id long, text string, source string")
+    from rowforge.llm.near_dedup import near_classes
+    from rowforge.llm.quality import quality
+    from rowforge.llm.secrets import scan_secrets
+    from rowforge.llm.sentencepiece_match import encode
+    from rowforge.llm.token_rollup import TOKENIZERS, count_tokens
+
+    assert {r["doc_id"]: r["class_id"] for r in near_classes(docs).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
+    assert {r["doc_id"]: r["n_words"] for r in quality(docs).collect()} == {1: 600_000, 2: 600_000, 3: 600_000, 4: 6, 5: 0}
+    assert {r["doc_id"]: r["n_tokens"] for r in K.katz_scores(docs, F.col("doc_id") == 2).collect()} == {1: 600_001, 2: 600_001, 3: 600_001, 4: 7, 5: 1}
+    assert scan_secrets(docs).where("size(spans) > 0").count() == 0
+    assert encode(docs).where("round_trip").count() == 5
+    want = len(TOKENIZERS[0].load().encode_ordinary(words))
+    assert {r["doc_id"]: r["tokens"][0] for r in count_tokens(docs, tokenizers=TOKENIZERS[:1]).collect()}[1] == want
+    assert {r["doc_id"]: r["keep_id"] for r in X.exact_groups(docs).collect()} == {1: 2, 2: 2, 3: 3, 4: 4, 5: 5}
+
+
 def test_targets():
     assert M.targets([("a", 10), ("b", 10)], [1, 1]) == [10, 10]
     assert M.targets([("a", 10), ("b", 90)], [9, 1]) == pytest.approx([30, 70])
