@@ -234,9 +234,11 @@ def _first_links(members: DataFrame, sets: DataFrame, similarity: float, rows: i
 
 
 def _unsettled(members: DataFrame) -> DataFrame:
-    """Members of buckets with several roots, with the bytes of all sets of the bucket."""
-    open_ = members.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.sum("size").alias("bytes")).where("r0 != r1")
-    return members.join(open_.select("bucket", "bytes"), "bucket")
+    """Members of buckets with several roots, with the bytes of all sets of the bucket; of buckets with the same members one."""
+    same = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y")]
+    open_ = members.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.sum("size").alias("bytes"), *same).where("r0 != r1")
+    one = open_.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket"), F.min("bytes").alias("bytes"))
+    return members.join(one.select("bucket", "bytes"), "bucket")
 
 
 def join_similar(keys: list[np.ndarray], weights: list[np.ndarray], roots: list, similarity: float) -> list[tuple[int, int]]:
@@ -304,17 +306,18 @@ def _links(members: DataFrame, sets: DataFrame, similarity: float, rows: int) ->
     first, open_ = _first_links(members, sets, similarity, rows)
     found = [first]
     open_ = materialise(_unsettled(open_), "members", rows)
-    wide = 1
+    turn, wide = 0, 1
     while True:
         found.append(materialise(_finish(open_.where(F.col("bytes") <= IN_A_TASK).drop("bytes", "size"), sets, similarity), "links", rows, 20_000))
         large = open_.where(F.col("bytes") > IN_A_TASK).drop("bytes")
         if large.isEmpty():
             break
-        # one pivot, then two, four, ...: so that buckets of many sets that are near but not similar take few rounds
+        # one pivot, after some rounds more: so that buckets of many sets that are near but not similar take few rounds
         slot = F.pmod(F.xxhash64("node", F.lit(wide)), F.lit(wide))
         least = F.min(F.struct((F.col("root") != F.col("node")).alias("old"), "node"))
         pivots = large.groupBy("bucket", slot.alias("slot")).agg(least.alias("p")).select("bucket", F.col("p.node").alias("pivot"))
-        wide = min(2 * wide, PIVOTS)
+        turn += 1
+        wide = min(1 + turn // 4, PIVOTS)
         held = materialise(large.join(pivots, "bucket"), "members", rows)
         compared = materialise(_compare(held.where("node != pivot").select("pivot", "node").distinct(), sets), "compared", rows, 20_000)
         found.append(compared.where(F.col("similarity") >= similarity).select(F.col("pivot").alias("a"), F.col("node").alias("b")))
