@@ -40,6 +40,8 @@ _TABLE_BITS = 16
 IN_A_TASK = 24 << 20
 #: Pivots of such a bucket in one round at most.
 PIVOTS = 32
+#: Identifiers to drop that are broadcast, 8 bytes each.
+FEW_GONE = 1_000_000
 #: UTF-8 bytes of text in a block.
 BLOCK_BYTES = 3 << 20
 
@@ -380,5 +382,6 @@ def drop_near_copies(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     """
     found = near_classes(docs, ident, text, **options)
     (drop,) = fresh(docs, "drop")
-    gone = found.where("class_size > 1 and doc_id != class_id").select(F.col("doc_id").alias(drop)).distinct()
+    gone = materialise(found.where("class_size > 1 and doc_id != class_id").select(F.col("doc_id").alias(drop)).distinct(), "near-copies", lasting=True)
+    gone = F.broadcast(gone) if gone.count() <= FEW_GONE else gone  # else texts move with their identifiers
     return docs.join(gone, F.col(f"`{ident}`") == F.col(drop), "left_anti")
