@@ -190,20 +190,27 @@ class DigestIndex:
         return clear.unionByName(out)
 
     def _judged(self, suspects: DataFrame, entries: DataFrame, ident: str, digest: str, best: str, n: str) -> DataFrame:
-        """Rows with their digest's entry. Hot digests are answered by broadcast; their rows' keys in the join are their own."""
+        """All rows, with their digest's entry; a row without one, which the filter let through by chance, is its own group.
+
+        Hot digests are answered by broadcast; their rows' keys in the join are their own.
+        """
         total = suspects.count()
         entries = materialise(entries.withColumn("hot", F.col("n") * HOT >= max(total, 1)), "entries", lasting=True)
-        hot = entries.where("hot")
+        hot, cold = entries.where("hot"), entries.where("not hot")
+        a, b, c, d, e, f, at = fresh(suspects, "hot_digest", "hot_best", "hot_n", "cold_digest", "cold_best", "cold_n", "at")
+        cold = cold.select(F.col("digest").alias(d), F.col("best").alias(e), F.col("n").alias(f))
+        number = F.col(f"`{ident}`").cast("long")
+        alone = F.struct(number.isNull().alias("nil"), F.coalesce(self._order(number), F.lit(0)).alias("ord"), F.lit(1).cast("long").alias("ties"))
+        one = F.lit(1).cast("long")
         if hot.isEmpty():
-            cold = entries.select(F.col("digest").alias("_d"), F.col("best").alias(best), F.col("n").alias(n))
-            return suspects.join(cold, F.col(digest) == F.col("_d")).drop("_d")
-        a, b, c, d, e, f, g = fresh(suspects, "hot_digest", "hot_best", "hot_n", "cold_digest", best, n, "at")
+            found = suspects.join(cold, F.col(digest) == F.col(d), "left")
+            return found.withColumns({best: F.coalesce(F.col(e), alone), n: F.coalesce(F.col(f), one)}).drop(d, e, f)
         hot = hot.select(F.col("digest").alias(a), F.col("best").alias(b), F.col("n").alias(c))
-        cold = entries.where("not hot").select(F.col("digest").alias(d), F.col("best").alias(e), F.col("n").alias(f))
         known = suspects.join(F.broadcast(hot), F.col(digest) == F.col(a), "left")
-        known = known.withColumn(g, F.when(F.col(a).isNull(), F.col(digest)).otherwise(F.unhex(F.hex(F.monotonically_increasing_id()))))
-        found = known.join(cold, F.col(g) == F.col(d), "left")
-        return found.withColumns({e: F.coalesce(F.col(b), F.col(e)), f: F.coalesce(F.col(c), F.col(f))}).drop(a, b, c, d, g).where(F.col(e).isNotNull() | F.col(f).isNotNull())
+        known = known.withColumn(at, F.when(F.col(a).isNull(), F.col(digest)).otherwise(F.unhex(F.hex(F.monotonically_increasing_id()))))
+        found = known.join(cold, F.col(at) == F.col(d), "left")
+        entry = {best: F.coalesce(F.col(b), F.col(e), alone), n: F.coalesce(F.col(c), F.col(f), one)}
+        return found.withColumns(entry).drop(a, b, c, d, e, f, at)
 
 
 def _bitmap(digests: DataFrame) -> tuple[DataFrame, int]:

@@ -40,6 +40,23 @@ def test_exact_groups(spark, sf_dir, odd_docs, digest, keep):
     assert all(v == 1 for v in kept.values()) and len(kept) == len(groups)
 
 
+@pytest.mark.parametrize("hot", [1, 2, 10_000])
+@pytest.mark.parametrize("digest", ["sha256", "length"])
+def test_rows_that_the_filter_lets_through_stay(spark, monkeypatch, hot, digest):
+    """A full filter clears few rows: most come back without an entry, with no digest hot, with one, and with all."""
+    monkeypatch.setattr(X, "FILTER_BITS", (64, 64))
+    monkeypatch.setattr(X, "HOT", hot)
+    texts = [(i, f"copy {i % 100}", i) for i in range(300)] + [(i, "hot", i) for i in range(300, 800)] + [(i, f"alone {i}", i) for i in range(800, 1000)]
+    docs = spark.createDataFrame([*texts, (None, "alone too", 0)], "doc_id long, text string, _d long")
+    ids = defaultdict(list)
+    for i, t, _ in texts:
+        ids[t].append(i)
+    want = {(i, t, x, max(ids[t]), len(ids[t]), i == max(ids[t])) for i, t, x in texts} | {(None, "alone too", 0, None, 1, True)}
+    out = X.exact_groups(docs, digest=digest)
+    got = [tuple(r) for r in out.drop("digest").collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_index_takes_several_batches(spark):
     index = X.DigestIndex(spark, keep="min")
     a = spark.createDataFrame([(5, "x"), (6, "y")], "doc_id long, text string")
