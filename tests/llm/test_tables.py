@@ -7,6 +7,7 @@ import shutil
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,7 +17,8 @@ from rowforge.llm import hilbert_shards as H
 from rowforge.llm import katz as K
 from rowforge.llm import mixing as M
 from rowforge.llm.common import word_count
-from rowforge.llm.queries import op5_hilbert_shards, op8_source_mix, op10_katz_scores
+from rowforge.llm.queries import ORACLE, op5_hilbert_shards, op8_source_mix, op9_lsm_exact_dedup, op10_katz_scores
+from tests.conftest import MEDIUM
 
 
 @pytest.mark.parametrize("digest", ["sha256", "length"])
@@ -57,6 +59,13 @@ def test_rows_that_the_filter_lets_through_stay(spark, monkeypatch, hot, digest)
     assert len(got) == len(want) and set(got) == want
 
 
+def test_exact_groups_against_sql_on_more_rows(spark):
+    """The table of ``test_oracle`` is too small for the copy filter to let a text through that has no copy."""
+    sql = f"WITH documents AS (FROM '{MEDIUM}/documents.parquet') {ORACLE['op9_lsm_exact_dedup']}"
+    got = [tuple(r) for r in op9_lsm_exact_dedup(spark, MEDIUM).collect()]
+    assert sorted(got) == sorted(duckdb.sql(sql).fetchall())
+
+
 def test_index_takes_several_batches(spark):
     index = X.DigestIndex(spark, keep="min")
     a = spark.createDataFrame([(5, "x"), (6, "y")], "doc_id long, text string")
