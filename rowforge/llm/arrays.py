@@ -6,8 +6,10 @@ are hashed piece by piece, so memory follows the chunk and never the batch.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -87,6 +89,21 @@ def chunks(texts: pa.Array | pa.ChunkedArray, most: int = CHUNK) -> Iterator[Tex
         lo = hi
 
 
+@cache
+def _trim():
+    """glibc's ``malloc_trim``; where there is none, nothing."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError, TypeError):
+        return lambda pad: 0
+
+
+def give_back() -> None:
+    """Return freed memory to the system. Allocators keep what the largest chunk took, as long as the worker lives."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 @dataclass
 class Words:
     """The words of some texts: byte ranges, and the text of each."""

@@ -24,17 +24,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .arrays import Texts, chunks, span_hashes
+from .arrays import Texts, chunks, give_back, span_hashes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text that share a suffix array, and units that a worker remembers between batches.
 BATCH, REMEMBERED = 2 << 20, 250_000
 #: Bytes of different units that share a suffix array: an index has about five edges a byte.
 INDEXED = 128 << 10
+#: Pieces whose bytes are put together at a time: each byte takes some 30 while that is done.
+DECODED = 64 << 10
 #: Pairs of pieces of which a worker remembers whether they are compatible.
 REMEMBERED_PAIRS = 1_500_000
 _MARK = "▁"
-_FAR = np.int64(1) << 40
+_FAR, _ALL = np.int64(1) << 40, 1 << 62
 
 
 @dataclass
@@ -380,7 +382,11 @@ class Codec:
         size = self.match.length[flat]
         total = np.cumsum(size)
         n = int(total[-1]) if len(total) else 0
-        data = self.bytes[np.repeat(self.byte_at[flat] - (total - size), size) + np.arange(n)]
+        data = np.empty(n, np.uint8)
+        for lo in range(0, len(flat), DECODED):
+            part, s, t = flat[lo : lo + DECODED], size[lo : lo + DECODED], total[lo : lo + DECODED]
+            begin = t[0] - s[0]
+            data[begin : t[-1]] = self.bytes[np.repeat(self.byte_at[part] - (t - s), s) + np.arange(begin, t[-1])]
         ends = np.concatenate([[0], total])[np.cumsum(counts)] if len(counts) else np.zeros(0, np.int64)
         starts = np.concatenate([[0], ends[:-1]]) if len(counts) else ends
         sizes = ends - starts
@@ -431,9 +437,12 @@ def encode(docs: DataFrame, text: str = "text", names=("ids", "n_ids", "round_tr
     tail = [pa.field(names[0], pa.list_(pa.int32())), pa.field(names[1], pa.int32()), pa.field(names[2], pa.bool_())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()  # what the stage before has left
         codec = _codec(shared)
         for batch in batches:
-            for t in chunks(_plain(batch.column(at)), BATCH):
+            for part in chunks(batch.column(at), BATCH):
+                rows = batch.slice(part.first, len(part))
+                (t,) = chunks(_plain(rows.column(at)), _ALL)
                 flat, counts = codec.encode(t)
                 data, sizes = codec.decode(flat, counts)
                 ends = np.cumsum(sizes)
@@ -444,8 +453,8 @@ def encode(docs: DataFrame, text: str = "text", names=("ids", "n_ids", "round_tr
                 else:
                     same = np.array([data[e - s : e].tobytes() == t.data[a:b].tobytes() for e, s, a, b in zip(ends, sizes, t.offsets[:-1], t.offsets[1:], strict=True)])
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(flat.astype(np.int32)))
-                rows = batch.slice(t.first, len(t))
                 yield pa.RecordBatch.from_arrays([*rows.columns[:held], ids, pa.array(counts.astype(np.int32)), pa.array(same)], schema=pa.schema([*list(rows.schema)[:held], *tail]))
+                give_back()
 
     extra = [T.StructField(names[0], T.ArrayType(T.IntegerType())), T.StructField(names[1], T.IntegerType()), T.StructField(names[2], T.BooleanType())]
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields[:held], *extra]))

@@ -12,7 +12,7 @@ from rowforge.llm import blocks as B
 from rowforge.llm import near_dedup as N
 from rowforge.llm import sentencepiece_match as S
 from rowforge.llm import token_rollup as R
-from rowforge.llm.arrays import chunks
+from rowforge.llm.arrays import chunks, give_back
 from rowforge.llm.common import scratch
 from rowforge.llm.queries import QUERIES, op6_token_rollup, op7_piece_ids
 
@@ -222,6 +222,51 @@ def test_encode_and_decode(spark, sf_dir, odd_docs, no_docs):
     assert S.encode(no_docs).count() == 0 and S.encode(odd_docs, names=("key", "n", "ok")).count() == odd_docs.count()
 
 
+def test_memory_follows_the_chunk_of_a_batch(spark, monkeypatch):
+    """A batch is not copied whole, and what takes eight bytes or more for each byte of text is made piece by piece."""
+    import tracemalloc
+
+    held = {}
+    docs = spark.createDataFrame([("",)], "text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: held.update(run=run))
+    S.encode(docs)
+    monkeypatch.undo()
+    text = "something wonderful happened yesterday ▁ and nobody noticed before the evening " * 100
+    batch, pool = pa.RecordBatch.from_pydict({"text": [text] * 1600}), pa.default_memory_pool()
+    base, most, rows = pool.bytes_allocated(), 0, 0
+    for out in held["run"](iter([batch])):
+        rows, most = rows + out.num_rows, max(most, pool.bytes_allocated() - base)
+        assert all(out.column(2).to_pylist())
+    assert batch.nbytes > 12 << 20 and rows == 1600 and most < 8 << 20
+
+    codec = S.Codec(S.load())
+    (t,) = chunks(S._plain(pa.array([text] * 500)), 1 << 30)
+    flat, counts = codec.encode(t)
+    tracemalloc.start()
+    data, _ = codec.decode(flat, counts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert data.tobytes() == t.data.tobytes() and peak < 16 * len(data)
+
+
+def test_freed_memory_goes_back():
+    def mine() -> int:
+        with open("/proc/self/smaps_rollup") as f:
+            return int(re.search(r"\nPss_Anon:\s+(\d+)", f.read())[1]) << 10
+
+    arrays = [np.ones(8 << 10) for _ in range(1600)]  # 100 MB, small enough for the heap
+    last = arrays.pop()
+    arrays.clear()
+    give_back()
+    base = mine()
+    arrays = [np.ones(8 << 10) for _ in range(1600)]
+    last = arrays.pop()
+    assert mine() > base + (80 << 20)
+    arrays.clear()
+    give_back()
+    assert mine() < base + (20 << 20) and last[0] == 1
+
+
 def test_one_codec_for_a_worker():
     class Held:
         def __init__(self, pieces):
