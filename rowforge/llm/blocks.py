@@ -23,13 +23,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import CHUNK, chunks, span_hashes, words
+from .arrays import CHUNK, begins, chunks, ranked, span_hashes, words
 from .common import new_path, on_exit, power_of_two, remove, text_bytes
 
 #: UTF-8 bytes of the texts in a block; a longer text is a block of its own.
@@ -48,6 +49,24 @@ ANSWER = "part long, home int, block long, values array<binary>"
 _REQUEST = pa.schema([("part", pa.int64()), ("home", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("values", pa.list_(pa.binary()))])
 _ANSWER = pa.schema([("part", pa.int64()), ("home", pa.int32()), ("block", pa.int64()), ("values", pa.list_(pa.binary()))])
 _FLOATS, _BITS = 255, 254
+#: Below so many values a call for each byte plane costs more than it saves.
+_FEW = 512
+
+
+def _planes(values: np.ndarray, width: int) -> bytes:
+    if len(values) < _FEW:
+        return values.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    return b"".join((values >> np.uint64(8 * i)).astype(np.uint8).tobytes() for i in range(width))
+
+
+def _of_planes(planes: np.ndarray) -> np.ndarray:
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    if len(out) < _FEW:
+        out[:, : len(planes)] = planes.T
+    else:
+        for i, plane in enumerate(planes):
+            out[:, i] = plane
+    return out.view(np.uint64).ravel()
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -55,13 +74,12 @@ def pack(values: np.ndarray) -> bytes:
     are bits alone, and booleans as bits."""
     if values.dtype == np.float64:
         some = values != 0
-        return bytes([_FLOATS]) + len(values).to_bytes(8, "little") + np.packbits(some).tobytes() + values[some].view(np.uint8).reshape(-1, 8).T.tobytes()
+        return bytes([_FLOATS]) + len(values).to_bytes(8, "little") + np.packbits(some).tobytes() + _planes(values[some].view(np.uint64), 8)
     if values.dtype == bool:
         return bytes([_BITS]) + len(values).to_bytes(8, "little") + np.packbits(values).tobytes()
     values = np.ascontiguousarray(values, dtype=np.uint64)
     width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
-    planes = values.view(np.uint8).reshape(len(values), 8)[:, :width].T
-    return bytes([width]) + planes.tobytes()
+    return bytes([width]) + _planes(values, width)
 
 
 def unpack(data: bytes) -> np.ndarray:
@@ -70,14 +88,11 @@ def unpack(data: bytes) -> np.ndarray:
         n = int.from_bytes(data[1:9], "little")
         out, at = np.zeros(n), 9 + (n + 7) // 8
         some = np.unpackbits(np.frombuffer(data[9:at], np.uint8), count=n).astype(bool)
-        out[some] = np.ascontiguousarray(np.frombuffer(data, np.uint8, offset=at).reshape(8, -1).T).view(np.float64).ravel()
+        out[some] = _of_planes(np.frombuffer(data, np.uint8, offset=at).reshape(8, -1)).view(np.float64)
         return out
     if width == _BITS:
         return np.unpackbits(np.frombuffer(data, np.uint8, offset=9), count=int.from_bytes(data[1:9], "little")).astype(bool)
-    planes = np.frombuffer(data, np.uint8, offset=1).reshape(width, -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, :width] = planes.T
-    return out.view(np.uint64).ravel()
+    return _of_planes(np.frombuffer(data, np.uint8, offset=1).reshape(width, -1))
 
 
 def pack_sorted(keys: np.ndarray) -> bytes:
@@ -126,7 +141,10 @@ def pack_blocks(rows: DataFrame, lower: bool = False, block_bytes: int = BLOCK_B
             ids = pa.concat_arrays([h[0] for h in held])
             marks = np.concatenate([h[1] for h in held])
             sizes = np.concatenate([h[2] for h in held])
-            vocab, tokens = np.unique(np.concatenate([h[3] for h in held]), return_inverse=True)
+            order, found = ranked(np.concatenate([h[3] for h in held]))
+            new = begins(found)
+            vocab, tokens = found[new], np.empty(len(found), np.int64)
+            tokens[order] = np.cumsum(new) - 1
             row = [
                 [task * HOMES + seq % HOMES],
                 [(task << 32) | seq],
@@ -162,9 +180,12 @@ class Block:
 
     def __init__(self, row: dict):
         self.home, self.number, self.ids = row["home"], row["block"], pa.array(row["ids"], pa.int64())
-        self.marks, self.sizes = unpack(row["marks"]), unpack(row["sizes"]).astype(np.int64)
-        self.vocab, self.tokens = unpack_sorted(row["vocab"]), unpack(row["tokens"]).astype(np.int64)
-        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.marks, self.sizes = unpack(row["marks"]), unpack(row["sizes"]).view(np.int64)
+        self.vocab, self.tokens = unpack_sorted(row["vocab"]), unpack(row["tokens"]).view(np.int64)
+
+    @cached_property
+    def doc(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.sizes)), self.sizes)
 
 
 def _rows(table: pa.Table) -> Iterator[dict]:
@@ -213,19 +234,19 @@ class Merged:
         values = [np.concatenate(v) for v in zip(*[[unpack(v) for v in r["values"]] for r in rows], strict=True)]
         self.wants = next((v for v in values if v.dtype == bool), None)
         values = [v for v in values if v.dtype != bool]
-        # of equal keys the first that has a count comes first: its sender answers for the key
-        none = values[0] == 0 if values else np.zeros(len(every), bool)
-        order = np.lexsort((none, every)) if none.any() else np.argsort(every, kind="stable")
-        ranked = every[order]
-        new = np.concatenate([[True], ranked[1:] != ranked[:-1]])[: len(every)]
+        order, found = ranked(every)
+        new = begins(found)
+        place = np.cumsum(new) - 1
         self.which = np.empty(len(every), np.int64)
-        self.which[order] = np.cumsum(new) - 1
-        self.keys = ranked[new]
+        self.which[order] = place
+        self.keys = found[new]
         starts = np.flatnonzero(new)
-        self.sums = [np.add.reduceat(v[order], starts) if len(v) else v for v in values]
+        values = [v[order] for v in values]
+        self.sums = [np.add.reduceat(v, starts) if len(v) else v for v in values]
+        # of equal keys the first that has a count answers for the key
+        some = np.flatnonzero(values[0]) if values else np.arange(len(every))
         self.first = np.zeros(len(every), bool)
-        self.first[order[new]] = True
-        self.first &= ~none
+        self.first[order[some[begins(place[some])]]] = True
 
     def share(self, found: list[np.ndarray]) -> list[list[bytes]]:
         """What was found for ``keys``, cut back to the requests. Of booleans only the first sender of a key gets true."""

@@ -26,7 +26,7 @@ import gc
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .arrays import mix64, per_doc
+from .arrays import begins, mix64, per_doc, ranked
 from .common import cleans_up, materialise, new_path, on_exit, remove
 
 #: Words of the longest n-gram.
@@ -103,7 +103,9 @@ class Numbers:
     def taken(self, n: int, counts: np.ndarray) -> np.ndarray:
         """Discounted counts of n-grams."""
         table = np.array([0.0, *[d * r for r, d in enumerate(self.factors[n], 1)]])
-        return np.where(counts <= DISCOUNTED, table[np.minimum(counts, DISCOUNTED)], counts.astype(np.float64))
+        out, whole = table.take(counts, mode="clip"), np.flatnonzero(counts > DISCOUNTED)
+        out[whole] = counts[whole]
+        return out
 
     def of_word(self, counts: np.ndarray) -> np.ndarray:
         return np.where(counts > 0, self.taken(1, counts) / max(self.total, 1), self.unknown)
@@ -125,21 +127,25 @@ class Events:
     """The tokens of a block and their n-grams up to an order."""
 
     def __init__(self, b: B.Block):
-        self.block, m = b, len(b.vocab)
-        n_docs = len(b.sizes)
-        self.doc = np.repeat(np.arange(n_docs), b.sizes + 1)
-        self.token = np.full(len(b.tokens) + n_docs, m, np.int64)
-        self.token[np.arange(len(b.tokens)) + b.doc] = b.tokens
-        self.place = np.arange(len(self.token)) - np.repeat(np.cumsum(b.sizes + 1) - b.sizes - 1, b.sizes + 1)
-        self.train = ~b.marks[self.doc]
-        words = np.concatenate([b.vocab, [_END]])
-        order = np.argsort(words, kind="stable")
-        rank = np.empty_like(order)
-        rank[order] = np.arange(len(order))
-        at = rank[self.token].astype(np.int32)
+        self.block, sizes = b, b.sizes + 1
+        end = np.cumsum(sizes)
+        self.last = np.zeros(len(b.tokens) + len(sizes), bool)
+        self.last[end - 1] = True
+        self.place = np.arange(len(self.last), dtype=np.int32) - np.repeat((end - sizes).astype(np.int32), sizes)
+        self.train = np.repeat(~b.marks, sizes)
+        # the end among the words, which ascend
+        rank = int(np.searchsorted(b.vocab, _END, "right"))
+        words, at = np.insert(b.vocab, rank, _END), np.empty(len(self.last), np.int32)
+        at[~self.last] = b.tokens + (b.tokens >= rank)
+        at[self.last] = rank
         none = np.zeros(0, np.int64)
-        self.made = {1: Grams(words[order], none, at, none, none)}
-        self.hashed = {1: words[self.token]}
+        self.made = {1: Grams(words, none, at, none, none)}
+        self.hashed = {1: words[at]}
+
+    @cached_property
+    def doc(self) -> np.ndarray:
+        """The text of each token."""
+        return np.repeat(np.arange(len(self.block.sizes)), self.block.sizes + 1)
 
     def _hashes(self, n: int) -> np.ndarray:
         """The key of the n-gram that ends at each token, where there is one."""
@@ -153,26 +159,29 @@ class Events:
 
     def keys(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct keys of n-grams, how often each occurs in training, and how often as a history in texts that are held out."""
-        last = np.append(self.place[1:] == 0, True)[: len(self.place)]
-        after = ~self.train & ~last
+        after = ~(self.train | self.last)
         if n == 1:
             g = self.made[1]
             count = lambda which: np.bincount(g.at[which], minlength=len(g.keys)).astype(np.uint64)
             return g.keys, count(self.train), count(after)
         there = self.place >= n - 2
-        keys = self._hashes(n)[there]
-        order = np.argsort(keys, kind="stable")
-        keys = keys[order]
-        start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
-        sums = lambda x: np.add.reduceat(x[there][order].astype(np.uint64), start) if len(start) else np.zeros(0, np.uint64)
-        return keys[start], sums(self.train), sums(after)
+        order, keys = ranked(self._hashes(n)[there])
+        start = np.append(np.flatnonzero(begins(keys)), len(keys))
+        total = np.zeros(len(keys) + 1, np.uint64)
+
+        def sums(x: np.ndarray) -> np.ndarray:
+            np.cumsum(x[there][order], out=total[1:])
+            return np.diff(total[start])
+
+        return keys[start[:-1]], sums(self.train), sums(after)
 
     def grams(self, n: int) -> Grams:
         if n not in self.made:
             lower, where = self.grams(n - 1), np.flatnonzero(self.place >= n - 2)
-            keys, first, inverse = np.unique(self._hashes(n)[where], return_index=True, return_inverse=True)
-            at, first = np.full(len(self.token), -1, np.int32), where[first]
-            at[where] = inverse
+            order, found = ranked(self._hashes(n)[where])
+            new, where = begins(found), where[order]
+            keys, first, at = found[new], where[new], np.full(len(self.place), -1, np.int32)
+            at[where] = np.cumsum(new, dtype=np.int32) - 1
             history = lower.at[first - 1]
             if n == 2:
                 history = np.where(self.place[first] == 0, len(lower.keys), history)
@@ -212,7 +221,7 @@ class Known:
 
     def __init__(self, b: B.Block, answers: list[dict], numbers: Numbers, upto: int, whole: bool):
         self.e, self.numbers, self.whole = Events(b), numbers, whole
-        self.count, self.needed, self.owner, self.alone, self.weight, told = {}, {}, {}, {}, {}, {}
+        self.count, self.needed, self.owner, self.alone, self.weight, self.share, told = {}, {}, {}, {}, {}, {}, {}
         for r in answers:
             told.setdefault(r["kind"], []).append(r)
         for n in range(1, upto + 1):
@@ -224,8 +233,8 @@ class Known:
         for n in range(1, upto):
             self.weight[n] = np.ones(len(self.history_keys(n)))
             if not whole:
-                here = self.local(n)
-                taken, covered = self.sums(n)
+                here = self.local(n) & self.wanted(n)
+                taken, covered = self.sums(n, here)
                 self.weight[n][here] = weigh(taken[here], covered[here])
             if weight_kind(n) in told:
                 self.weight[n][self.histories(n)[1]] = B.gathered(told[weight_kind(n)])[0]
@@ -243,37 +252,45 @@ class Known:
         used[self.e.grams(n + 1).history] = True
         used &= self.history_count(n) > 0
         if not self.whole:
-            needed = np.append(self.needed[1], True) if n == 1 else self.needed[n]
-            used &= needed & ~self.local(n)
+            used &= self.wanted(n) & ~self.local(n)
         asked = np.flatnonzero(used)
         asked = asked[np.argsort(keys[asked], kind="stable")]
         return keys[asked], asked
 
+    def wanted(self, n: int) -> np.ndarray:
+        """Histories of n words that a text which is held out has; an n-gram that was not seen has no other."""
+        return np.append(self.needed[1], True) if n == 1 else self.needed[n]
+
     def local(self, n: int) -> np.ndarray:
         """Histories of n words that were seen in training and that no other block has."""
         here = self.alone[n] & (self.count[n] > 0)
         return np.append(here, False) if n == 1 else here
 
-    def sums(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Of each history of n words, what the seen words for which this block answers take of it and of the shorter one."""
-        g, size = self.e.grams(n + 1), len(self.history_keys(n))
-        mine = np.flatnonzero(self.owner[n + 1] & (self.count[n + 1] > 0))
-        taken = np.bincount(g.history[mine], weights=self.numbers.taken(n + 1, self.count[n + 1][mine]), minlength=size)
-        covered = np.bincount(g.history[mine], weights=self.direct(n)[g.low[mine]], minlength=size)
+    def sums(self, n: int, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each history of n words in ``which``, what the seen words for which this block answers take of it and of the shorter one."""
+        g, size = self.e.grams(n + 1), len(which)
+        mine = np.flatnonzero(self.owner[n + 1] & (self.count[n + 1] > 0) & which[g.history])
+        history = g.history[mine]
+        taken = np.bincount(history, weights=self.numbers.taken(n + 1, self.count[n + 1][mine]), minlength=size)
+        covered = np.bincount(history, weights=self.direct(n, g.low[mine]), minlength=size)
         return taken / (self.history_count(n) + RESERVE), covered
 
-    def direct(self, n: int) -> np.ndarray:
-        """The discounted share of each n-gram in its history, 0 for those not seen."""
+    def direct(self, n: int, which: np.ndarray) -> np.ndarray:
+        """The discounted shares of some n-grams in their histories, 0 for those not seen."""
         if n == 1:
-            return self.numbers.of_word(self.count[1])
-        return self.numbers.taken(n, self.count[n]) / (self.history_count(n - 1)[self.e.grams(n).history] + RESERVE)
+            if 1 not in self.share:
+                self.share[1] = self.numbers.of_word(self.count[1])
+            return self.share[1][which]
+        return self.numbers.taken(n, self.count[n][which]) / (self.history_count(n - 1)[self.e.grams(n).history[which]] + RESERVE)
 
-    def probability(self, n: int) -> np.ndarray:
-        """P of the last word of each n-gram after the others."""
-        if n == 1:
-            return self.direct(1)
-        g = self.e.grams(n)
-        return np.where(self.count[n] > 0, self.direct(n), self.weight[n - 1][g.history] * self.probability(n - 1)[g.low])
+    def probability(self, n: int, which: np.ndarray) -> np.ndarray:
+        """P of the last word of some n-grams after the others."""
+        p = self.direct(n, which)
+        if n > 1:
+            g, unseen = self.e.grams(n), np.flatnonzero(self.count[n][which] == 0)
+            which = which[unseen]
+            p[unseen] = self.weight[n - 1][g.history[which]] * self.probability(n - 1, g.low[which])
+        return p
 
 
 def weigh(taken: np.ndarray, covered: np.ndarray) -> np.ndarray:
@@ -286,10 +303,11 @@ def _weights_asked(n: int, numbers: Numbers, bits: int, whole: bool):
 
     def run(b: B.Block, answers: list[dict]) -> pa.Table:
         k = Known(b, answers, numbers, n + 1, whole)
-        taken, covered = k.sums(n)
-        wanted = np.zeros(len(taken), bool)
-        wanted[k.e.grams(n + 1).history[k.count[n + 1] == 0]] = True
         keys, asked = k.histories(n)
+        which, wanted = np.zeros((2, len(k.history_keys(n))), bool)
+        which[asked] = True
+        taken, covered = k.sums(n, which)
+        wanted[k.e.grams(n + 1).history[k.count[n + 1] == 0]] = True
         return B.request_table(B.requests(b.home, b.number, keys, [taken[asked], covered[asked], wanted[asked]], bits))
 
     return run
@@ -312,10 +330,11 @@ def _score(numbers: Numbers, whole: bool):
     def run(b: B.Block, answers: list[dict]) -> pa.Table:
         k = Known(b, answers, numbers, numbers.order, whole)
         e, docs, words = k.e, len(b.sizes), k.e.made[1].at
-        p = k.probability(1)[words]
-        for n in range(2, numbers.order + 1):
-            at = e.grams(n).at
-            p = np.where(at >= 0, k.probability(n)[at] if len(e.grams(n).keys) else 1.0, p)
+        p, left = np.ones(len(words)), np.arange(len(words))
+        for n in range(numbers.order, 0, -1):  # the longest n-gram that ends at each token
+            at = e.grams(n).at[left]
+            p[left[at >= 0]] = k.probability(n, at[at >= 0])
+            left = left[at < 0]
         sums = lambda x: np.bincount(e.doc, weights=x, minlength=docs) if len(x) else np.zeros(docs)
         base = np.log10((k.count[1] + 0.5) / (numbers.tokens + 0.5 * (numbers.types + 1)))
         columns = [

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from rowforge.llm import blocks as B
 from rowforge.llm import exact_dedup as X
 from rowforge.llm import hilbert_shards as H
 from rowforge.llm import katz as K
+from rowforge.llm.arrays import ranked
 from rowforge.llm import mixing as M
 from rowforge.llm.common import word_count
 from rowforge.llm.queries import ORACLE, op5_hilbert_shards, op8_source_mix, op9_lsm_exact_dedup, op10_katz_scores
@@ -398,3 +400,57 @@ def test_katz_odd(odd_docs, no_docs, spark):
     for order in (2, 3):
         frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
         same_scores(K.katz_scores(frame, F.col("doc_id") == 2, order=order).collect(), brute_katz([(i, t, i == 2) for i, t in enumerate(texts)], order))
+
+
+def one_block(texts, held):
+    """A block of ``texts``, and what ranges tell it of its n-grams when no other block is there."""
+    words = [t.split() for t in texts]
+    hashed = np.array([zlib.crc32(w.encode()) << 30 for t in words for w in t], np.uint64)
+    vocab, tokens = np.unique(hashed, return_inverse=True)
+    row = {"home": 0, "block": 0, "ids": list(range(len(texts))), "marks": B.pack(np.array(held)), "sizes": B.pack(np.array([len(t) for t in words]))}
+    block, told = B.Block(row | {"vocab": B.pack_sorted(vocab), "tokens": B.pack(tokens)}), []
+    for n in (1, 2, 3):
+        m = B.Merged(K._counts_asked(n, 0)(block))
+        told.append({"part": 0, "kind": K.count_kind(n), "values": m.share(K._count_alone(0, m.keys, m.sums)[0])[0]})
+    return block, told
+
+
+def test_katz_works_on_histories_that_held_out_texts_have(monkeypatch):
+    """What seen words take of a history is added up only where a weight is needed; histories that other texts have cost nothing."""
+    texts, took = [" ".join(f"w{(i * k) % 97}" for i in range(200)) for k in range(1, 20)], []
+    numbers = K.Numbers({n: [4000, 900, 300, 200, 100, 80, 70, 60] for n in (1, 2, 3)}, len(texts), 3)
+    plain = K.Numbers.taken
+    monkeypatch.setattr(K.Numbers, "taken", lambda self, n, counts: (took.append((n, len(counts))), plain(self, n, counts))[1])
+
+    def work(texts, held):
+        took.clear()
+        known = K.Known(*one_block(texts, held), numbers, 3, False)
+        return sum(k for n, k in took if n > 1), known
+
+    assert work(texts, [False] * len(texts))[0] == 0
+    few, known = work([*texts, "w1 w2"], [False] * len(texts) + [True])
+    every = sum(len(known.e.grams(n).keys) for n in (2, 3))
+    assert 0 < few < every / 10
+
+
+def test_ranked():
+    """The stable order of keys, also where they differ in bits that places push out."""
+    rng = np.random.default_rng(5)
+    top = np.uint64((1 << 64) - 1)
+    some = [np.zeros(0, np.uint64), np.array([7], np.uint64), np.full(9, top), np.array([3, 1, 3, 1, 2], np.uint64), np.array([top, 0, top, 0], np.uint64)]
+    some += [rng.integers(0, 1 << 62, 5000).astype(np.uint64)[rng.integers(0, 5000, 9000)] << np.uint64(2)]
+    some += [np.concatenate([np.arange(1000, 0, -1, np.uint64), [top]]), np.repeat(np.arange(500, 0, -1, np.uint64), 3) | np.uint64(1 << 63)]
+    some += [np.append(rng.integers(0, 8, 3000).astype(np.uint64), top)]
+    for keys in some:
+        order, found = ranked(keys)
+        want = np.argsort(keys, kind="stable")
+        assert order.tolist() == want.tolist() and found.tolist() == keys[want].tolist()
+
+
+def test_merged_requests_have_one_owner_for_each_key():
+    """The first sender with a count answers for a key; a key that nobody counted has no owner."""
+    ask = lambda keys, counts: B.requests(0, 0, np.array(keys, np.uint64), [np.array(counts, np.uint64)], 0)[0]
+    m = B.Merged([ask([1, 2, 5], [0, 0, 3]), ask([1, 3, 5], [4, 0, 1]), ask([1, 2, 9], [2, 0, 1])])
+    assert m.keys.tolist() == [1, 2, 3, 5, 9] and m.sums[0].tolist() == [6, 0, 0, 4, 1]
+    owners, sums = zip(*[[B.unpack(x).tolist() for x in v] for v in m.share([np.ones(5, bool), m.sums[0]])], strict=True)
+    assert list(owners) == [[False, False, True], [True, False, False], [False, False, True]] and list(sums) == [[6, 0, 4], [6, 0, 4], [6, 0, 1]]
